@@ -138,7 +138,8 @@ def allocate_splits(ranked: DataFrame, quotas: Sequence[tuple[str, int]], positi
 def allocate_stratified(rows: DataFrame, stratum: Sequence[str], key: str, shares: Sequence[tuple[str, float]]) -> DataFrame:
     """Split by a hash of the row key, so every stratum is spread over all
     splits in the given shares, without ranking anything."""
-    point = F.pmod(F.xxhash64(*stratum, key), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in (*stratum, key)])
+    point = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     edge, whens = 0.0, None
     for name, share in shares[:-1]:
         edge += share
