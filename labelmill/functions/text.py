@@ -14,6 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
+# The same class character by character, for trimming without a regex.
+SPACE_CHARS = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+# Whitespace runs that are not already one plain space.
+UNEVEN_SPACE = rf"[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}&&[^ ]]{SPACE}*| {SPACE}+"
+# Everything but ``a-z0-9? `` as ranges: several times faster than ``[^...]``.
+OTHER_CHARS = r"[\x00-\x1f!-/:->@-`{-\x{10ffff}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 TOKEN = "[a-z0-9']+"
 
@@ -24,21 +31,29 @@ OR_CHAIN_LIMIT = 256
 
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace on both sides."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+", " ")
+    return F.regexp_replace(text, UNEVEN_SPACE, " ")
 
 
 def normalize_text(text: Column) -> Column:
     """Strip, lower, collapse whitespace, then drop all but ``a-z0-9? ``."""
-    return F.regexp_replace(collapse_spaces(F.lower(strip(text))), "[^a-z0-9? ]", "")
+    return F.regexp_replace(collapse_spaces(F.lower(strip(text))), OTHER_CHARS, "")
+
+
+# Fingerprint of texts that are blank after normalisation.
+BLANK_KEY = "d41d8cd98f00b204e9800998ecf8427e"
 
 
 def fingerprint(text: Column) -> Column:
-    """128-bit key of a normalised text, so that whole texts are not shuffled."""
-    return F.md5(normalize_text(text))
+    """128-bit key of a normalised text, so that whole texts are not shuffled.
+
+    Never null (null text gives ''), or joins on it would add a null check that
+    evaluates the whole expression a second time.
+    """
+    return F.coalesce(F.md5(normalize_text(text)), F.lit(""))
 
 
 def word_count(text: Column) -> Column:

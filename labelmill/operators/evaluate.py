@@ -62,10 +62,11 @@ def outcome_counts(frame: DataFrame, fields: EvalFields) -> DataFrame:
         differs = X.lists_differ(X.decode_hot(X.multi_hot(true, space, False), space),
                                  X.decode_hot(X.multi_hot(pred, space, False), space), ordered=True)
         cells.append(cell("subset", name, none, F.lit(1), (~differs).cast("int")))
-    return (
-        frame.select(F.inline(F.array(*cells)))
-        .groupBy("kind", "field", "label", "t", "p").agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = frame.select(F.inline(F.array(*cells))).groupBy("kind", "field", "label", "t", "p").agg(
+        F.count(F.lit(1)).alias("n"), F.max("kind").alias("same_kind"))
+    # ``kind`` is read from an aggregate, because filters on a grouping column
+    # would move below the aggregate and give every metric its own pass.
+    return counted.select(F.col("same_kind").alias("kind"), "field", "label", "t", "p", "n")
 
 
 def _tp_fp_fn(counts: DataFrame, *keys: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelmill.config import LabelSpec, Thresholds
 from labelmill.functions import text as X
-from labelmill.operators.scale import top_k
+from labelmill.operators.scale import explode_rows, top_k
 
 # Weights below the minimum are dropped, at most this many are
 # kept per head, and weights have four decimals.
@@ -22,6 +22,9 @@ MIN_WEIGHT = 0.15
 MAX_FEATURES = 120
 UNIT = 10_000
 
+# Document frequency from which features are used to find the floors of a fit.
+SCREEN_DF = 8
+
 # Models with at most this many (feature, head) cells are looked up inside each
 # row of text; beyond it (very large label spaces) scoring goes through a join.
 INLINE_CELLS = 2_000_000
@@ -69,7 +72,7 @@ def feature_counts(df: DataFrame, heads: list[Head], text: str = "input", min_df
     """
     members = {f"__h{i}": F.coalesce(h.member, F.lit(False)).cast("bigint") for i, h in enumerate(heads)}
     marked = X.add_features(df.select(F.col(text).alias("__text"), *[c.alias(n) for n, c in members.items()]), "__text")
-    counted = marked.select(F.explode("features").alias("feature"), *members).groupBy("feature").agg(
+    counted = explode_rows(marked, list(members), "features", "feature").groupBy("feature").agg(
         F.count(F.lit(1)).alias("df"), *[F.sum(n).alias(n) for n in members])
     kept = counted.filter(F.col("df") >= min_df) if min_df > 1 else counted
     return kept.select("feature", "df", F.array(*members).alias("pos"))
@@ -77,8 +80,8 @@ def feature_counts(df: DataFrame, heads: list[Head], text: str = "input", min_df
 
 def document_frequency(df: DataFrame, text: str = "input") -> DataFrame:
     """Number of documents per feature."""
-    return X.add_features(df.select(text), text).select(F.explode("features").alias("feature")) \
-        .groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    exploded = explode_rows(X.add_features(df.select(text), text), [], "features", "feature")
+    return exploded.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fit(df: DataFrame, heads: list[Head], text: str = "input", min_weight: float = MIN_WEIGHT,
@@ -99,14 +102,37 @@ def fit(df: DataFrame, heads: list[Head], text: str = "input", min_weight: float
         F.round(X.log_ratio(pos_docs, F.col("total") - pos_docs) * UNIT).cast("bigint").alias("bias"), "threshold")
 
     counts = feature_counts(df, heads, text, min_df)
+    best = strongest(counts, len(heads), min_weight, max_features)
+    weights = best.select("head", "feature", F.round(F.col("raw") * UNIT).cast("bigint").alias("weight"))
+    return TokenModel(head_rows, weights)
+
+
+def _candidates(counts: DataFrame, min_weight: float) -> DataFrame:
     per_head = counts.select("feature", "df", F.posexplode("pos").alias("head", "pos"))
     pos, neg = F.col("pos"), F.col("df") - F.col("pos")
     strength = F.greatest(pos + 1, neg + 1) / F.least(pos + 1, neg + 1)
-    candidates = per_head.select("head", "feature", strength.alias("strength"), X.log_ratio(pos, neg).alias("raw")) \
+    return per_head.select("head", "feature", strength.alias("strength"), X.log_ratio(pos, neg).alias("raw")) \
         .filter(F.abs("raw") >= min_weight)
-    best = top_k(candidates, ["head"], [F.desc("strength"), F.desc("feature")], max_features)
-    weights = best.select("head", "feature", F.round(F.col("raw") * UNIT).cast("bigint").alias("weight"))
-    return TokenModel(head_rows, weights)
+
+
+def strongest(counts: DataFrame, heads: int, min_weight: float = MIN_WEIGHT, k: int = MAX_FEATURES,
+              screen: int = SCREEN_DF) -> DataFrame:
+    """The ``k`` strongest candidates of each head.
+
+    Strength is at most ``df + 1``.  So the k-th strength among the frequent
+    features (few rows) is a floor that most rare features cannot reach, and
+    only the rest is expanded and ranked per head.  A head with fewer than
+    ``k`` frequent candidates gets no floor: the result is exact in any case.
+    """
+    order = [F.desc("strength"), F.desc("feature")]
+    frequent = top_k(_candidates(counts.filter(F.col("df") >= screen), min_weight), ["head"], order, k, "place")
+    kth = frequent.filter(F.col("place") == k).select("head", F.col("strength").alias("floor"))
+    every = counts.sparkSession.range(heads).select(F.col("id").cast("int").alias("head"))
+    floors = every.join(kth, "head", "left").select("head", F.coalesce("floor", F.lit(0.0)).alias("floor"))
+    lowest = floors.agg(F.min("floor").alias("lowest")).scalar()
+    able = counts.filter(F.col("df") + 1 >= lowest)
+    passing = _candidates(able, min_weight).join(F.broadcast(floors), "head").filter(F.col("strength") >= F.col("floor"))
+    return top_k(passing.drop("floor"), ["head"], order, k)
 
 
 def save_model(model: TokenModel, path: str) -> None:
@@ -189,7 +215,7 @@ def score_join(df: DataFrame, model: TokenModel, key: str, text: str = "input")
     """
     heads = json.dumps([{"head": r["head"], "weight": r["bias"]} for r in model.heads.collect()])
     biases = df.select(key, F.inline(F.from_json(F.lit(heads), F.lit("array<struct<head:int,weight:bigint>>"))))
-    exploded = X.add_features(df.select(key, text), text).select(key, F.explode("features").alias("feature"))
+    exploded = explode_rows(X.add_features(df.select(key, text), text), [key], "features", "feature")
     hits = exploded.join(model.weights, "feature").select(key, "head", "weight")
     return hits.unionByName(biases).groupBy(key, "head").agg(F.sum("weight").alias("total"))
 

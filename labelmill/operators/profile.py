@@ -11,7 +11,7 @@ from labelmill.config import (
     AUDIT_COMBO_SPARSE, AUDIT_TOPIC_SHARE, LOW_TOPIC_FLOOR, LOW_TOPIC_SHARE, SHORT_WORDS, Band, LabelSpec,
 )
 from labelmill.functions import text as X
-from labelmill.operators.scale import dim, top_k
+from labelmill.operators.scale import dim, explode_rows, top_k
 
 
 def text_shape(df: DataFrame, phrases: Sequence[str], text: str = "input", short_words: int = SHORT_WORDS) -> DataFrame:
@@ -22,6 +22,15 @@ def text_shape(df: DataFrame, phrases: Sequence[str], text: str = "input", short
     })
 
 
+def text_marks(df: DataFrame, phrases: Sequence[str], text: str = "input") -> DataFrame:
+    """All marks that need the text, in place of the text: a narrow table.
+
+    Write or checkpoint it when several aggregates follow, so that the texts
+    are read once; the operators below use the marks where they are present.
+    """
+    return text_shape(df, phrases, text).withColumn("norm_key", X.fingerprint(F.col(text))).drop(text)
+
+
 def corpus_stats(df: DataFrame, domain: str, lead_flag: str, phrases: Sequence[str], text: str = "input",
                  topics: str = "topics", hard: Column | None = None, group: str | None = None) -> DataFrame:
     """One row of corpus statistics (per ``group`` value where given).
@@ -29,7 +38,7 @@ def corpus_stats(df: DataFrame, domain: str, lead_flag: str, phrases: Sequence[s
     The shape marks are aggregated in the same pass as the label counts.
     """
     is_hard = F.col("difficulty") == "hard" if hard is None else hard
-    shaped = text_shape(df, phrases, text)
+    shaped = df if "is_short" in df.columns else text_shape(df, phrases, text)
     grouped = shaped.groupBy(group) if group else shaped.groupBy()
     in_domain = F.col(domain)
     counted = grouped.agg(
@@ -105,7 +114,7 @@ def label_coverage(df: DataFrame, labels: str, space: Sequence[str], domain_tota
     ``zero`` also reports labels that never occur; without it only labels seen.
     ``domain_total`` is a one-row frame with that column.
     """
-    counts = df.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counts = explode_rows(df, [], labels, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     if zero:
         counts = zero_fill(counts, dim(df.sparkSession, [(s,) for s in space], "label string"), ["label"])
     limit = domain_total.select(
@@ -206,8 +215,9 @@ def duplicate_groups(df: DataFrame, text: str = "input", position: Sequence[str]
     text collapses to one partial row per task.
     """
     first = F.min(F.struct(*position)).alias("first")
+    keyed = df if "norm_key" in df.columns else df.withColumn("norm_key", X.fingerprint(F.col(text)))
     return (
-        df.select(X.fingerprint(F.col(text)).alias("norm_key"), *position)
+        keyed.select("norm_key", *position)
         .groupBy("norm_key").agg(F.count(F.lit(1)).alias("n"), first)
         .filter(F.col("n") > 1)
     )

@@ -48,6 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def explode_rows(df: DataFrame, keep: Sequence[str], values: Column | str, name: str) -> DataFrame:
+    """Elements of an array column as rows, none for empty arrays.
+
+    A plain ``explode`` of a computed column makes the optimizer filter on the
+    array's size below it, which evaluates the array a second time.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
     """First ``k`` rows per key.  ``order`` has to be total.  The rank filter
     lets Spark cut every group to ``k`` rows before the shuffle."""

@@ -72,13 +72,16 @@ def unique_candidates(candidates: DataFrame, existing: DataFrame | None, order:
                       text: str = "candidate", existing_text: str = "input") -> DataFrame:
     """First candidate of each normalised text, without blank texts and texts
     of the existing corpus.  One aggregate; hot texts combine before it."""
-    named = candidates.withColumn("norm_key", X.fingerprint(F.col(text))).filter(X.normalize_text(F.col(text)) != "")
+    named = candidates.withColumn("norm_key", X.fingerprint(F.col(text)))
     payload = [c for c in candidates.columns if c not in order]
-    first = named.groupBy("norm_key").agg(F.min_by(F.struct(*order, *payload), F.struct(*order)).alias("row"))
-    fresh = first
+    # Blank texts are dropped after the aggregate, through an aggregated copy of
+    # the key: a filter on the key itself would normalise every text twice.
+    first = named.groupBy("norm_key").agg(
+        F.min_by(F.struct(*order, *payload), F.struct(*order)).alias("row"), F.max("norm_key").alias("same_key"))
+    fresh = first.filter(~F.col("same_key").isin("", X.BLANK_KEY)).drop("same_key")
     if existing is not None:
         known = existing.select(X.fingerprint(F.col(existing_text)).alias("norm_key")).distinct()
-        fresh = first.join(known, "norm_key", "left_anti")
+        fresh = fresh.join(known, "norm_key", "left_anti")
     return fresh.select("norm_key", "row.*")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelmill.config import LabelSpec
 from labelmill.functions import text as X
-from labelmill.operators.scale import HOT_ROWS, join_by_key
+from labelmill.operators.scale import HOT_ROWS, cut_lineage, join_by_key
 
 ID_PATTERN = "route_[0-9]{6}"
 
@@ -40,17 +40,28 @@ def violations(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> Dat
     return df.select(*keep, F.inline(F.array_compact(F.array(*cells))))
 
 
-def repeated(df: DataFrame, name: str, key: Column, position: Sequence[str], keep: Sequence[str],
+def repeated(df: DataFrame, keys: dict[str, Column], position: Sequence[str], keep: Sequence[str],
              hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Second and later rows of each key in ``position`` order; the detail is
-    the first row's position.  Rows with a null key are left out."""
+    """Second and later rows of each key in ``position`` order, for several
+    named keys; the detail is the first row's position.
+
+    Rows without a key ('' or null) are left out.  The keys are written once as
+    a narrow table, because counting and joining would otherwise both read the
+    texts again.
+    """
+    named = {f"__k{i}": F.coalesce(key.cast("string"), F.lit("")) for i, key in enumerate(keys.values())}
     place = F.struct(*position)
-    keyed = df.select(*keep, place.alias("__at"), key.alias("__key")).filter(F.col("__key").isNotNull())
-    first = keyed.groupBy("__key").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")) \
-        .filter(F.col("__n") > 1)
-    later = join_by_key(keyed, first, "__key", "__n", hot_rows).filter(F.col("__at") > F.col("__first"))
-    where = F.concat_ws(":", *[F.col(f"__first.{p}").cast("string") for p in position])
-    return later.select(*keep, F.lit(name).alias("rule"), where.alias("detail"))
+    narrow = cut_lineage(df.select(*keep, place.alias("__at"), *[key.alias(c) for c, key in named.items()]))
+    out = None
+    for name, column in zip(keys, named):
+        keyed = narrow.select(*keep, "__at", F.col(column).alias("__key"))
+        first = keyed.groupBy("__key").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")) \
+            .filter((F.col("__n") > 1) & (F.col("__key") != ""))
+        later = join_by_key(keyed, first, "__key", "__n", hot_rows).filter(F.col("__at") > F.col("__first"))
+        where = F.concat_ws(":", *[F.col(f"__first.{p}").cast("string") for p in position])
+        rows = later.select(*keep, F.lit(name).alias("rule"), where.alias("detail"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def corpus_rules(spec: LabelSpec, id_pattern: str = ID_PATTERN) -> list[Rule]:
@@ -88,9 +99,8 @@ def validate_corpus(df: DataFrame, spec: LabelSpec, position: Sequence[str] = ("
     labels = F.struct(spec.domain, "crops", "topics", *spec.flags, "intent", "urgency", "notes")
     signature = F.when(~blank, F.md5(F.concat_ws("\u0001", X.normalize_text(F.col("input")), F.to_json(labels))))
     out = violations(df, corpus_rules(spec, id_pattern), keep)
-    out = out.unionByName(repeated(df, "repeated_id", F.col("id"), position, keep, hot_rows))
-    out = out.unionByName(repeated(df, "repeated_input", norm, position, keep, hot_rows))
-    return out.unionByName(repeated(df, "repeated_signature", signature, position, keep, hot_rows))
+    keys = {"repeated_id": F.col("id"), "repeated_input": norm, "repeated_signature": signature}
+    return out.unionByName(repeated(df, keys, position, keep, hot_rows))
 
 
 def raise_on_violation(found: DataFrame) -> None:

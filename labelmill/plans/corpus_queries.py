@@ -11,7 +11,7 @@ from labelmill.functions import text as X
 from labelmill.operators import profile as P
 from labelmill.operators import validate as V
 from labelmill.operators.lexicon import rule_predict
-from labelmill.operators.scale import dim
+from labelmill.operators.scale import cut_lineage, dim
 from labelmill.plans import bindings as B
 from labelmill.plans import sqltext as S
 
@@ -65,7 +65,7 @@ def doc_rules():
 def violations(spark, sf):
     rows = B.labelled(spark, sf)
     found = V.violations(rows, doc_rules(), ["doc_id"])
-    again = V.repeated(rows, "repeated_text", X.fingerprint(F.col("text")), ["doc_id"], ["doc_id"])
+    again = V.repeated(rows, {"repeated_text": X.fingerprint(F.col("text"))}, ["doc_id"], ["doc_id"])
     return found.unionByName(again)
 
 
@@ -74,13 +74,18 @@ def duplicate_groups(spark, sf):
     return groups.select("norm_key", "n", F.col("first.doc_id").alias("first_doc_id"))
 
 
-def stats(spark, sf, group=None):
+def stats(rows, group=None):
     hard = F.col("n_chars") > B.HARD_CHARS
-    return P.corpus_stats(B.ruled(spark, sf), "in_scope", "thermal", B.VAGUE, "text", hard=hard, group=group)
+    return P.corpus_stats(rows, "in_scope", "thermal", B.VAGUE, "text", hard=hard, group=group)
 
 
 def corpus_stats(spark, sf):
-    return stats(spark, sf)
+    return stats(B.ruled(spark, sf))
+
+
+def marks(spark, sf):
+    """Rules and text marks of all documents, read once for several checks."""
+    return cut_lineage(P.text_marks(B.ruled(spark, sf), B.VAGUE, "text"))
 
 
 def scalar_histogram(spark, sf):
@@ -115,23 +120,23 @@ def label_coverage(spark, sf):
 
 
 def distribution_gate(spark, sf):
-    checks = P.distribution_gate(stats(spark, sf), BANDS, combo_minimums(spark, sf))
+    rows = marks(spark, sf)
+    checks = P.distribution_gate(stats(rows), BANDS, P.combo_minimums(rows, B.FLAGS, COMBOS))
     return checks.select("check", "value", "lo", "hi", "status", "severity")
 
 
 def audit_findings(spark, sf):
-    ruled = B.ruled(spark, sf)
-    combos = P.combo_minimums(ruled, B.FLAGS, COMBOS).select("combo", "n")
-    topics = P.histogram(ruled, arrays=["topics"]).select("value", "n")
-    groups = P.duplicate_groups(ruled, "text", ("doc_id",)).agg(F.count(F.lit(1)).alias("duplicate_groups"))
-    return P.audit_findings(stats(spark, sf), AUDIT, combos, topics, groups)
+    rows = marks(spark, sf)
+    combos = P.combo_minimums(rows, B.FLAGS, COMBOS).select("combo", "n")
+    topics = P.histogram(rows, arrays=["topics"]).select("value", "n")
+    groups = P.duplicate_groups(rows, "text", ("doc_id",)).agg(F.count(F.lit(1)).alias("duplicate_groups"))
+    return P.audit_findings(stats(rows), AUDIT, combos, topics, groups)
 
 
 def audit_diff(spark, sf):
     half = F.when(F.length("source") == 4, "before").otherwise("after")
     rows = B.ruled(spark, sf).withColumn("snapshot", half)
-    grouped = P.corpus_stats(rows, "in_scope", "thermal", B.VAGUE, "text", hard=F.col("n_chars") > B.HARD_CHARS, group="snapshot")
-    return P.audit_diff(grouped, "snapshot", "before", "after", STATS)
+    return P.audit_diff(stats(rows, "snapshot"), "snapshot", "before", "after", STATS)
 
 
 def dataset_overview(spark, sf):
