@@ -39,6 +39,9 @@ def prediction_frame(truth: DataFrame, pred: DataFrame, fields: Sequence[str], k
     return frame.withColumns(counts) if counts else frame
 
 
+KINDS = ("binary", "class", "set", "subset")
+
+
 def outcome_counts(frame: DataFrame, fields: EvalFields) -> DataFrame:
     """Counts (kind, field, label, t, p, n).  Set fields give one 0/1 pair per
     label of their space, plus one exact-match pair (kind ``subset``)."""
@@ -63,10 +66,12 @@ def outcome_counts(frame: DataFrame, fields: EvalFields) -> DataFrame:
                                  X.decode_hot(X.multi_hot(pred, space, False), space), ordered=True)
         cells.append(cell("subset", name, none, F.lit(1), (~differs).cast("int")))
     counted = frame.select(F.inline(F.array(*cells))).groupBy("kind", "field", "label", "t", "p").agg(
-        F.count(F.lit(1)).alias("n"), F.max("kind").alias("same_kind"))
+        F.count(F.lit(1)).alias("n"), F.max(F.array_position(X.label_array(KINDS), F.col("kind"))).alias("code"))
     # ``kind`` is read from an aggregate, because filters on a grouping column
-    # would move below the aggregate and give every metric its own pass.
-    return counted.select(F.col("same_kind").alias("kind"), "field", "label", "t", "p", "n")
+    # would move below the aggregate and give every metric its own pass.  The
+    # aggregate is a number, because one over strings would sort all rows.
+    kind = F.element_at(X.label_array(KINDS), F.col("code").cast("int"))
+    return counted.select(kind.alias("kind"), "field", "label", "t", "p", "n")
 
 
 def _tp_fp_fn(counts: DataFrame, *keys: str) -> DataFrame:

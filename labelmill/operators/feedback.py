@@ -148,11 +148,12 @@ def add_mismatches(resolved: DataFrame, fields: Sequence[str], lists: Sequence[s
 def failure_patterns(marked: DataFrame, first_seen: Column, k: int = 10) -> DataFrame:
     """Most common sets of wrong fields; ties go to the pattern seen first."""
     pattern = F.array_join(F.array_sort("mismatches"), ", ")
-    counted = marked.select(pattern.alias("pattern"), first_seen.alias("seen")).groupBy("pattern").agg(
-        F.count(F.lit(1)).alias("n"), F.min("seen").alias("first_seen"), F.max("pattern").alias("same"))
+    rows = marked.select(pattern.alias("pattern"), first_seen.alias("seen"), F.size("mismatches").alias("size"))
+    counted = rows.groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seen").alias("first_seen"), F.max("size").alias("size"))
     # The filter reads an aggregate, so that it stays above the grouping and
     # the comparisons are not evaluated twice.
-    wrong = counted.filter(F.col("same") != "").drop("same")
+    wrong = counted.filter(F.col("size") > 0).drop("size")
     return wrong.orderBy(F.desc("n"), "first_seen").limit(k)
 
 

@@ -212,9 +212,10 @@ def duplicate_groups(df: DataFrame, text: str = "input", position: Sequence[str]
     """Normalised texts that occur more than once, with count and first row.
 
     Groups are keyed by fingerprint: whole texts are never shuffled, and a hot
-    text collapses to one partial row per task.
+    text collapses to one partial row per task.  ``first`` is the position
+    itself for one position column, else a struct.
     """
-    first = F.min(F.struct(*position)).alias("first")
+    first = F.min(F.col(position[0]) if len(position) == 1 else F.struct(*position)).alias("first")
     keyed = df if "norm_key" in df.columns else df.withColumn("norm_key", X.fingerprint(F.col(text)))
     return (
         keyed.select("norm_key", *position)

@@ -74,11 +74,13 @@ def unique_candidates(candidates: DataFrame, existing: DataFrame | None, order:
     of the existing corpus.  One aggregate; hot texts combine before it."""
     named = candidates.withColumn("norm_key", X.fingerprint(F.col(text)))
     payload = [c for c in candidates.columns if c not in order]
-    # Blank texts are dropped after the aggregate, through an aggregated copy of
-    # the key: a filter on the key itself would normalise every text twice.
+    # Blank texts are dropped after the aggregate, through an aggregated mark:
+    # a filter on the key itself would normalise every text twice.
+    blank = F.col("norm_key").isin("", X.BLANK_KEY)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     first = named.groupBy("norm_key").agg(
-        F.min_by(F.struct(*order, *payload), F.struct(*order)).alias("row"), F.max("norm_key").alias("same_key"))
-    fresh = first.filter(~F.col("same_key").isin("", X.BLANK_KEY)).drop("same_key")
+        F.min_by(F.struct(*order, *payload), place).alias("row"), F.max(blank.cast("int")).alias("blank"))
+    fresh = first.filter(F.col("blank") == 0).drop("blank")
     if existing is not None:
         known = existing.select(X.fingerprint(F.col(existing_text)).alias("norm_key")).distinct()
         fresh = fresh.join(known, "norm_key", "left_anti")

@@ -40,6 +40,37 @@ def violations(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> Dat
     return df.select(*keep, F.inline(F.array_compact(F.array(*cells))))
 
 
+# Bits of a packed position that hold the line number.
+LINE_BITS = 40
+
+
+def _packed(df: DataFrame, position: Sequence[str]) -> bool:
+    whole = ("tinyint", "smallint", "int", "bigint")
+    types = dict(df.dtypes)
+    return len(position) == 2 and all(types[p] in whole for p in position)
+
+
+def _place(df: DataFrame, position: Sequence[str]) -> Column:
+    """Position as one number where possible, as numbers aggregate by hash."""
+    if len(position) == 1:
+        return F.col(position[0])
+    if _packed(df, position):
+        high, low = (F.col(p).cast("bigint") for p in position)
+        return F.shiftleft(high, LINE_BITS) + low
+    return F.struct(*position)
+
+
+def _show_place(narrow: DataFrame, position: Sequence[str]) -> Column:
+    first = F.col("__first")
+    kind = dict(narrow.dtypes)["__at"]
+    if len(position) == 1:
+        return first.cast("string")
+    if kind == "bigint":
+        return F.concat_ws(":", F.shiftright(first, LINE_BITS).cast("string"),
+                           F.pmod(first, F.lit(1 << LINE_BITS)).cast("string"))
+    return F.concat_ws(":", *[F.col(f"__first.{p}").cast("string") for p in position])
+
+
 def repeated(df: DataFrame, keys: dict[str, Column], position: Sequence[str], keep: Sequence[str],
              hot_rows: int = HOT_ROWS) -> DataFrame:
     """Second and later rows of each key in ``position`` order, for several
@@ -50,7 +81,7 @@ def repeated(df: DataFrame, keys: dict[str, Column], position: Sequence[str], ke
     texts again.
     """
     named = {f"__k{i}": F.coalesce(key.cast("string"), F.lit("")) for i, key in enumerate(keys.values())}
-    place = F.struct(*position)
+    place = _place(df, position)
     narrow = cut_lineage(df.select(*keep, place.alias("__at"), *[key.alias(c) for c, key in named.items()]))
     out = None
     for name, column in zip(keys, named):
@@ -58,7 +89,7 @@ def repeated(df: DataFrame, keys: dict[str, Column], position: Sequence[str], ke
         first = keyed.groupBy("__key").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")) \
             .filter((F.col("__n") > 1) & (F.col("__key") != ""))
         later = join_by_key(keyed, first, "__key", "__n", hot_rows).filter(F.col("__at") > F.col("__first"))
-        where = F.concat_ws(":", *[F.col(f"__first.{p}").cast("string") for p in position])
+        where = _show_place(narrow, position)
         rows = later.select(*keep, F.lit(name).alias("rule"), where.alias("detail"))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -71,7 +71,7 @@ def violations(spark, sf):
 
 def duplicate_groups(spark, sf):
     groups = P.duplicate_groups(B.documents(spark, sf), "text", ("doc_id",))
-    return groups.select("norm_key", "n", F.col("first.doc_id").alias("first_doc_id"))
+    return groups.select("norm_key", "n", F.col("first").alias("first_doc_id"))
 
 
 def stats(rows, group=None):
