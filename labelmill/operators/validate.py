@@ -239,7 +239,7 @@ def _item_rules(schema: dict, items: Column, is_array: Column, path: str) -> lis
     rules = [Rule(f"{path}[]: not {kind}",
                   is_array & F.exists(items, lambda v: F.coalesce(_type_of(v) != wanted, F.lit(True))))]
     if kind == "string":
-        texts = F.transform(items, lambda v: F.try_variant_get(v, "$", "string"))
+        texts = F.transform(items, lambda v: F.when(_type_of(v) == wanted, F.try_variant_get(v, "$", "string")))
         for name, _ in _string_checks(schema, F.lit("")):
             broken = _any_text(schema, name, texts)
             rules.append(Rule(f"{path}[]: {name}", is_array & broken, F.array_join(texts, ", ")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +27,19 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw lines with their line number: (file, line_no, value).
 
-    Each file is read whole by one task, so this is for corpora that come as
-    many moderate files; with huge files use :func:`read_lines` and ids.
+    Lines are numbered inside their file split, which a task reads in order, and
+    the line counts of the earlier splits of the file are added.  So files of
+    any size stay splittable; the offsets have one row per split.
     """
-    whole = spark.read.option("wholetext", True).text(path)
-    lines = F.split(F.regexp_replace("value", r"\n\z", ""), "\n")
-    numbered = whole.select(F.col("_metadata.file_name").alias("file"), F.posexplode(lines).alias("pos", "value"))
-    return numbered.select("file", (F.col("pos") + 1).alias("line_no"), "value")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n")).select(
+        "path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("seq"))
+    numbered = lines.withColumn("pos", inside).join(offsets, ["path", "block"])
+    return numbered.select("file", (F.col("base") + F.col("pos")).alias("line_no"), "value")
 
 
 def split_name(file: Column) -> Column:
@@ -55,7 +61,7 @@ def read_split(spark: SparkSession, path: str, spec: LabelSpec) -> DataFrame:
 
 def _or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise

@@ -14,7 +14,7 @@ from labelmill.operators.route import route, split_blank, to_events
 
 
 def read_log_stream(spark: SparkSession, path: str, spec: LabelSpec) -> DataFrame:
-    return spark.readStream.schema(log_schema(spec)).json(path)
+    return spark.readStream.schema(log_schema(spec)).option("recursiveFileLookup", True).json(path)
 
 
 def route_stream(queries: DataFrame, scorer: Scorer, cfg: RuleConfig, text: str = "input") -> DataFrame:
@@ -52,13 +52,19 @@ def read_fold(spark: SparkSession, path: str) -> DataFrame:
 
 
 def route_and_log(queries: DataFrame, scorer: Scorer, cfg: RuleConfig, path: str, checkpoint: str,
-                  text: str = "input", available_now: bool = True) -> StreamingQuery:
+                  text: str = "input", name: str = "routed", available_now: bool = True) -> StreamingQuery:
     """Score each query and append its inference event to the log.
 
-    The event id is derived from the query's ``id``, so a replayed batch
-    produces the same events.
+    The event id is derived from the query's ``id``, and each batch has its own
+    folder below the log, so a replayed batch gives the same events once.  (A
+    streaming file sink would hide files that batch jobs append to the log.)
     """
     routed = route_stream(queries, scorer, cfg, text)
     at = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS+00:00") if "timestamp" in queries.columns else None
     events = to_events(routed, cfg, text, event_id=F.md5(F.col("id").cast("string")), at=at)
-    return append_stream(events, path, checkpoint, "json", available_now)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}-{batch_id:09d}")
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
