@@ -159,9 +159,12 @@ class Scorer:
     vocabulary: str
 
     def fields(self) -> dict[str, list[int]]:
+        """Places of each field's heads, which stand together in head order."""
         out: dict[str, list[int]] = {}
         for i, head in enumerate(self.heads):
             out.setdefault(head["field"], []).append(i)
+        if any(places[-1] - places[0] + 1 != len(places) for places in out.values()):
+            raise ValueError("heads of one field have to stand together")
         return out
 
 
@@ -220,41 +223,47 @@ def score_join(df: DataFrame, model: TokenModel, key: str, text: str = "input")
     return hits.unionByName(biases).groupBy(key, "head").agg(F.sum("weight").alias("total"))
 
 
-def probability(total: Column) -> Column:
-    return X.sigmoid(total.cast("double") / F.lit(float(UNIT)))
+def probabilities(sums: str = "score_sums") -> Column:
+    """Head sums as probabilities, in head order."""
+    return F.transform(sums, lambda total: X.sigmoid(total.cast("double") / F.lit(float(UNIT))))
 
 
-def add_confidence(df: DataFrame, scorer: Scorer, sums: str = "score_sums", prefix: str = "conf_") -> DataFrame:
+def _is_binary(heads: list[dict]) -> bool:
+    return len(heads) == 1 and heads[0]["label"] == "true"
+
+
+def add_confidence(df: DataFrame, scorer: Scorer, probs: str = "score_probs", prefix: str = "conf_") -> DataFrame:
     """Scores as columns: a double per binary field, a label map per other."""
     columns = {}
     for name, places in scorer.fields().items():
         heads = [scorer.heads[i] for i in places]
-        values = [probability(F.get(sums, F.lit(i))) for i in places]
-        if len(heads) == 1 and heads[0]["label"] == "true":
-            columns[prefix + name] = values[0]
+        if _is_binary(heads):
+            columns[prefix + name] = F.get(probs, F.lit(places[0]))
         else:
-            columns[prefix + name] = F.create_map(*[
-                part for head, value in zip(heads, values) for part in (F.lit(head["label"]), value)])
+            scores = F.slice(probs, places[0] + 1, len(places))
+            columns[prefix + name] = F.map_from_arrays(X.label_array([h["label"] for h in heads]), scores)
     return df.withColumns(columns)
 
 
-def add_decisions(df: DataFrame, scorer: Scorer, set_fields: tuple[str, ...] = ("topics",),
-                  sums: str = "score_sums", prefix: str = "model_") -> DataFrame:
+def add_decisions(df: DataFrame, scorer: Scorer, set_fields: tuple[str, ...] = ("topics",), sums: str = "score_sums",
+                  probs: str = "score_probs", prefix: str = "model_") -> DataFrame:
     """Decisions: threshold for binary and set fields, best label otherwise.
 
     Thresholds test the unrounded score; ties go to the earliest label."""
     columns = {}
     for name, places in scorer.fields().items():
         heads = [scorer.heads[i] for i in places]
-        totals = [F.get(sums, F.lit(i)) for i in places]
-        if len(heads) == 1 and heads[0]["label"] == "true":
-            columns[prefix + name] = probability(totals[0]) >= F.lit(heads[0]["threshold"])
+        first, labels = places[0], X.label_array([h["label"] for h in heads])
+        if _is_binary(heads):
+            columns[prefix + name] = F.get(probs, F.lit(first)) >= F.lit(heads[0]["threshold"])
         elif name in set_fields:
-            picks = [F.when(probability(t) >= F.lit(h["threshold"]), F.lit(h["label"])) for h, t in zip(heads, totals)]
-            columns[prefix + name] = F.array_compact(F.array(*picks)).cast("array<string>")
+            limits = F.array(*[F.lit(h["threshold"]) for h in heads])
+            columns[prefix + name] = _at_least(labels, probs, first, limits)
         else:
-            best = F.array_max(F.array(*[
-                F.struct(t.alias("total"), F.lit(-h["label_pos"]).alias("place"), F.lit(h["label"]).alias("label"))
-                for h, t in zip(heads, totals)]))
-            columns[prefix + name] = best["label"]
+            totals = F.slice(sums, first + 1, len(places))
+            columns[prefix + name] = F.get(labels, (F.array_position(totals, F.array_max(totals)) - 1).cast("int"))
     return df.withColumns(columns)
+
+
+def _at_least(labels: Column, probs: str, first: int, limits: Column) -> Column:
+    return F.filter(labels, lambda _, i: F.get(probs, i + first) >= F.get(limits, i))

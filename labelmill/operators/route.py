@@ -94,9 +94,7 @@ def route(df: DataFrame, model: H.TokenModel | H.Scorer, cfg: RuleConfig, text:
     scorer = model if isinstance(model, H.Scorer) else H.compile_model(model)
     if scorer is None:
         raise ValueError("model too large for inline scoring; use route_join")
-    scored = H.score_inline(df, scorer, text)
-    decided = H.add_decisions(H.add_confidence(scored, scorer), scorer).drop("score_sums")
-    return _finish(decided, cfg, text)
+    return _finish(H.score_inline(df, scorer, text), scorer, cfg, text)
 
 
 def route_join(df: DataFrame, model: H.TokenModel, cfg: RuleConfig, key: str, text: str = "input") -> DataFrame:
@@ -108,12 +106,12 @@ def route_join(df: DataFrame, model: H.TokenModel, cfg: RuleConfig, key: str, te
     gathered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("head", "total"))).alias("__rows"))
     sums = gathered.select(key, F.transform("__rows", lambda x: x["total"]).alias("score_sums"))
     scorer = H.Scorer(heads, F.lit(None), "")
-    scored = df.join(sums, key)
-    decided = H.add_decisions(H.add_confidence(scored, scorer), scorer).drop("score_sums")
-    return _finish(decided, cfg, text)
+    return _finish(df.join(sums, key), scorer, cfg, text)
 
 
-def _finish(decided: DataFrame, cfg: RuleConfig, text: str) -> DataFrame:
+def _finish(scored: DataFrame, scorer: H.Scorer, cfg: RuleConfig, text: str) -> DataFrame:
+    known = scored.withColumn("score_probs", H.probabilities())
+    decided = H.add_decisions(H.add_confidence(known, scorer), scorer).drop("score_sums", "score_probs")
     with_rules = rule_predict(with_model_default(decided, cfg), cfg, text, "rule_")
     return combine(round_confidence(with_rules, cfg), cfg)
 

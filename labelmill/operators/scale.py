@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ def dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables that all executors see."""
+    """Folder for intermediate tables that all executors see."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
@@ -40,12 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and freezes row placement."""
+    """The same rows read back from a table in the shared folder.
+
+    Survives lost executors and freezes row placement.  Unlike a checkpoint the
+    table is columnar, and the optimizer knows its size.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/labelmill/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def explode_rows(df: DataFrame, keep: Sequence[str], values: Column | str, name: str) -> DataFrame:

@@ -93,8 +93,8 @@ def fill_quotas(categories: Sequence[tuple[DataFrame, str, int]], existing: Data
 
     A text accepted earlier blocks later categories; a text left over when a
     quota was full stays available to them.  So categories go in turn, each
-    anti-joined with what was accepted so far, with a reliable checkpoint
-    between them.  All categories share one schema.  Adds ``category_pos``.
+    anti-joined with what was accepted so far, which is written as a table
+    after each.  All categories share one schema.  Adds ``category_pos``.
     """
     accepted: DataFrame | None = None
     for place, (candidates, name, quota) in enumerate(categories):

@@ -55,7 +55,7 @@ def logodds_scores_join(spark, sf):
 
 def logodds_predict(spark, sf):
     rows, scorer = scored(spark, sf)
-    out = H.add_decisions(rows, scorer, (), prefix="")
+    out = H.add_decisions(rows.withColumn("score_probs", H.probabilities()), scorer, (), prefix="")
     return out.select("doc_id", "quality", "toxic", "lang")
 
 

@@ -99,7 +99,7 @@ def test_decisions_thresholds_and_ties(spark):
              (4, "kind", "p", 0, 5, 0.5), (5, "kind", "q", 1, 5, 0.5), (6, "kind", "r", 2, 4, 0.5)]
     model, scorer = scorer_of(spark, heads, [(5, "push", 1)])
     texts = spark.createDataFrame([("none",), ("push it",)], "input string")
-    out = H.add_decisions(H.score_inline(texts, scorer), scorer).collect()
+    out = H.add_decisions(H.score_inline(texts, scorer).withColumn("score_probs", H.probabilities()), scorer).collect()
     assert [(r.model_f, r.model_g, r.model_topics, r.model_kind) for r in out] == [
         (True, False, ["x"], "p"), (True, False, ["x"], "q")]
 
