@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from labelmill.config import LabelSpec
 from labelmill.functions import text as X
 from labelmill.operators.corpus import label_names
-from labelmill.operators.scale import top_k
+from labelmill.operators.scale import HOT_ROWS, join_by_key, top_k
 
 
 def interaction_key() -> Column:
@@ -66,11 +66,12 @@ def interactions(folded: DataFrame) -> DataFrame:
         F.col("review_count").cast("int").alias("review_count"))
 
 
-def reviews_of(events: DataFrame, folded: DataFrame) -> DataFrame:
+def reviews_of(events: DataFrame, folded: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Review events that belong to a folded interaction, one row each; their
     order is (timestamp, id)."""
     reviews = events.filter(F.col("entry_type") == "review").withColumn("interaction_id", interaction_key())
-    return reviews.join(folded.select("interaction_id"), "interaction_id", "left_semi")
+    known = folded.filter(F.col("review_count") > 0).select("interaction_id", F.col("review_count").alias("__reviews"))
+    return join_by_key(reviews, known, "interaction_id", "__reviews", hot_rows).drop("__reviews")
 
 
 def add_resolved(folded: DataFrame) -> DataFrame:

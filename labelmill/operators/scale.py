@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 # so at most (rows / HOT_ROWS) keys are ever broadcast.
 HOT_ROWS = 1_000_000
 
+# Up to this many first rows are merged in one task.
+MERGE_ROWS = 1_000
+
 
 def dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Small dimension table from driver values, as a local relation: its exact
@@ -93,6 +96,17 @@ def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank", parti
     )
 
 
+def first_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """First ``n`` rows in a total order.
+
+    Few rows are kept per task and merged; many rows are ranked by range
+    partitions instead, so that no task has to hold or merge all of them.
+    """
+    if n <= MERGE_ROWS:
+        return df.orderBy(*order).limit(n)
+    return global_rank(df, order, "__n").filter(F.col("__n") <= n).drop("__n")
+
+
 def join_by_key(df: DataFrame, stats: DataFrame, key: str, count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join of rows with one-row-per-key ``stats``.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as X
-from labelmill.operators.scale import cut_lineage, dim, global_rank
+from labelmill.operators.scale import cut_lineage, dim, first_n, global_rank
 
 
 def template_grid(base: DataFrame, category: str, templates: Sequence[str], slots: dict[str, Column],
@@ -101,7 +101,7 @@ def fill_quotas(categories: Sequence[tuple[DataFrame, str, int]], existing: Data
         fresh = unique_candidates(candidates, existing, order, text, existing_text)
         if accepted is not None:
             fresh = fresh.join(accepted.select("norm_key"), "norm_key", "left_anti")
-        picked = fresh.orderBy(*order).limit(quota)
+        picked = first_n(fresh, [F.col(c) for c in order], quota)
         picked = picked.withColumns({"category": F.lit(name), "category_pos": F.lit(place)})
         step = cut_lineage(picked) if place + 1 < len(categories) else picked
         accepted = step if accepted is None else accepted.unionByName(step)
@@ -153,10 +153,13 @@ def allocate_stratified(rows: DataFrame, stratum: Sequence[str], key: str, share
     return rows.withColumn("split", last if whens is None else whens.otherwise(last))
 
 
-def pick_rows(rows: DataFrame, wanted: Column, order: Sequence[Column], n: int) -> DataFrame:
-    """First ``n`` rows that satisfy a condition, with their 0-based pick."""
-    picked = rows.filter(wanted).orderBy(*order).limit(n)
-    return global_rank(picked, order, "pick").withColumn("pick", F.col("pick") - 1)
+def pick_rows(rows: DataFrame, wanted: Column, key: str, order: Sequence[str], n: int) -> DataFrame:
+    """First ``n`` rows that satisfy a condition: (key, pick), picks from 0.
+
+    Only the key and the order columns are sorted, never the texts."""
+    narrow = rows.filter(wanted).select(key, *[c for c in order if c != key])
+    ordering = [F.col(c) for c in order]
+    return global_rank(first_n(narrow, ordering, n), ordering, "pick").select(key, (F.col("pick") - 1).alias("pick"))
 
 
 def phrase_pool(phrases: DataFrame, existing: DataFrame, order: Sequence[str], n: int, text: str = "phrase",
@@ -164,7 +167,7 @@ def phrase_pool(phrases: DataFrame, existing: DataFrame, order: Sequence[str], n
     """First ``n`` phrases that are new to the corpus and to each other, ranked."""
     fresh = unique_candidates(phrases, existing, order, text, existing_text)
     ordering = [F.col(c) for c in order]
-    ranked = global_rank(fresh.orderBy(*ordering).limit(n), ordering, "pick")
+    ranked = global_rank(first_n(fresh, ordering, n), ordering, "pick")
     return ranked.select((F.col("pick") - 1).alias("pick"), text)
 
 
@@ -172,7 +175,9 @@ def ranked_rewrite(rows: DataFrame, picks: DataFrame, pool: DataFrame, key: str,
                    updates: dict[str, Column] | None = None) -> DataFrame:
     """Give the k-th picked row the k-th pooled phrase; all other rows, and
     picks beyond the pool, stay as they are.  ``updates`` may use ``pick``."""
-    matched = picks.select(key, "pick").join(pool.select("pick", F.col(phrase).alias("__new")), "pick")
+    # Written, so that the join to all rows knows how small the matches are and
+    # need not shuffle the texts.
+    matched = cut_lineage(picks.select(key, "pick").join(pool.select("pick", F.col(phrase).alias("__new")), "pick"))
     joined = rows.join(matched, key, "left")
     changed = F.col("__new").isNotNull()
     out = joined.withColumn("rewritten", changed).withColumn(text, F.coalesce("__new", text))

@@ -10,7 +10,7 @@ from labelmill.functions import text as X
 from labelmill.operators import feedback as FB
 from labelmill.operators import logodds as H
 from labelmill.operators import synth as M
-from labelmill.operators.scale import shared_dir
+from labelmill.operators.scale import join_by_key, shared_dir
 from labelmill.plans import bindings as B
 from labelmill.plans import sqltext as S
 from labelmill.streaming import live
@@ -60,11 +60,13 @@ def review_queue(spark, sf):
 
 
 def corrections(spark, sf):
-    """Correction text parsed into labels; blanks keep the predicted value."""
-    rows = folded(spark, sf).select("interaction_id", "prediction").join(
-        B.table(spark, sf, "events").select(
-            F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("interaction_id"), "event_id", "event_type", "value"),
-        "interaction_id")
+    """Correction text of each review parsed into labels; blanks keep the
+    predicted value."""
+    kind = F.col("event_type")
+    reviews = B.table(spark, sf, "events").filter(kind.isin("purchase", "error")).select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("interaction_id"), "event_id", "event_type", "value")
+    known = folded(spark, sf).filter("review_count > 0").select("interaction_id", "prediction", "review_count")
+    rows = join_by_key(reviews, known, "interaction_id", "review_count")
     raw_bool = F.when(F.col("value") > 30, " Yes ").when(F.col("value") > 10, "no").otherwise(" ")
     raw_list = F.when(F.col("value") > 20, F.concat(F.col("event_type"), F.lit(" , ,b"))).otherwise("")
     raw_text = F.when(F.col("value") > 15, F.concat(F.lit(" "), F.col("event_type"))).otherwise("  ")
@@ -201,7 +203,7 @@ def ranked_rewrite(spark, sf):
     """The k-th document with a license line gets the k-th unused phrase."""
     docs = B.documents(spark, sf).select("doc_id", "text", "lang", F.lit("kept").alias("notes"))
     wanted = F.lower("text").contains("license")
-    picks = M.pick_rows(docs.select("doc_id", "text"), wanted, [F.col("doc_id")], 160)
+    picks = M.pick_rows(docs, wanted, "doc_id", ["doc_id"], 160)
     pool = M.phrase_pool(B.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("phrase")),
                          docs.select(F.col("text").alias("input")), ["item_id"], 160)
     out = M.ranked_rewrite(docs, picks, pool, "doc_id", "text", updates={
@@ -364,7 +366,7 @@ ORACLE = {
     "corrections": f"""WITH {_LOG} SELECT event_id, CASE WHEN e.value > 30 THEN true WHEN e.value > 10 THEN false ELSE large END AS large,
  CASE WHEN e.value > 20 THEN e.event_type || ', b' ELSE {_T('tags')} END AS tags,
  CASE WHEN e.value > 15 THEN e.event_type ELSE level END AS level
-FROM fold JOIN events e ON fold.interaction_id = 'u' || CAST(e.user_id AS VARCHAR)""",
+FROM fold JOIN events e ON fold.interaction_id = 'u' || CAST(e.user_id AS VARCHAR) WHERE e.event_type IN ('purchase', 'error')""",
     "field_errors": f"""WITH {_LOG} SELECT interaction_id, 'level' AS field, level AS pred_value, f_level AS final_value FROM fin WHERE done AND level <> f_level
  UNION ALL SELECT interaction_id, 'large', CAST(large AS VARCHAR), CAST(f_large AS VARCHAR) FROM fin WHERE done AND large <> f_large
  UNION ALL SELECT interaction_id, 'tags', '[' || {_T('tags')} || ']', '[' || {_T('f_tags')} || ']' FROM fin WHERE done AND list_sort(tags) <> list_sort(f_tags)""",

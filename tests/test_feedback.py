@@ -93,7 +93,8 @@ def test_resolution_queue_and_reviews(log):
     assert sorted(r.id for r in FB.feedback_rows(folded).collect()) == ["feedback_a", "feedback_b", "feedback_g", "feedback_h"]
     assert sorted(r.interaction_id for r in FB.review_queue(folded).collect()) == ["d", "e"]
     assert FB.review_queue(folded, everything=True).count() == 7
-    assert sorted(r.id for r in FB.reviews_of(log, folded).collect()) == ["g", "r1", "r2", "r3", "r5", "r6", "r7"]
+    for hot_rows in (1_000_000, 1):
+        assert sorted(r.id for r in FB.reviews_of(log, folded, hot_rows).collect()) == ["g", "r1", "r2", "r3", "r5", "r6", "r7"]
 
 
 def test_one_interaction_with_most_events(spark, tmp_path):

@@ -59,3 +59,10 @@ def test_intermediate_tables_go_to_the_configured_folder(spark):
     assert sorted(map(tuple, out.collect())) == [(0, [0]), (1, [1]), (2, [2])]
     assert all(folder in path for path in out.inputFiles())
     assert Z.cut_lineage(spark.range(0)).count() == 0
+
+
+def test_first_n_by_merge_and_by_rank(spark, monkeypatch):
+    df = spark.range(200).select((F.col("id") * 7 % 200).alias("v"))
+    few = sorted(r.v for r in Z.first_n(df, [F.desc("v")], 30).collect())
+    monkeypatch.setattr(Z, "MERGE_ROWS", 5)
+    assert few == sorted(r.v for r in Z.first_n(df, [F.desc("v")], 30).collect()) == list(range(170, 200))

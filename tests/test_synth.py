@@ -96,7 +96,7 @@ def test_stratified_split_covers_every_stratum(spark):
 
 def test_ranked_rewrite_aligns_picks_and_phrases(spark):
     docs = spark.createDataFrame([(i, f"tmpl {i}" if i % 2 else f"keep {i}", "n") for i in range(8)], "id int, input string, notes string").repartition(3)
-    picks = M.pick_rows(docs, F.col("input").startswith("tmpl"), [F.col("id")], 3)
+    picks = M.pick_rows(docs, F.col("input").startswith("tmpl"), "id", ["id"], 3)
     assert sorted((r.pick, r.id) for r in picks.collect()) == [(0, 1), (1, 3), (2, 5)]
     phrases = spark.createDataFrame([(1, "Keep 2"), (2, "fresh one"), (3, "FRESH one!"), (4, "another")], "pos int, phrase string")
     pool = M.phrase_pool(phrases, docs, ["pos"], 10)
