@@ -222,8 +222,9 @@ EDGE_COMBOS = (
     ("web_plus_weather", (False, True, True, False, False), 20),
     ("rag_plus_epa", (True, False, False, False, True), 0),
 )
+AUDIT_COMBO_SPARSE = 12
 AUDIT_COMBOS = tuple(
-    (name, flags[:4]) for name, flags, _ in EDGE_COMBOS if not flags[4]
+    (name, flags[:4], AUDIT_COMBO_SPARSE) for name, flags, _ in EDGE_COMBOS if not flags[4]
 )
 
 GATE_BANDS = (
@@ -247,7 +248,6 @@ AUDIT_BANDS = (
     Band("vague_ratio", 0.08, None, "underrepresented"),
     Band("multi_topic_ratio", 0.18, None, "underrepresented"),
 )
-AUDIT_COMBO_SPARSE = 12
 AUDIT_TOPIC_SHARE = (0.08, 0.22)
 LOW_TOPIC_FLOOR = 20
 LOW_TOPIC_SHARE = 0.04

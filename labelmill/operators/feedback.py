@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from labelmill.config import LabelSpec
 from labelmill.functions import text as X
 from labelmill.operators.corpus import label_names
-from labelmill.operators.scale import HOT_ROWS, join_by_key, top_k
+from labelmill.operators.scale import HOT_ROWS, first_n, join_by_key, top_k
 
 
 def interaction_key() -> Column:
@@ -165,6 +165,16 @@ def field_confusions(errors: DataFrame, first_seen: Column, k: int = 5) -> DataF
     return top_k(counted, ["field"], [F.desc("n"), F.col("first_seen")], k, "position")
 
 
+def field_error_counts(errors: DataFrame) -> DataFrame:
+    """Errors per field, most frequent first."""
+    return errors.groupBy("field").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "field")
+
+
+def failure_examples(marked: DataFrame, order: Sequence[str], k: int = 10) -> DataFrame:
+    """First ``k`` reviewed rows with errors, in the given total order."""
+    return first_n(marked.filter(F.size("mismatches") > 0), [F.col(c) for c in order], k)
+
+
 def feedback_summary(marked: DataFrame) -> DataFrame:
     """Reviewed rows and how many of them have errors."""
     return marked.agg(F.count(F.lit(1)).alias("reviewed"), F.count_if(F.size("mismatches") > 0).alias("with_errors"))

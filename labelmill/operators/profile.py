@@ -237,6 +237,15 @@ def class_samples(df: DataFrame, classes: dict[str, Column], order: Sequence[Col
     return top_k(df.withColumn("class", F.explode(names)), ["class"], order, k, "pick")
 
 
+def combo_classes(flags: Sequence[str], combos: Sequence[tuple], domain: str) -> dict[str, Column]:
+    """Sample classes for exact flag combinations of domain rows."""
+    def exact(values: Sequence[bool]) -> Column:
+        vector = F.array(*[F.col(flag) for flag in flags])
+        return F.col(domain) & (vector == F.array(*[F.lit(v) for v in values]))
+
+    return {name: exact(values) for name, values, *_ in combos}
+
+
 def module_activation(df: DataFrame, modules: dict[str, str], none: str = "none") -> DataFrame:
     """Rows that would start each downstream module, or none at all."""
     active = F.array_compact(F.array(*[F.when(F.col(flag), F.lit(m)) for flag, m in modules.items()]))

@@ -113,6 +113,17 @@ def feedback_summary(spark, sf):
     return FB.feedback_summary(FB.add_mismatches(mined(spark, sf), FIELDS, ["tags"]))
 
 
+def field_error_counts(spark, sf):
+    return FB.field_error_counts(doc_field_errors(spark, sf))
+
+
+def failure_examples(spark, sf):
+    """First ten interactions with errors, by time and id."""
+    marked = FB.add_mismatches(mined(spark, sf), FIELDS, ["tags"])
+    return FB.failure_examples(marked, ["timestamp", "interaction_id"]).select(
+        "interaction_id", X.join_list(F.array_sort("mismatches")).alias("mismatches"), "user_feedback")
+
+
 # --- synthesis -------------------------------------------------------------------
 
 WINDOWS = ("today", "next week")
@@ -257,7 +268,8 @@ QUERIES = {
     "fold_interactions": fold_interactions, "interaction_reviews": reviews, "resolved": resolved,
     "feedback_rows": feedback_rows, "review_queue": review_queue, "corrections": corrections,
     "field_errors": field_errors, "doc_field_errors": doc_field_errors, "failure_patterns": failure_patterns,
-    "field_confusions": field_confusions, "feedback_summary": feedback_summary, "template_grid": template_grid,
+    "field_confusions": field_confusions, "feedback_summary": feedback_summary,
+    "field_error_counts": field_error_counts, "failure_examples": failure_examples, "template_grid": template_grid,
     "recycled_candidates": recycled_candidates, "unique_candidates": unique_candidates, "quota_rows": quota_rows,
     "quota_shortfall": quota_shortfall, "split_alloc": split_alloc, "stratified_split": stratified_split,
     "phrase_pool": phrase_pool, "ranked_rewrite": ranked_rewrite, "topic_rewrite": topic_rewrite,
@@ -378,6 +390,10 @@ SELECT field, pred_value, final_value, n, first_seen, position FROM (
  SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, first_seen) AS position FROM c) WHERE position <= 5""",
     "feedback_summary": f"""WITH {_LOG} SELECT count(*) AS reviewed, count(*) FILTER (level <> f_level OR large <> f_large OR list_sort(tags) <> list_sort(f_tags)) AS with_errors
 FROM fin WHERE done""",
+    "field_error_counts": f"{_DOCERR} SELECT field, count(*) AS n FROM fe GROUP BY field",
+    "failure_examples": f"""WITH {_LOG}, e AS (SELECT interaction_id, timestamp, user_feedback, {S.picked([
+        ("large", "large <> f_large"), ("level", "level <> f_level"), ("tags", "list_sort(tags) <> list_sort(f_tags)")])} AS m FROM fin WHERE done)
+SELECT interaction_id, {_T('m')} AS mismatches, user_feedback FROM e WHERE len(m) > 0 ORDER BY timestamp, interaction_id LIMIT 10""",
     "template_grid": f"""WITH {_BIDS} SELECT c_custkey, template_pos, candidate, CAST(c_custkey AS VARCHAR) || '-' || CAST(w_pos AS VARCHAR) || '-' || CAST(template_pos AS VARCHAR) AS order_key,
  {_CYCLE(B.SPEC.intents)} AS intent, {_CYCLE(B.SPEC.urgencies)} AS urgency,
  CASE WHEN template_pos % 4 = 0 THEN 'hard' WHEN template_pos % 2 = 1 THEN 'medium' ELSE 'simple' END AS difficulty FROM bids""",
