@@ -72,8 +72,8 @@ def phrase_pattern(phrases: Sequence[str]) -> str:
     return rf"(^|[^\p{{L}}\p{{N}}_])({body})($|[^\p{{L}}\p{{N}}_])"
 
 
-def has_phrase(lowered: Column, phrases: Sequence[str]) -> Column:
-    return lowered.rlike(phrase_pattern(phrases))
+def has_phrase(low: Column, phrases: Sequence[str]) -> Column:
+    return low.rlike(phrase_pattern(phrases))
 
 
 def full_match(value: Column, pattern: str) -> Column:
@@ -81,14 +81,20 @@ def full_match(value: Column, pattern: str) -> Column:
     return value.rlike(rf"\A(?:{pattern})\z")
 
 
-def any_keyword(lowered: Column, keywords: Sequence[str]) -> Column:
-    """True when some keyword is a literal substring of ``lowered``."""
+def lowered(text: Column) -> Column:
+    """Lower-case text, '' for null.  Tests on it are never null, so joins and
+    groupings on their results add no null checks that repeat the tests."""
+    return F.coalesce(F.lower(text), F.lit(""))
+
+
+def any_keyword(low: Column, keywords: Sequence[str]) -> Column:
+    """True when some keyword is a literal substring of the lower-case text."""
     words = list(dict.fromkeys(keywords))
     if not words:
         return F.lit(False)
     if len(words) > OR_CHAIN_LIMIT:
-        return F.exists(F.array(*map(F.lit, words)), lambda word: lowered.contains(word))
-    return reduce(lambda a, b: a | b, [lowered.contains(word) for word in words])
+        return F.exists(F.array(*map(F.lit, words)), lambda word: low.contains(word))
+    return reduce(lambda a, b: a | b, [low.contains(word) for word in words])
 
 
 def tokens(text: Column) -> Column:

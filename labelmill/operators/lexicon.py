@@ -20,15 +20,15 @@ def _or(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns) if columns else F.lit(False)
 
 
-def match_columns(lowered: Column, lexicon: Lexicon, prefix: str) -> dict[str, Column]:
+def match_columns(low: Column, lexicon: Lexicon, prefix: str) -> dict[str, Column]:
     """One boolean per lexicon label, named ``prefix + label``."""
-    return {prefix + label: X.any_keyword(lowered, words) for label, words in lexicon.items()}
+    return {prefix + label: X.any_keyword(low, words) for label, words in lexicon.items()}
 
 
-def first_match(lowered: Column, lexicon: Lexicon, default: Column | str) -> Column:
+def first_match(low: Column, lexicon: Lexicon, default: Column | str) -> Column:
     """Label of the first lexicon entry that matches, by lexicon order."""
     fallback = F.lit(default) if isinstance(default, str) else default
-    whens = [F.when(X.any_keyword(lowered, words), F.lit(label)) for label, words in lexicon.items()]
+    whens = [F.when(X.any_keyword(low, words), F.lit(label)) for label, words in lexicon.items()]
     return F.coalesce(*whens, fallback)
 
 
@@ -58,7 +58,7 @@ def rule_predict(df: DataFrame, cfg: RuleConfig, text: str = "input", prefix: st
     topics = match_columns(low, cfg.topic_keywords, "__t_")
     crops = match_columns(low, cfg.crop_keywords, "__c_")
     matched = (
-        df.withColumn("__low", F.lower(F.col(text)))
+        df.withColumn("__low", X.lowered(F.col(text)))
         .withColumns({**flags, **topics, **crops})
     )
     hit = _or([F.col(name) for name in (*crops, *topics, *flags)])

@@ -78,6 +78,8 @@ def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank", parti
 
     Rows are range-partitioned and frozen, counted per partition, and ranked
     inside their partition; the offsets table has one row per partition.
+    Range partitioning samples its input first, so expensive rows are best
+    written before (see :func:`cut_lineage`).
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -101,7 +101,7 @@ def frame(spark: SparkSession, sf: str, flags: Lexicon = RULES.flag_keywords, to
     true = {f"true_{n}": X.any_keyword(low, w) for n, w in TRUE_FLAGS.items()}
     pred = {f"pred_{n}": X.any_keyword(low, w) for n, w in flags.items()}
     picks = {f"__t_{n}": X.any_keyword(low, w) for n, w in topics.items()}
-    marked = documents(spark, sf).withColumn("__low", F.lower("text")).withColumns(
+    marked = documents(spark, sf).withColumn("__low", X.lowered(F.col("text"))).withColumns(
         {**true, **pred, **picks, "true_lang": F.col("lang"), "pred_lang": lang_guess(low)})
     listed = lambda prefix: F.array_compact(F.array(*[F.when(F.col(prefix + n), F.lit(n)) for n in FLAGS])).cast("array<string>")
     return marked.withColumns({"true_topics": listed("true_"), "pred_topics": listed("__t_")}).drop("__low", *picks)
@@ -109,7 +109,7 @@ def frame(spark: SparkSession, sf: str, flags: Lexicon = RULES.flag_keywords, to
 
 def training(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents with a value for every label field."""
-    low = F.lower("text")
+    low = X.lowered(F.col("text"))
     flags = {n: X.any_keyword(low, w) for n, w in TRUE_FLAGS.items()}
     crop = F.when(F.col("lang").isin("fr", "es"), F.lit("latin")).otherwise(F.lit("germanic"))
     rows = labelled(spark, sf).withColumns(flags).withColumns({

@@ -10,7 +10,7 @@ from labelmill.functions import text as X
 from labelmill.operators import feedback as FB
 from labelmill.operators import logodds as H
 from labelmill.operators import synth as M
-from labelmill.operators.scale import join_by_key, shared_dir
+from labelmill.operators.scale import cut_lineage, join_by_key, shared_dir
 from labelmill.plans import bindings as B
 from labelmill.plans import sqltext as S
 from labelmill.streaming import live
@@ -224,7 +224,9 @@ def ranked_rewrite(spark, sf):
 
 def topic_rewrite(spark, sf):
     """New texts for all documents with a topic, by first topic and rank."""
-    rows = B.ruled(spark, sf).filter(F.size("topics") > 0).select("doc_id", "topics", "legal", "lang")
+    # Written first: ranking reads its input twice, and the rules are not cheap.
+    ruled = cut_lineage(B.ruled(spark, sf).select("doc_id", "topics", "lang"))
+    rows = ruled.filter(F.size("topics") > 0)
     ranked = M.global_rank(rows, [F.col("doc_id")], "pick").withColumn("pick", F.col("pick") - 1)
     out = M.topic_rewrite(
         ranked, {"thermal": ("Is {field} hot {window}?", "Heat on {field}?"), "legal": ("May I use {field}?",)},
