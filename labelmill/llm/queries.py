@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import line_dedup, mixing
+from labelmill.llm import line_dedup, mixing, warc
 from labelmill.llm.common import table
 
 
@@ -20,12 +20,27 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op8_line_dedup)}
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages"))
+    return warc.read_archive(archive, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_warc, op8_line_dedup)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE: dict[str, str] = {
+    "op4_warc": """
+        WITH sized AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), best AS (
+            SELECT payload, max(page_id) AS largest FROM sized WHERE octet_length(payload) >= 1000 GROUP BY payload
+        )
+        SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN largest <> page_id THEN largest END AS refers_to
+        FROM sized LEFT JOIN best USING (payload)""",
     "op8_line_dedup": f"""
         WITH texts AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
