@@ -190,9 +190,9 @@ def _slots(spark, sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
         .withColumn("__to", upto)
         .withColumn("__from", F.coalesce(F.lag("__to").over(along), F.lit(0)))
         .filter("__to > __from")
+        .repartition("source_no", "shard")  # the slots of a large source are listed by many tasks
         .withColumn("slot", F.explode(F.sequence("__from", F.col("__to") - 1)))
         .select("shard", "slot", "source_no", "full_blocks", "blocks", "rest", "passes")
-        .repartition("source_no", "slot")
     )
 
 
