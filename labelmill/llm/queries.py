@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import line_dedup, mixing, warc
+from labelmill.llm import chat, line_dedup, mixing, warc
 from labelmill.llm.common import table
 
 
@@ -20,17 +20,40 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.planted(table(spark, sf_dir, "conversations"), -1, ("user", "assistant"), "</s>[INST] ok [/INST]")
+    return chat.digests(chat.render(turns))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.read_archive(archive, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_warc, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op4_warc, op8_line_dedup)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_CONTROL = r"[\[<]\\*(SYS\]|/SYS\]|INST\]|/INST\]|ROLE\]|/ROLE\]|s>|/s>)"
+_FRAME_CHARS = {"system": len("[SYS]  [/SYS]"), "user": len("[INST]  [/INST]"), "assistant": len("<s> </s>")}
+
 ORACLE: dict[str, str] = {
+    "op2_chat": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), sized AS (
+            SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + CASE role
+                {" ".join(f"WHEN '{role}' THEN {n}" for role, n in _FRAME_CHARS.items())}
+                ELSE {len("[ROLE]  [/ROLE] </s>")} + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) END AS chars
+            FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id""",
     "op4_warc": """
         WITH sized AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
