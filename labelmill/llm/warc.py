@@ -35,6 +35,9 @@ FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
 LEVEL = 3
 
+#: Frames that a task reads back.
+TASK_FRAMES = 32
+
 # Fixed values of the public formats.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -265,7 +268,9 @@ def read_archive(archive: Archive, payload: bool = True) -> DataFrame:
                 for k in sorted(numbers):
                     yield _rows(((h, b, bundle, k, at, n) for h, b, at, n in parse(reader.frame(k))), payload)
 
-    return archive.index.select("bundle", "frame").distinct().mapInPandas(read, _RECORD)
+    frames = archive.index.select("bundle", "frame").distinct()
+    # A row stands for a frame of work, so the number of tasks goes by rows.
+    return frames.repartition(max(1, frames.count() // TASK_FRAMES), "bundle", "frame").mapInPandas(read, _RECORD)
 
 
 def fetch(archive: Archive, ids: DataFrame) -> DataFrame:
