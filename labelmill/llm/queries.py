@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import chat, fingerprints, line_dedup, mixing, packing, quality, warc
+from labelmill.llm import chat, fingerprints, line_dedup, mixing, packing, quality, simhash, warc
 from labelmill.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(turns))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.read_archive(archive, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -43,7 +47,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op4_warc, op6_quality, op8_line_dedup, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_simhash, op4_warc, op6_quality, op8_line_dedup, op9_packing, op10_fingerprints)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
