@@ -110,15 +110,15 @@ def likeness(a: Column, b: Column) -> Column:
 def _places(docs: DataFrame) -> DataFrame:
     """For every document the one before it in the order of descending ids, cyclic.
 
-    ``id, key`` of the document; ``to_id, to_key, to_chars`` of the one whose
-    next it is.  Only narrow rows are ranked, by ranges of ids.
+    ``id, key`` of the document; ``to_id, to_key, to_none, to_chars`` of the one
+    whose next it is.  Only narrow rows are ranked, by ranges of ids.
     """
     ids = docs.groupBy("id", "key", "none").agg(F.first("n_chars").alias("n_chars"))
     ranked = cut_lineage(global_rank(ids, [F.col("none"), F.col("id").desc(), F.col("key")], "place"))
     n = F.lit(ranked.count())
     before = ranked.select(
         F.when(F.col("place") == n, 1).otherwise(F.col("place") + 1).alias("place"),
-        F.col("id").alias("to_id"), F.col("key").alias("to_key"), F.col("n_chars").alias("to_chars"),
+        F.col("id").alias("to_id"), F.col("key").alias("to_key"), F.col("none").alias("to_none"), F.col("n_chars").alias("to_chars"),
     )
     return ranked.select("place", "id", "key").join(before, "place").drop("place")
 
@@ -137,22 +137,24 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     are cut before they are shuffled.
     """
     read = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
         F.col("doc_id").isNull().alias("none"), F.xxhash64(whole_text(), F.col("doc_id").isNull()).alias("key"),
         whole_text().alias("text"),
     ).withColumn("n_chars", F.length("text").cast("long"))
     places = _places(read.select("id", "key", "none", "n_chars"))
-    base = with_fingerprint(read.drop("none"), "text", "fingerprint")
-    half = lambda n: F.floor(F.col(n) / 2).cast("int")
+    # Both joins read the same columns of it, so that Spark shuffles it once for both.
+    base = with_fingerprint(read.select("id", "key", "text"), "text", "fingerprint")
+    half = lambda n: F.floor(n / 2).cast("int")
     given = (
         base.join(places, ["id", "key"])
-        .select("to_id", "to_key", F.left("text", half("to_chars")).alias("half"), F.col("fingerprint").alias("next_fingerprint"))
-        .groupBy("to_id", "to_key").agg(F.first("half").alias("half"), F.first("next_fingerprint").alias("next_fingerprint"))
-        .select(F.col("to_id").alias("id"), F.col("to_key").alias("key"), "half", "next_fingerprint")
+        .select("to_id", "to_key", "to_none", F.left("text", half(F.col("to_chars"))).alias("half"), F.col("fingerprint").alias("next_fingerprint"))
+        .groupBy("to_id", "to_key").agg(*[F.first(c).alias(c) for c in ("to_none", "half", "next_fingerprint")])
+        .select(F.col("to_id").alias("id"), F.col("to_key").alias("key"), "to_none", "half", "next_fingerprint")
     )
-    kept = F.left("text", (F.col("n_chars") - half("n_chars")).cast("int"))
+    n_chars = F.length("text")
     edited = base.join(given, ["id", "key"]).select(
-        "doc_id", "n_chars", "fingerprint", "next_fingerprint", F.concat(kept, "half").alias("edited"))
+        F.when(~F.col("to_none"), F.col("id")).alias("doc_id"), n_chars.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint",
+        F.concat(F.left("text", n_chars - half(n_chars)), "half").alias("edited"))
     return (
         with_fingerprint(edited, "edited", "edited_fingerprint")
         .withColumn("edited_sha256", F.sha2("edited", 256))
