@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import chat, fingerprints, lattice, line_dedup, mixing, packing, quality, simhash, warc
+from labelmill.llm import chat, fingerprints, lattice, line_dedup, mixing, packing, quality, simhash, suffix, warc
 from labelmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixed, "doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -51,7 +55,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_simhash, op4_warc, op6_quality, op7_lattice, op8_line_dedup, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_simhash, op4_warc, op5_suffix, op6_quality, op7_lattice, op8_line_dedup, op9_packing, op10_fingerprints)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
