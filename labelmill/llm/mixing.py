@@ -42,7 +42,7 @@ ROUNDS = 24
 
 @dataclass
 class Mixed:
-    """``rows``: the input columns asked for, with ``row, size, source_size, target``.
+    """``rows``: ``row, doc, size, source_size, target``; ``doc`` is a struct of the input columns asked for.
     ``spans``: ``shard, slot, pass, row, first_word, n_words``, the mix itself."""
 
     rows: DataFrame
@@ -109,13 +109,12 @@ def mix(
     source is a source; a source without words has target 0.  Repeated rows
     are rows of their own.  Equal rows may swap places between runs, which
     changes nothing that can be seen.  An empty table gives empty results.
-    ``keep`` are the input columns that ``rows`` carries; names of other
-    columns do not matter.
+    ``keep`` are the input columns that ``rows`` carries; their names do not
+    matter.
     """
     spark = docs.sparkSession
-    kept = [F.col(c).alias(f"in_{c}") for c in keep]
     read = docs.select(
-        *kept, F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("source"),
+        F.struct(*keep).alias("doc"), F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("source"),
         text_key().alias("__key"), word_count(whole_text()).alias("size"),
     )
     rows = cut_lineage(read.withColumn("row", F.monotonically_increasing_id()))
@@ -142,8 +141,7 @@ def mix(
     )
     placed = cut_lineage(placed)
     spans = _spans(placed, _slots(spark, sources, shard_slots, seed), block_words)
-    back = rows.select("row", *[F.col(f"in_{c}").alias(c) for c in keep])
-    return Mixed(back.join(placed.select("row", "size", "source_size", "target"), "row"), spans, sources)
+    return Mixed(rows.select("row", "doc").join(placed.select("row", "size", "source_size", "target"), "row"), spans, sources)
 
 
 def _with_slots(targets: DataFrame, block_words: int, max_repeats: int) -> DataFrame:
@@ -242,9 +240,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     spans = mixed.spans.groupBy("row", "pass").agg(
         F.sum("n_words").alias("__taken"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__spans"),
     )
-    words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0)
-    text = F.when(F.col("__taken") == F.col("size"), F.col("text")).otherwise(F.array_join(
+    words = F.regexp_extract_all(F.col("doc.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0)
+    text = F.when(F.col("__taken") == F.col("size"), F.col("doc.text")).otherwise(F.array_join(
         F.flatten(F.transform("__spans", lambda s: F.slice("__words", (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")))), ""))
     cut = F.when(F.col("__taken") < F.col("size"), words)
-    out = mixed.rows.join(spans, "row").withColumn("__words", cut).withColumn("text", text)
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    out = mixed.rows.join(spans, "row").withColumn("__words", cut).withColumn("__new", text)
+    new = {"text": F.col("__new"), "n_chars": F.length("__new").cast("long")}
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -243,8 +243,8 @@ def pack(
     ids below 0.  Repeated rows are packed each; an empty table stays empty.
     """
     spark = pieces.sparkSession
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "item")]
-    frozen = cut_lineage(pieces.select(*names, F.monotonically_increasing_id().alias("item")))
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    frozen = cut_lineage(pieces.select(F.struct(*names).alias("piece"), F.col("length"), F.monotonically_increasing_id().alias("item")))
     small = frozen.filter(F.col("length") < capacity)
     n_groups = max(1, -(-small.count() // group_items))
     groups = (
@@ -270,6 +270,6 @@ def pack(
     placed = best.select("group", "r.*").mapInPandas(_offsets, _PLACED)
     packed = small.join(placed, "item").withColumn("sequence_id", F.shiftleft("group", 32) + F.col("bin"))
     whole = frozen.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("item")).withColumn("offset", F.lit(0).cast("long"))
-    out = [*names, "sequence_id", "offset"]
+    out = [*[F.col(f"piece.`{c}`") for c in names], "sequence_id", "offset"]
     return packed.select(*out).unionByName(whole.select(*out))
 

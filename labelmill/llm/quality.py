@@ -128,7 +128,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
         .select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality"))
     )
     chosen = top_k(wanted, ["quality"], [F.xxhash64("__id"), F.col("__id")], per_class)
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", whole_text().alias("text"), "quality")
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:

@@ -11,7 +11,7 @@ from labelmill.llm.common import table
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixing.taken_words(mixed, "doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(mixed, "doc.doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
