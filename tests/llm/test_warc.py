@@ -1,0 +1,55 @@
+import hashlib
+import os
+
+import zstandard
+from pyspark.sql import functions as F
+
+from labelmill.llm import warc
+
+
+def test_bundle_is_frames_and_a_seek_table(tmp_path):
+    writer = warc.BundleWriter(str(tmp_path), 500, 3)
+    records = [warc.record(i, f"http://x/{i}\r\nWARC-Type: fake", os.urandom(200), "00", None)[2] for i in range(20)]
+    places = [writer.add(r) for r in records]
+    writer.close()
+    reader = warc.BundleReader(f"{tmp_path}/{writer.name}")
+    assert len(reader.entries) == places[-1][0] + 1 > 5
+    for (frame, offset), data in zip(places, records):
+        assert reader.frame(frame)[offset:offset + len(data)] == data
+    with open(f"{tmp_path}/{writer.name}", "rb") as f:
+        whole = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+    assert whole == b"".join(records)
+    found = [(h["WARC-Page-ID"], block) for h, block, _, _ in warc.parse(whole)]
+    assert [p for p, _ in found] == [str(i) for i in range(20)]
+
+
+def test_pages_read_back(spark, tmp_path):
+    big, other = "<p>é</p>" * 200, "y" * 1000
+    rows = [(1, "u1", big), (5, None, big), (3, "a\nb\x00%41é", big), (None, "none", big), (2, "u", other), (9, "u", "z" * 999), (8, "u", "z" * 999),
+            (4, "e", ""), (6, "n", None), (7, "r", "r" * 2000), (7, "r", "r" * 2000), (10, "long", "0123456789" * 300_000)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
+    archive = warc.write_archive(pages, f"file://{tmp_path}/w", frame_bytes=3000)
+    got = warc.read_archive(archive).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for i, _, h in rows:
+        if len((h or "").encode()) >= 1000 and i is not None:
+            by[h] = max(by.get(h, i), i)
+    want = []
+    for i, u, h in rows:
+        data = (h or "").encode()
+        to = by.get(h) if by.get(h) != i and len(data) >= 1000 else None
+        want.append(str((i, u, len(data), hashlib.sha1(data).hexdigest(), "response" if to is None else "revisit", to)))
+    assert sorted(str((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == sorted(want)
+    payloads = {r.page_id: bytes(r.payload) for r in got if r.record_type == "response"}
+    assert payloads[5] == big.encode() and payloads[10] == rows[-1][2].encode() and payloads[4] == b""
+    index = {r.page_id: r for r in archive.index.collect()}
+    wanted = archive.index.filter(F.col("page_id").isin(3, 9, 10)).select("record_id")
+    fetched = {r.page_id: r for r in warc.fetch(archive, wanted).collect()}
+    assert {k: r.record_id for k, r in fetched.items()} == {k: index[k].record_id for k in (3, 9, 10)}
+    assert bytes(fetched[9].payload) == b"z" * 999 and fetched[3].record_type == "revisit"
+
+
+def test_no_pages(spark, tmp_path):
+    archive = warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert archive.index.count() == 0 and warc.read_archive(archive).count() == 0 and os.listdir(tmp_path / "w") == []
