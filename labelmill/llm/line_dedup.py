@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelmill.llm.common import text_key, whole_text
 from labelmill.operators.scale import cut_lineage
@@ -170,7 +171,7 @@ def _stream(min_docs: int, keep_first: bool):
     return stream
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _bitmap(n_lines: pd.Series, dropped: pd.Series) -> pd.Series:
     def bits(n, lines):
         keep = np.ones(n, dtype=bool)
@@ -189,7 +190,7 @@ def kept_lines(text: str, bitmap: bytes | None) -> str:
     return "\n".join(line for line, bit in zip(lines, keep) if bit)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _kept(text: pd.Series, bitmap: pd.Series) -> pd.Series:
     return pd.Series([kept_lines(t, b) for t, b in zip(text, bitmap)], dtype=object)
 

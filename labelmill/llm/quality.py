@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelmill.llm.common import whole_text
 from labelmill.operators.scale import top_k
@@ -155,7 +156,7 @@ def score(model: Model):
     """A column function: chance from 0 to 1 that a text is of class 1; null and empty texts have the bias alone."""
     parts, bias = model.parts, model.bias
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = _Words(parts)
         for texts in batches:

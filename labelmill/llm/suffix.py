@@ -36,6 +36,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelmill.llm.common import whole_text
 from labelmill.operators.scale import cut_lineage
@@ -268,7 +269,7 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=[x.split()[0] for x in _FOUND.split(", ")])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed(texts: pd.Series) -> pd.Series:
     pack = zstandard.ZstdCompressor(level=3).compress
     return pd.Series([pack(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
