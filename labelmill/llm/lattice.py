@@ -123,12 +123,15 @@ def _celled(ask: bool, tables: int, blocks: int, probes: int):
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """Different vectors per label: ``class, label, embedding, norm, least, n``; vectors that link with nothing are left out."""
+    """Different vectors per label: ``class, label, embedding, scaled, norm, least, n``; vectors that link with nothing are left out."""
     ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    # By a power of two, which is exact, so that no square overflows or vanishes.
+    by = F.pow(F.lit(2.0), F.least(F.lit(1023.0), -F.floor(F.log2(F.array_max(F.transform("embedding", lambda x: F.abs(x)))))))
+    size = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
     usable = vectors.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", ok)).filter(F.exists("embedding", lambda x: x != 0))
     grouped = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    return cut_lineage(grouped.withColumn("norm", size).withColumn("class", F.monotonically_increasing_id()))
+    scaled = grouped.withColumn("by", by).withColumn("scaled", F.transform("embedding", lambda x: x * F.col("by"))).drop("by")
+    return cut_lineage(scaled.withColumn("norm", size).withColumn("class", F.monotonically_increasing_id()))
 
 
 def class_links(classes: DataFrame, cosine: float = COSINE, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES) -> DataFrame:
@@ -138,7 +141,7 @@ def class_links(classes: DataFrame, cosine: float = COSINE, tables: int = TABLES
     asked = read.mapInArrow(_celled(True, tables, blocks, probes), "class long, cell long").withColumnRenamed("class", "y")
     met = held.join(asked, "cell").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = lambda name: classes.select(
-        F.col("class").alias(name), F.col("label").alias(f"label_{name}"), F.col("embedding").alias(f"v_{name}"), F.col("norm").alias(f"norm_{name}"))
+        F.col("class").alias(name), F.col("label").alias(f"label_{name}"), F.col("scaled").alias(f"v_{name}"), F.col("norm").alias(f"norm_{name}"))
     dot = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return (
         met.join(side("a"), "a").join(side("b"), "b")
