@@ -11,9 +11,10 @@ tries bins in an order of its own, which is the same for all texts, and takes
 the value of the first filled one.  The first places of that order come from a
 table; the bins that are still empty then follow by the hash of both bins.
 
-A fingerprint is the low ``BITS`` bits of every bin, packed as hex digits.  Two
-different values agree in them by chance with probability ``2**-BITS``, which
-the likeness takes out.
+A fingerprint is the low ``BITS`` bits of every bin's value, hashed with the bin
+so that a value that fills many bins has bits of its own in each, packed as hex
+digits.  Two different values agree in them by chance with probability
+``2**-BITS``, which the likeness takes out.
 """
 
 from __future__ import annotations
@@ -91,9 +92,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         last = F.array_min(F.transform("__filled", lambda f: F.struct(F.xxhash64(i, bin_of(f)).alias("by"), f.alias("value"))))["value"]
         return F.coalesce(h, *tries, F.when(F.size("__filled") > 0, last))
 
-    digit = lambda h: F.substring(F.lit("0123456789abcdef"), h.bitwiseAND(F.lit(2**BITS - 1)).cast("int") + 1, F.lit(1))
+    digit = lambda h, i: F.substring(F.lit("0123456789abcdef"), F.xxhash64(h, i).bitwiseAND(F.lit(2**BITS - 1)).cast("int") + 1, F.lit(1))
     out = out.withColumn("__orders", orders)
-    return out.select(*own, F.array_join(F.transform("__bins", lambda h, i: digit(value(h, i))), "").alias(name))
+    return out.select(*own, F.array_join(F.transform("__bins", lambda h, i: digit(value(h, i), i)), "").alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:

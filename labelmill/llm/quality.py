@@ -33,7 +33,8 @@ SAMPLE_PER_CLASS = 1500
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 NGRAMS = (3, 4, 5)
-EPOCHS = 6
+#: Steps of training, a document each; small samples are passed over more often.
+STEPS = 18_000
 RATE = 0.1
 DECAY = 0.01
 BIAS_SHARE = 0.1
@@ -100,11 +101,9 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
     bias = np.zeros(2, dtype=np.float32)
     docs, classes = _features(texts), np.asarray(labels)
     weight = {c: len(classes) / (2 * max(1, int((classes == c).sum()))) for c in (0, 1)}
-    steps, step = max(1, EPOCHS * len(docs)), 0
-    for _ in range(EPOCHS):
-        for d in rng.permutation(len(docs)):
-            rate = RATE * (1 - step / steps)
-            step += 1
+    for step in range(0, STEPS if docs else 0, max(1, len(docs))):
+        for k, d in enumerate(rng.permutation(len(docs))):
+            rate = RATE * max(0.0, 1 - (step + k) / STEPS)
             rows, weights = docs[d]
             if not len(rows):
                 continue
