@@ -9,12 +9,13 @@ anchors.  About one byte in fifteen is an anchor.  The *context* of an anchor,
 ``LENGTH - GRAM`` bytes before it to ``LENGTH`` bytes after its start, holds all
 windows with that anchor.  Tasks send hashes of anchor and context, one row per
 document and context, after dropping contexts that a smaller document of the
-same batch has too: those are wholly covered at once.  Anchors with one context
-are decided by the smallest document of the context.
+same batch has too: those are wholly covered at once.  Contexts with several
+documents are decided by the smallest of them.
 
-Deciding the rest.  Where an anchor has several contexts, at the ends of
-passages and at edits, one context per smallest document is fetched from its
-text.  A suffix array over these contexts (sorted by ranks of doubled prefixes)
+Deciding the rest.  A window either has the ``REACH`` bytes before its anchor
+or those after its gram, so different contexts can share a window only if they
+share one of these halves.  Where they do, at the ends of passages and at edits,
+one context per smallest document is fetched from its text.  A suffix array over these contexts (sorted by ranks of doubled prefixes)
 is enhanced with the lengths of common prefixes, and a scan with a stack gives
 the tree of prefix intervals.  An interval whose occurrences differ in the byte
 to their left is a maximal repeat; all of its occurrences but those of the
@@ -46,6 +47,7 @@ GRAM = 20
 BEFORE = LENGTH - GRAM
 WINDOWS = BEFORE + 1
 CONTEXT = BEFORE + LENGTH
+REACH = BEFORE // 2
 
 #: Bytes that are hashed at once, and by how much parts of a longer text overlap.
 PART_BYTES = 1 << 20
@@ -58,7 +60,7 @@ HOT_CONTEXTS = 200_000
 _LARGEST = 2**63 - 1
 _U = np.uint64
 
-_SENT = "part int, id long, key long, spans binary, h binary, ctx binary, doc binary, pos binary, ids binary, keys binary"
+_SENT = "part int, id long, key long, spans binary, codes binary, doc binary, pos binary, ids binary, keys binary"
 _FOUND = "kind int, id long, key long, spans binary, h long, pos long"
 _CONTEXTS = "h long, id long, key long, pos long, before int, bytes binary"
 _SPANS = "id long, key long, spans binary"
@@ -83,13 +85,15 @@ class Anchors:
             step *= 2
         return best(x[: len(x) - (width - step)], x[width - step:]) if width > step else x
 
-    def find(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, hashes and context hashes of all anchors.
+    def find(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all anchors, and four codes of each: of its gram, of the
+        halves to the left and right (0 if the string ends in it), and of the
+        whole context.  Together they are 128 bits that stand for the context.
 
         ``starts`` are the bounds of the strings in ``data``; windows and
         contexts never cross them.
         """
-        none = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        none = np.empty(0, np.int64), np.empty((4, 0), np.uint32)
         if len(data) < LENGTH:
             return none
         m = self.m
@@ -114,16 +118,29 @@ class Anchors:
         lo, hi = starts[of], starts[of + 1]
         whole = (x - BEFORE >= lo) & (x + LENGTH <= hi)
         context = np.zeros(len(x), np.uint64)
+        h32 = pair(h16, 16, 6)
         if whole.any():
-            h64 = pair(pair(h16, 16, 6), 32, 7)
+            h64 = pair(h32, 32, 7)
             at = x[whole] - BEFORE
             context[whole] = h64[at] * m[5] + h16[at + 64]
         raw = data.tobytes() if not whole.all() else b""
         for k in np.flatnonzero(~whole).tolist():
             a, b = max(lo[k], x[k] - BEFORE), min(hi[k], x[k] + LENGTH)
             context[k] = xxhash.xxh64_intdigest(raw[a:b], int(x[k] - a))
-        context = (context ^ (context >> _U(31))) * m[1]
-        return x, h[x], context ^ (context >> _U(33))
+
+        def half(at: np.ndarray, ok: np.ndarray) -> np.ndarray:
+            """Code of the GRAM + REACH bytes from ``at``: of 32 of them, and of the last four."""
+            out = np.zeros(len(at), np.uint64)
+            out[ok] = h32[at[ok]] * m[1] + h4[at[ok] + GRAM + REACH - 4]
+            return out
+
+        left = half(x - REACH, x - REACH >= lo)
+        right = half(x, x + GRAM + REACH <= hi)
+        codes = np.stack([h[x], left, right, context])
+        codes = (codes ^ (codes >> _U(31))) * m[1]
+        codes = ((codes ^ (codes >> _U(29))) >> _U(32)).astype(np.uint32)
+        codes[1:3] = np.where(np.stack([left, right]) == 0, 0, np.maximum(codes[1:3], 1))
+        return x, codes
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -171,12 +188,12 @@ def _sent(parts: int):
                 nonlocal part, size
                 if part:
                     starts = np.concatenate([[0], np.cumsum([len(p[2]) for p in part])])
-                    x, h, c = anchors.find(np.frombuffer(b"".join(p[2] for p in part), np.uint8), starts)
+                    x, codes = anchors.find(np.frombuffer(b"".join(p[2] for p in part), np.uint8), starts)
                     of = np.searchsorted(starts, x, side="right") - 1
                     doc, base, lo, hi = (np.array([p[k] for p in part])[of] for k in (0, 1, 3, 4))
                     pos = x - starts[of] + base
                     own = (pos >= lo) & (pos < hi)
-                    found.append((doc[own], pos[own], h[own], c[own]))
+                    found.append((doc[own], pos[own], codes[:, own]))
                 part, size = [], 0
 
             for d, text in enumerate(batch.column(2).to_pylist()):
@@ -190,27 +207,26 @@ def _sent(parts: int):
             flush()
             if not found:
                 continue
-            doc, pos, h, c = (np.concatenate(x) for x in zip(*found))
-            h = (h >> _U(32)).astype(np.uint32)
-            order = np.lexsort((ids[doc], c, h))
-            h, c, doc, pos = h[order], c[order], doc[order], pos[order]
-            starts = np.flatnonzero(_runs(h, c))
-            first = np.repeat(ids[doc[starts]], np.diff(np.append(starts, len(h)))) if len(h) else ids[:0]
+            doc, pos, codes = (np.concatenate(x, axis=-1) for x in zip(*found))
+            order = np.lexsort((ids[doc], *codes[::-1]))
+            codes, doc, pos = codes[:, order], doc[order], pos[order]
+            starts = np.flatnonzero(_runs(*codes))
+            first = np.repeat(ids[doc[starts]], np.diff(np.append(starts, len(doc)))) if len(doc) else ids[:0]
             later = ids[doc] > first
-            rows = [(int(a % parts), a, k, s, None, None, None, None, None, None) for a, k, s in _covered(doc[later], pos[later], ids, keys)]
-            h, c, doc, pos = h[~later], c[~later], doc[~later], pos[~later]
-            to = (h % np.uint32(parts)).astype(np.int64)
+            rows = [(int(a % parts), a, k, s, None, None, None, None, None) for a, k, s in _covered(doc[later], pos[later], ids, keys)]
+            codes, doc, pos = codes[:, ~later], doc[~later], pos[~later]
+            to = (codes[0] % np.uint32(parts)).astype(np.int64)
             order = np.lexsort((pos, doc, to))
-            h, c, doc, pos, to = h[order], c[order], doc[order], pos[order], to[order]
+            codes, doc, pos, to = codes[:, order], doc[order], pos[order], to[order]
             bounds = np.flatnonzero(_runs(to)) if len(to) else []
             for a, b in zip(bounds, np.append(bounds[1:], len(to)) if len(bounds) else []):
                 used, at = np.unique(doc[a:b], return_inverse=True)
                 rows.append((
-                    int(to[a]), None, None, None, h[a:b].tobytes(), c[a:b].tobytes(), at.astype(np.uint32).tobytes(), pos[a:b].astype(np.uint64).tobytes(),
+                    int(to[a]), None, None, None, codes[:, a:b].tobytes(), at.astype(np.uint32).tobytes(), pos[a:b].astype(np.uint64).tobytes(),
                     ids[used].tobytes(), keys[used].tobytes(),
                 ))
             if rows:
-                kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 7
+                kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _SENT.split(", ")])
 
     return send
@@ -237,26 +253,34 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             ids = np.frombuffer(r["ids"], np.int64)
             gathered.append((
-                np.frombuffer(r["h"], np.uint32), np.frombuffer(r["ctx"], np.uint64), np.frombuffer(r["doc"], np.uint32).astype(np.int64) + base,
+                np.frombuffer(r["codes"], np.uint32).reshape(4, -1), np.frombuffer(r["doc"], np.uint32).astype(np.int64) + base,
                 np.frombuffer(r["pos"], np.uint64).astype(np.int64), ids, np.frombuffer(r["keys"], np.int64)))
             base += len(ids)
         if out:
             yield _table(out, _FOUND)
     if not gathered:
         return
-    h, c, doc, pos, ids, keys = (np.concatenate(x) for x in zip(*gathered))
+    codes, doc, pos, ids, keys = (np.concatenate(x, axis=-1) for x in zip(*gathered))
     del gathered
-    order = np.lexsort((ids[doc], c, h))
-    h, c, doc, pos = h[order], c[order], doc[order], pos[order]
+    order = np.lexsort((ids[doc], *codes[::-1]))
+    codes, doc, pos = codes[:, order], doc[order], pos[order]
     del order
     own = ids[doc]
-    contexts = np.flatnonzero(_runs(h, c))
+    contexts = np.flatnonzero(_runs(*codes))
+    sizes = np.diff(np.append(contexts, len(doc)))
     least = own[contexts]
-    later = own > np.repeat(least, np.diff(np.append(contexts, len(h))))
-    anchors = np.flatnonzero(_runs(h[contexts]))
-    n_contexts = np.diff(np.append(anchors, len(contexts)))
-    mixed = (n_contexts > 1) & (np.minimum.reduceat(least, anchors) < np.maximum.reduceat(least, anchors))
-    asked = np.repeat(np.repeat(mixed, n_contexts), np.diff(np.append(contexts, len(h)))) & ~later
+    later = own > np.repeat(least, sizes)
+    gram = codes[0, contexts].astype(np.uint64) << _U(32)
+    mixed = np.zeros(len(contexts), bool)
+    for side in (1, 2):
+        half = codes[side, contexts]
+        group = np.unique(gram | half, return_inverse=True)[1]
+        lowest, highest = np.full(group.max() + 1, _LARGEST), np.full(group.max() + 1, -_LARGEST - 1)
+        np.minimum.at(lowest, group, least)
+        np.maximum.at(highest, group, least)
+        mixed |= (half != 0) & (lowest[group] < highest[group])
+    h = codes[0]
+    asked = np.repeat(mixed, sizes) & ~later
     rows = [(0, a, k, s, None, None) for a, k, s in _covered(doc[later], pos[later], ids, keys)]
     for at in range(0, len(rows), 10_000):
         yield _table(rows[at:at + 10_000], _FOUND)
