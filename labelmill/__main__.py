@@ -37,7 +37,7 @@ def main(argv: list[str] | None = None) -> None:
         schema = json.loads(Path(args.schema).read_text(encoding="utf-8")) if args.schema else None
         tables = jobs.validate(spark, args.data, spec, schema, combos=combos)
     elif args.job in LOG_JOBS:
-        events = files.read_log(spark, args.data[0], spec)
+        events = files.read_log(spark, args.data, spec)
         tables = jobs.fold_log(events) if args.job == "feedback" else jobs.mine_failures(events, spec)
     else:
         corpus = files.read_splits(spark, args.data, spec)
@@ -58,7 +58,7 @@ def _corpus_tables(args: argparse.Namespace, corpus, spec: G.LabelSpec, combos)
         raise SystemExit(f"{args.job} needs --model")
     pred = jobs.predict(corpus, logodds.load_model(corpus.sparkSession, args.model))
     if args.job == "predict":
-        return {"predictions": pred}
+        return {"predictions": pred, "rejected": jobs.rejected(corpus)}
     if args.job == "compare":
         return jobs.compare_with_rules(corpus, pred)
     frame = jobs.frame_of(corpus, pred, G.AGRONOMY_SPEC)

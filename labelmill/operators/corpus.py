@@ -74,14 +74,14 @@ def flatten(df: DataFrame, spec: LabelSpec) -> DataFrame:
     ``split_pos`` and ``line_no`` are kept where present."""
     position = [c for c in ("split", "split_pos", "line_no") if c in df.columns]
     labels = [F.col(f"labels.{name}").alias(name) for name in label_names(spec)]
-    return df.select(*position, "id", "input", *labels, F.col("meta.difficulty").alias("difficulty"),
-                     F.col("meta.notes").alias("notes"))
+    return df.select(*position, "id", "input", *labels, *[F.col(f"meta.{name}").alias(name) for name in ("source_type", "difficulty", "notes")])
 
 
 def nest(df: DataFrame, spec: LabelSpec, source_type: str = "synthetic") -> DataFrame:
     """Inverse of :func:`flatten`."""
     position = [c for c in ("split", "split_pos", "line_no") if c in df.columns]
-    meta = F.struct(F.lit(source_type).alias("source_type"), "difficulty", "notes").alias("meta")
+    kind = F.coalesce("source_type", F.lit(source_type)) if "source_type" in df.columns else F.lit(source_type)
+    meta = F.struct(kind.alias("source_type"), "difficulty", "notes").alias("meta")
     return df.select(*position, "id", "input", F.struct(*label_names(spec)).alias("labels"), meta)
 
 

@@ -18,6 +18,10 @@ from labelmill.functions import text as X
 from labelmill.operators.scale import dim, top_k
 
 
+#: Class of rows without a prediction.
+UNPREDICTED = "(none)"
+
+
 @dataclass(frozen=True)
 class EvalFields:
     """Fields to compare; columns are ``true_<name>`` and ``pred_<name>``."""
@@ -29,10 +33,27 @@ class EvalFields:
 
 def prediction_frame(truth: DataFrame, pred: DataFrame, fields: Sequence[str], key: str = "id",
                      split: str | None = None, keep: Sequence[str] = ("input",)) -> DataFrame:
-    """Truth and predictions joined on the key, never by position."""
+    """Truth and predictions joined on the key, never by position.
+
+    Every row of the truth stays.  One without a prediction is counted as wrong:
+    its flags are the opposite of the true ones, its class is ``UNPREDICTED``,
+    its lists are null and differ from any list.
+    """
     left = truth.select(key, *keep, *[F.col(c).alias(f"true_{c}") for c in fields])
     right = pred.select(key, *[F.col(c).alias(f"pred_{c}") for c in fields])
-    frame = left.join(right, key)
+    kinds = dict(right.dtypes)
+    frame = left.join(right.withColumn("__predicted", F.lit(True)), key, "left")
+    missing = F.col("__predicted").isNull()
+    fill = {}
+    for c in fields:
+        kind = kinds[f"pred_{c}"]
+        if kind == "boolean":
+            fill[f"pred_{c}"] = F.when(missing, ~F.col(f"true_{c}").cast("boolean")).otherwise(F.col(f"pred_{c}"))
+        elif kind in ("int", "bigint", "tinyint", "smallint"):
+            fill[f"pred_{c}"] = F.when(missing, (1 - F.col(f"true_{c}").cast("int")).cast(kind)).otherwise(F.col(f"pred_{c}"))
+        elif kind == "string":
+            fill[f"pred_{c}"] = F.when(missing, F.lit(UNPREDICTED)).otherwise(F.col(f"pred_{c}"))
+    frame = frame.withColumns(fill).drop("__predicted")
     if split is not None:
         frame = frame.withColumn("split", F.lit(split))
     counts = {f"{name.removesuffix('s')}_count": F.size(f"true_{name}") for name in ("topics", "crops") if name in fields}
@@ -57,14 +78,14 @@ def outcome_counts(frame: DataFrame, fields: EvalFields) -> DataFrame:
     for name, space in fields.sets.items():
         true, pred = F.col(f"true_{name}"), F.col(f"pred_{name}")
         in_true = [F.array_contains(true, label) for label in space]
-        in_pred = [F.array_contains(pred, label) for label in space]
+        in_pred = [F.coalesce(F.array_contains(pred, label), ~F.array_contains(true, label)) for label in space]
         cells += [
             cell("set", name, F.lit(label), t.cast("int"), p.cast("int"))
             for label, t, p in zip(space, in_true, in_pred)
         ]
         differs = X.lists_differ(X.decode_hot(X.multi_hot(true, space, False), space),
                                  X.decode_hot(X.multi_hot(pred, space, False), space), ordered=True)
-        cells.append(cell("subset", name, none, F.lit(1), (~differs).cast("int")))
+        cells.append(cell("subset", name, none, F.lit(1), F.coalesce((~differs).cast("int"), F.lit(0))))
     counted = frame.select(F.inline(F.array(*cells))).groupBy("kind", "field", "label", "t", "p").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.array_position(X.label_array(KINDS), F.col("kind"))).alias("code"))
     # ``kind`` is read from an aggregate, because filters on a grouping column
@@ -302,11 +323,12 @@ def error_examples(errors: DataFrame, order: Sequence[Column], limits: dict[str,
 def check_expectations(cases: DataFrame, predictions: DataFrame, scalars: Sequence[str], lists: Sequence[str],
                        key: str = "name") -> DataFrame:
     """Named cases against predictions on the same key.  Expected columns are
-    ``exp_<field>``, null when not checked; lists pass when contained."""
-    joined = cases.join(predictions, key)
+    ``exp_<field>``, null when not checked; lists pass when contained.  A case
+    without a prediction fails all that it checks."""
+    joined = cases.join(predictions, key, "left")
     checks = [F.when(F.col(f"exp_{c}").isNotNull(), F.coalesce(F.col(c).eqNullSafe(F.col(f"exp_{c}")), F.lit(False)))
               for c in scalars]
-    checks += [F.when(F.col(f"exp_{c}").isNotNull(), X.contains_all(F.col(c), F.col(f"exp_{c}"))) for c in lists]
+    checks += [F.when(F.col(f"exp_{c}").isNotNull(), F.coalesce(X.contains_all(F.col(c), F.col(f"exp_{c}")), F.lit(False))) for c in lists]
     names = [*scalars, *lists]
     marked = joined.select(key, *[check.alias(f"ok_{name}") for name, check in zip(names, checks)])
     passed = F.forall(F.array(*[F.col(f"ok_{name}") for name in names]), lambda ok: F.coalesce(ok, F.lit(True)))

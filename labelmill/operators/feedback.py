@@ -77,9 +77,12 @@ def reviews_of(events: DataFrame, folded: DataFrame, hot_rows: int = HOT_ROWS) -
 def add_resolved(folded: DataFrame) -> DataFrame:
     """Resolved labels: the correction, else the prediction if judged correct.
 
-    A later ``correct`` review does not clear an earlier correction."""
+    A correction that names no label is none, so the feedback decides; a later
+    ``correct`` review does not clear an earlier correction."""
+    labels = folded.schema["corrected_labels"].dataType.fieldNames()
+    given = F.greatest(*[F.col(f"corrected_labels.{name}").isNotNull() for name in labels], F.lit(False))
     return folded.withColumn("final", F.coalesce(
-        F.col("corrected_labels"), F.when(F.col("user_feedback") == "correct", F.col("prediction"))))
+        F.when(given, F.col("corrected_labels")), F.when(F.col("user_feedback") == "correct", F.col("prediction"))))
 
 
 def feedback_rows(folded: DataFrame, source_type: str = "real_world_feedback") -> DataFrame:

@@ -27,9 +27,12 @@ SCREEN_DF = 8
 
 # Models with at most this many (feature, head) cells are looked up inside each
 # row of text; beyond it (very large label spaces) scoring goes through a join.
-INLINE_CELLS = 2_000_000
+INLINE_CELLS = 200_000
 INDEX_BUCKETS = 4096
 
+# Weights that are broadcast at most.
+BROADCAST_WEIGHTS = 100_000
+
 HEADS_SCHEMA = "head int, field string, label string, label_pos int, bias bigint, threshold double"
 WEIGHTS_SCHEMA = "head int, feature string, weight bigint"
 
@@ -210,17 +213,29 @@ def score_inline(df: DataFrame, scorer: Scorer, text: str = "input", out: str =
     )
 
 
-def score_join(df: DataFrame, model: TokenModel, key: str, text: str = "input") -> DataFrame:
-    """Integer scores as rows (key, head, total), for models too large to inline.
+def score_arrays(df: DataFrame, model: TokenModel, key: str, text: str = "input") -> tuple[DataFrame, list[dict]]:
+    """(key, score_sums) for models of any size, and the heads in order.
 
-    Weights join before the shuffle by key, so only hits are shuffled.  Biases
-    are added to every row from the heads, whose number the label spaces bound.
+    Only features that the model has are shuffled by key.  The weights are
+    broadcast if they are few, by count; else both sides are shuffled and sorted,
+    so that a feature of very many texts can be split.  Biases are added to the
+    gathered sums, whose number the label spaces bound.
     """
-    heads = json.dumps([{"head": r["head"], "weight": r["bias"]} for r in model.heads.collect()])
-    biases = df.select(key, F.inline(F.from_json(F.lit(heads), F.lit("array<struct<head:int,weight:bigint>>"))))
+    heads = sorted((r.asDict() for r in model.heads.collect()), key=lambda h: h["head"])
+    few = model.weights.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS
+    weights = F.broadcast(model.weights) if few else model.weights.hint("merge")
     exploded = explode_rows(X.add_features(df.select(key, text), text), [key], "features", "feature")
-    hits = exploded.join(model.weights, "feature").select(key, "head", "weight")
-    return hits.unionByName(biases).groupBy(key, "head").agg(F.sum("weight").alias("total"))
+    sums = exploded.join(weights, "feature").groupBy(key, "head").agg(F.sum("weight").alias("total"))
+    hits = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("head", "total"))).alias("__hits"))
+    total = [F.lit(h["bias"]).cast("bigint") + F.coalesce(F.try_element_at("__hits", F.lit(h["head"])), F.lit(0).cast("bigint")) for h in heads]
+    return df.select(key).join(hits, key, "left").select(key, F.array(*total).alias("score_sums")), heads
+
+
+def score_join(df: DataFrame, model: TokenModel, key: str, text: str = "input") -> DataFrame:
+    """Integer scores as rows (key, head, total), for models of any size."""
+    sums, heads = score_arrays(df, model, key, text)
+    rows = F.array(*[F.struct(F.lit(h["head"]).alias("head"), F.get("score_sums", F.lit(i)).alias("total")) for i, h in enumerate(heads)])
+    return sums.select(key, F.inline(rows))
 
 
 def probabilities(sums: str = "score_sums") -> Column:

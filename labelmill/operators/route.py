@@ -10,6 +10,7 @@ from labelmill.functions import text as X
 from labelmill.operators import logodds as H
 from labelmill.operators.corpus import label_names, labels_schema
 from labelmill.operators.lexicon import rule_predict
+from labelmill.operators.scale import cut_lineage
 
 # Confidence floors where a rule decides, and the ceiling for
 # flags outside the domain.
@@ -86,27 +87,24 @@ def round_confidence(df: DataFrame, cfg: RuleConfig, conf: str = "conf_", digits
 
 
 def route(df: DataFrame, model: H.TokenModel | H.Scorer, cfg: RuleConfig, text: str = "input") -> DataFrame:
-    """Full prediction per text, with ``conf_*`` columns.
+    """Full prediction per text, with ``conf_*`` columns, for models of any size.
 
-    Works on batch and streaming frames alike, because nothing shuffles.  Blank
-    texts have to be split off with :func:`split_blank` first.
+    A model of ordinary size becomes a projection, on batch and streaming frames
+    alike; a larger one is joined, with the same result.  A stream cannot be
+    joined and gathered per row, so there :func:`live.route_and_log` routes
+    each batch.  Blank texts have to be split off with :func:`split_blank` first.
     """
     scorer = model if isinstance(model, H.Scorer) else H.compile_model(model)
     if scorer is None:
-        raise ValueError("model too large for inline scoring; use route_join")
+        keyed = cut_lineage(df.withColumn("__key", F.monotonically_increasing_id()))
+        return route_join(keyed, model, cfg, "__key", text).drop("__key")
     return _finish(H.score_inline(df, scorer, text), scorer, cfg, text)
 
 
 def route_join(df: DataFrame, model: H.TokenModel, cfg: RuleConfig, key: str, text: str = "input") -> DataFrame:
-    """Same result for models of any size; ``key`` has to be unique.
-
-    Head scores are gathered per key into one array, bounded by the heads."""
-    heads = sorted((r.asDict() for r in model.heads.collect()), key=lambda h: h["head"])
-    rows = H.score_join(df, model, key, text)
-    gathered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("head", "total"))).alias("__rows"))
-    sums = gathered.select(key, F.transform("__rows", lambda x: x["total"]).alias("score_sums"))
-    scorer = H.Scorer(heads, F.lit(None), "")
-    return _finish(df.join(sums, key), scorer, cfg, text)
+    """Same result for models of any size; ``key`` has to be unique."""
+    sums, heads = H.score_arrays(df, model, key, text)
+    return _finish(df.join(sums, key), H.Scorer(heads, F.lit(None), ""), cfg, text)
 
 
 def _finish(scored: DataFrame, scorer: H.Scorer, cfg: RuleConfig, text: str) -> DataFrame:

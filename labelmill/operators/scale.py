@@ -123,10 +123,3 @@ def join_by_key(df: DataFrame, stats: DataFrame, key: str, count: str, hot_rows:
     of_hot = marked.filter(F.col("__hot")).select(*names)
     of_cold = marked.filter(F.col("__hot").isNull()).select(*df.columns).join(cold, key)
     return of_hot.unionByName(of_cold.select(*names))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a small file scan has fewer splits than cores; large
-    inputs have plenty of splits and are returned as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

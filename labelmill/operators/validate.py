@@ -40,63 +40,32 @@ def violations(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> Dat
     return df.select(*keep, F.inline(F.array_compact(F.array(*cells))))
 
 
-# Bits of a packed position that hold the line number.
-LINE_BITS = 40
-
-
-def _packed(df: DataFrame, position: Sequence[str]) -> bool:
-    whole = ("tinyint", "smallint", "int", "bigint")
-    types = dict(df.dtypes)
-    return len(position) == 2 and all(types[p] in whole for p in position)
-
-
-def _place(df: DataFrame, position: Sequence[str]) -> Column:
-    """Position as one number where possible, as numbers aggregate by hash."""
-    if len(position) == 1:
-        return F.col(position[0])
-    if _packed(df, position):
-        high, low = (F.col(p).cast("bigint") for p in position)
-        return F.shiftleft(high, LINE_BITS) + low
-    return F.struct(*position)
-
-
-def _show_place(narrow: DataFrame, position: Sequence[str]) -> Column:
-    first = F.col("__first")
-    kind = dict(narrow.dtypes)["__at"]
-    if len(position) == 1:
-        return first.cast("string")
-    if kind == "bigint":
-        return F.concat_ws(":", F.shiftright(first, LINE_BITS).cast("string"),
-                           F.pmod(first, F.lit(1 << LINE_BITS)).cast("string"))
-    return F.concat_ws(":", *[F.col(f"__first.{p}").cast("string") for p in position])
-
-
 def repeated(df: DataFrame, keys: dict[str, Column], position: Sequence[str], keep: Sequence[str],
              hot_rows: int = HOT_ROWS) -> DataFrame:
     """Second and later rows of each key in ``position`` order, for several
     named keys; the detail is the first row's position.
 
-    Rows without a key ('' or null) are left out.  The keys are written once as
-    a narrow table, because counting and joining would otherwise both read the
-    texts again.
+    Rows without a key ('' or null) are left out.  Rows at the same position
+    are told apart by a row number, so every repeat is found.  The keys are
+    written once as a narrow table, because counting and joining would
+    otherwise both read the texts again; one aggregate counts all named keys,
+    and only those of several rows are joined back.
     """
-    named = {f"__k{i}": F.coalesce(key.cast("string"), F.lit("")) for i, key in enumerate(keys.values())}
-    place = _place(df, position)
-    narrow = cut_lineage(df.select(*keep, place.alias("__at"), *[key.alias(c) for c, key in named.items()]))
-    out = None
-    for name, column in zip(keys, named):
-        keyed = narrow.select(*keep, "__at", F.col(column).alias("__key"))
-        first = keyed.groupBy("__key").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")) \
-            .filter((F.col("__n") > 1) & (F.col("__key") != ""))
-        later = join_by_key(keyed, first, "__key", "__n", hot_rows).filter(F.col("__at") > F.col("__first"))
-        where = _show_place(narrow, position)
-        rows = later.select(*keep, F.lit(name).alias("rule"), where.alias("detail"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def corpus_rules(spec: LabelSpec, id_pattern: str = ID_PATTERN) -> list[Rule]:
-    """Rules over a flat corpus frame that need only one row at a time."""
+    named = [F.coalesce(key.cast("string"), F.lit("")).alias(f"__k{i}") for i, key in enumerate(keys.values())]
+    narrow = cut_lineage(df.select(*keep, F.struct(*position, F.monotonically_increasing_id().alias("__row")).alias("__at"), *named))
+    cells = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"__k{i}").alias("key")) for i, name in enumerate(keys)])
+    keyed = narrow.select(*keep, "__at", F.inline(cells)).filter(F.col("key") != "").withColumn("__key", F.struct("rule", "key")).drop("key")
+    first = cut_lineage(
+        keyed.groupBy("__key").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1))
+    later = join_by_key(keyed, first, "__key", "__n", hot_rows).filter(F.col("__at") > F.col("__first"))
+    where = F.concat_ws(":", *[F.col(f"__first.{p}").cast("string") for p in position])
+    return later.select(*keep, "rule", where.alias("detail"))
+
+
+def corpus_rules(spec: LabelSpec, id_pattern: str = ID_PATTERN, columns: Sequence[str] = ("source_type",)) -> list[Rule]:
+    """Rules over a flat corpus frame that need only one row at a time.
+
+    ``columns`` tells whether the frame has a ``source_type`` to check."""
     crops, topics, domain = F.col("crops"), F.col("topics"), F.col(spec.domain)
     rules = [
         Rule("bad_id", ~F.coalesce(X.full_match(F.col("id"), id_pattern), F.lit(False)), F.col("id")),
@@ -108,12 +77,15 @@ def corpus_rules(spec: LabelSpec, id_pattern: str = ID_PATTERN) -> list[Rule]:
         Rule("unknown_intent", ~F.coalesce(F.col("intent").isin(list(spec.intents)), F.lit(False)), F.col("intent")),
         Rule("unknown_urgency", ~F.coalesce(F.col("urgency").isin(list(spec.urgencies)), F.lit(False)), F.col("urgency")),
         Rule("unknown_difficulty", ~F.coalesce(F.col("difficulty").isin(list(spec.difficulties)), F.lit(False)), F.col("difficulty")),
+        Rule("unknown_source_type", ~F.coalesce(F.col("source_type").isin(list(spec.source_types)), F.lit(False)), F.col("source_type")),
         Rule("blank_notes", F.coalesce(X.strip(F.col("notes")), F.lit("")) == ""),
         Rule("domain_without_crop", domain & (F.size(crops) == 0)),
         Rule("domain_without_topic", domain & (F.size(topics) == 0)),
         Rule("outside_with_crop", ~domain & (F.size(crops) > 0)),
         Rule("outside_with_topic", ~domain & (F.size(topics) > 0)),
     ]
+    if "source_type" not in columns:
+        rules = [r for r in rules if r.name != "unknown_source_type"]
     for label in spec.exclusive_crops:
         rules.append(Rule(f"{label}_not_alone", F.array_contains(crops, label) & (F.size(crops) > 1), X.join_list(crops)))
     for flag in spec.flags:
@@ -129,7 +101,7 @@ def validate_corpus(df: DataFrame, spec: LabelSpec, position: Sequence[str] = ("
     norm = F.when(~blank, X.fingerprint(F.col("input")))
     labels = F.struct(spec.domain, "crops", "topics", *spec.flags, "intent", "urgency", "notes")
     signature = F.when(~blank, F.md5(F.concat_ws("\u0001", X.normalize_text(F.col("input")), F.to_json(labels))))
-    out = violations(df, corpus_rules(spec, id_pattern), keep)
+    out = violations(df, corpus_rules(spec, id_pattern, df.columns), keep)
     keys = {"repeated_id": F.col("id"), "repeated_input": norm, "repeated_signature": signature}
     return out.unionByName(repeated(df, keys, position, keep, hot_rows))
 

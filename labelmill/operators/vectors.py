@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as X
-from labelmill.operators.scale import dim
+from labelmill.operators.scale import cut_lineage, dim, join_by_key
 
 THRESHOLD = 0.5
 BINARY_ITERATIONS = 2000
@@ -34,14 +34,18 @@ def cached_embeddings(df: DataFrame, cache: DataFrame | None, encoder: Callable[
                       text: str = "input") -> tuple[DataFrame, DataFrame]:
     """Embeddings through a cache keyed by text content.
 
-    Returns all rows with ``embedding``, and the new cache rows to append.
+    Returns all rows with ``embedding``, and the new cache rows to append.  A
+    null text is the empty text; frequent texts are joined without meeting in
+    one task.
     """
-    keyed = df.withColumn("content_key", F.md5(F.col(text)))
-    wanted = keyed.groupBy("content_key").agg(F.first(text).alias(text))
+    keyed = df.withColumn("content_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    wanted = keyed.groupBy("content_key").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias(text), F.count(F.lit(1)).alias("__n"))
     missing = wanted if cache is None else wanted.join(cache, "content_key", "left_anti")
-    fresh = missing.select("content_key", encoder(F.col(text)).alias("embedding"))
-    known = fresh if cache is None else cache.unionByName(fresh)
-    return keyed.join(known, "content_key").drop("content_key"), fresh
+    # Written first, so that the encoder runs once per text however often the result is read.
+    fresh = cut_lineage(missing.select("content_key", encoder(F.col(text)).alias("embedding")))
+    known = fresh if cache is None else cache.select("content_key", "embedding").unionByName(fresh)
+    stats = cut_lineage(wanted.select("content_key", "__n").join(known, "content_key", "left"))
+    return join_by_key(keyed, stats, "content_key", "__n").drop("content_key", "__n"), fresh
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -101,6 +105,36 @@ def fit(df: DataFrame, binary: Sequence[str] = (), sets: dict[str, Sequence[str]
         data.unpersist()
 
 
+Scores = Sequence[tuple[str, Column]]
+
+
+def passes(score: Column, threshold: float = THRESHOLD) -> Column:
+    """Decision of a binary field."""
+    return (score > threshold).cast("int")
+
+
+def passing_labels(scores: Scores, threshold: float = THRESHOLD) -> Column:
+    """Decision of a set field: all labels at or above the threshold."""
+    return F.array_compact(F.array(*[F.when(s >= threshold, F.lit(label)) for label, s in scores])).cast("array<string>")
+
+
+def _best(scores: Scores) -> Column:
+    """Score and label of the best label; of equal ones, the earliest."""
+    return F.array_max(F.array(*[
+        F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(label).alias("label")) for i, (label, s) in enumerate(scores)]))
+
+
+def best_if_passing(scores: Scores, threshold: float = THRESHOLD) -> Column:
+    """Decision of an exclusive set field: its best label alone, if that passes."""
+    best = _best(scores)
+    return F.when(best["score"] >= threshold, F.array(best["label"])).otherwise(X.label_array([])).cast("array<string>")
+
+
+def best_label(scores: Scores) -> Column:
+    """Decision of a class field."""
+    return _best(scores)["label"]
+
+
 def predict(df: DataFrame, model: VectorModel, exclusive: Sequence[str] = ("crops",), threshold: float = THRESHOLD,
             prefix: str = "pred_") -> DataFrame:
     """Predictions of every head.  Set fields take all labels at or above the
@@ -111,20 +145,14 @@ def predict(df: DataFrame, model: VectorModel, exclusive: Sequence[str] = ("crop
 
     out = df
     for name, fitted in model.binary.items():
-        out = probability(out, fitted, "__s").withColumn(prefix + name, (F.get("__s", F.lit(1)) > threshold).cast("int")).drop("__s")
+        out = probability(out, fitted, "__s").withColumn(prefix + name, passes(F.get("__s", F.lit(1)), threshold)).drop("__s")
     for name, heads in model.sets.items():
         scores = []
         for i, (label, fitted) in enumerate(heads.items()):
             out = probability(out, fitted, f"__s{i}")
             scores.append((label, F.get(f"__s{i}", F.lit(1))))
-        if name in exclusive:
-            best = F.array_max(F.array(*[
-                F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(label).alias("label"))
-                for i, (label, s) in enumerate(scores)]))
-            chosen = F.when(best["score"] >= threshold, F.array(best["label"])).otherwise(X.label_array([]))
-        else:
-            chosen = F.array_compact(F.array(*[F.when(s >= threshold, F.lit(label)) for label, s in scores]))
-        out = out.withColumn(prefix + name, chosen.cast("array<string>")).drop(*[f"__s{i}" for i in range(len(scores))])
+        chosen = best_if_passing(scores, threshold) if name in exclusive else passing_labels(scores, threshold)
+        out = out.withColumn(prefix + name, chosen).drop(*[f"__s{i}" for i in range(len(scores))])
     for name, (space, fitted) in model.classes.items():
         scored = fitted.transform(out)
         label = F.element_at(X.label_array(space), F.col("__y").cast("int") + 1)

@@ -14,7 +14,6 @@ from labelmill.config import LabelSpec, Lexicon, RuleConfig, Thresholds
 from labelmill.functions import text as X
 from labelmill.operators.logodds import Head, heads_of
 from labelmill.operators.lexicon import first_match, rule_predict
-from labelmill.operators.scale import spread
 
 FLAGS = ("legal", "contact", "thermal", "inquiry")
 SPEC = LabelSpec(
@@ -77,9 +76,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents; small files are spread over the cores, as texts are
-    expensive to process."""
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    """All documents."""
+    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:

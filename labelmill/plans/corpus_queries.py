@@ -63,7 +63,7 @@ def doc_rules():
 
 
 def violations(spark, sf):
-    rows = B.labelled(spark, sf)
+    rows = B.documents(spark, sf).join(B.table(spark, sf, "labels"), "doc_id", "left")
     found = V.violations(rows, doc_rules(), ["doc_id"])
     again = V.repeated(rows, {"repeated_text": X.fingerprint(F.col("text"))}, ["doc_id"], ["doc_id"])
     return found.unionByName(again)
@@ -257,7 +257,7 @@ ORACLE = {
  SELECT doc_id, {S.words('text')} AS words, {S.phrase('lower(text)', B.VAGUE)} AS is_vague FROM documents)""",
     "token_features": f"""SELECT doc_id, len(f) AS n_features, list_min(f) AS first_feature, list_max(f) AS last_feature FROM (
  SELECT doc_id, {S.FEATURES} AS f FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS t FROM documents))""",
-    "violations": f"""WITH dl AS (SELECT * FROM documents JOIN labels USING (doc_id)),
+    "violations": f"""WITH dl AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)),
 keyed AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5({S.norm('text')})) AS first_id FROM dl)
 SELECT doc_id, 'bad_length' AS rule, CAST(n_chars AS VARCHAR) AS detail FROM dl WHERE n_chars <> length(text)
 UNION ALL SELECT doc_id, 'short_text', NULL FROM dl WHERE ({S.words('text')}) <= 5

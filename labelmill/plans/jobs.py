@@ -40,12 +40,12 @@ def validate(spark: SparkSession, paths: Sequence[str], spec: G.LabelSpec = G.AG
              expected: Sequence[tuple[str, int]] = G.EXPECTED_SPLITS, combos: Sequence[tuple] = G.EDGE_COMBOS) -> Tables:
     """Raw-line and row violations, split sizes, statistics, gate and coverage.
 
-    Positions of rows are their ids; raw lines have file and line number."""
+    Rows and raw lines are named by split or file and line number."""
     corpus = files.read_splits(spark, paths, spec)
     marks = _marks(corpus, G.VAGUE_PHRASES)
     stats = P.corpus_stats(marks, spec.domain, spec.flags[0], G.VAGUE_PHRASES)
     out = {
-        "violations": V.validate_corpus(corpus, spec, ("split_pos", "id"), ("split", "id")),
+        "violations": V.validate_corpus(corpus, spec),
         "splits": P.split_expectation(marks, expected),
         "stats": stats,
         "checks": P.distribution_gate(stats, G.GATE_BANDS, P.combo_minimums(marks, spec.flags, combos)),
@@ -177,6 +177,12 @@ def mine_failures(events: DataFrame, spec: G.LabelSpec = G.AGRONOMY_SPEC) -> Tab
 
 
 def predict(corpus: DataFrame, model: H.TokenModel, rules: G.RuleConfig = G.AGRONOMY) -> DataFrame:
-    """Routed predictions of a corpus, by id."""
+    """Routed predictions of a corpus, by id.  Rows without text have none: see :func:`rejected`."""
     texts, _ = R.split_blank(corpus.select("id", "input"))
     return R.route(texts, model, rules)
+
+
+def rejected(corpus: DataFrame) -> DataFrame:
+    """Rows that cannot be routed because they have no text."""
+    names = [c for c in ("split", "line_no", "id", "input") if c in corpus.columns]
+    return R.split_blank(corpus.select(*names))[1]

@@ -230,8 +230,8 @@ def topic_rewrite(spark, sf):
     ranked = M.global_rank(rows, [F.col("doc_id")], "pick").withColumn("pick", F.col("pick") - 1)
     out = M.topic_rewrite(
         ranked, {"thermal": ("Is {field} hot {window}?", "Heat on {field}?"), "legal": ("May I use {field}?",)},
-        {"field": ("north 80", "creek bottom", "home place"), "window": WINDOWS},
-        [(F.col("lang") == "fr", "Une question sur {field}")], "This situation in {field} feels off.", F.get("topics", F.lit(0)))
+        {"field": ("plot one", "the slope", "the east strip"), "window": WINDOWS},
+        [(F.col("lang") == "fr", "Une question sur {field}")], "What is wrong at {field}?", F.get("topics", F.lit(0)))
     return out.select("doc_id", "pick", "new_text")
 
 
@@ -349,7 +349,7 @@ _POOL = f"""pool AS (SELECT rn - 1 AS pick, phrase FROM (SELECT phrase, row_numb
  WHERE dup = 1 AND norm <> '' AND norm NOT IN (SELECT {S.norm('text')} FROM documents)) WHERE rn <= 160)"""
 _CYCLE = lambda labels: f"(CAST([{', '.join(repr(x) for x in labels)}] AS VARCHAR[]))[template_pos % {len(labels)} + 1]"
 _NEW = """CASE WHEN topics[1] = 'thermal' THEN (CAST(['Is {field} hot {window}?', 'Heat on {field}?'] AS VARCHAR[]))[pick % 2 + 1]
- WHEN topics[1] = 'legal' THEN 'May I use {field}?' WHEN lang = 'fr' THEN 'Une question sur {field}' ELSE 'This situation in {field} feels off.' END"""
+ WHEN topics[1] = 'legal' THEN 'May I use {field}?' WHEN lang = 'fr' THEN 'Une question sur {field}' ELSE 'What is wrong at {field}?' END"""
 
 
 def _route_stream_sql() -> str:
@@ -416,7 +416,7 @@ m AS (SELECT doc_id, pick, phrase FROM picks JOIN pool USING (pick) WHERE pick <
 SELECT doc_id, phrase IS NOT NULL AS rewritten, CASE WHEN phrase IS NULL THEN 'kept' WHEN pick % 3 = 0 THEN 'hard' ELSE 'medium' END AS notes,
  md5(coalesce(phrase, text)) AS text_key FROM documents LEFT JOIN m USING (doc_id)""",
     "topic_rewrite": f"""WITH {S.rules_cte()}, k AS (SELECT doc_id, topics, lang, row_number() OVER (ORDER BY doc_id) - 1 AS pick FROM r WHERE len(topics) > 0)
-SELECT doc_id, pick, replace(replace({_NEW}, '{{field}}', (CAST(['north 80', 'creek bottom', 'home place'] AS VARCHAR[]))[pick % 3 + 1]),
+SELECT doc_id, pick, replace(replace({_NEW}, '{{field}}', (CAST(['plot one', 'the slope', 'the east strip'] AS VARCHAR[]))[pick % 3 + 1]),
  '{{window}}', (CAST(['today', 'next week'] AS VARCHAR[]))[pick % 2 + 1]) AS new_text FROM k""",
     "stream_route": _route_stream_sql(),
     "stream_fold": _FOLD,

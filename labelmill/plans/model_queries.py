@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as X
@@ -18,9 +19,8 @@ EXPECTED = ("legal", "thermal")
 
 
 def doc_frequency(spark, sf):
-    """The 200 most frequent features."""
-    counted = H.document_frequency(B.documents(spark, sf), "text")
-    return counted.orderBy(F.desc("n"), "feature").limit(200)
+    """Number of documents of every feature."""
+    return H.document_frequency(B.documents(spark, sf), "text")
 
 
 def logodds_heads(spark, sf):
@@ -188,6 +188,32 @@ def vectors(spark, sf):
     return K.embed(named)
 
 
+def vector_norms(spark, sf):
+    """First part of every vector after normalisation."""
+    parts = vector_to_array(F.col("vector"))
+    return vectors(spark, sf).select("vec_id", F.round(F.get(parts, F.lit(0)), 6).alias("first_part"))
+
+
+def class_weights(spark, sf):
+    """Balanced weight of every class."""
+    return K.balanced_weights(B.table(spark, sf, "embeddings").select("label"), "label").distinct().select("label", F.round("weight", 9).alias("weight"))
+
+
+def _given(k: int):
+    """Probability of a head whose coefficients are given by a rule, on the stored vectors."""
+    shares = F.transform("embedding", lambda x, i: x.cast("double") * ((i * 7 + 3 * k) % 11 - 5) / 10.0)
+    return X.sigmoid(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))
+
+
+def vector_decisions(spark, sf):
+    """Decisions of all three kinds from given coefficients: threshold, best label if it passes, and best label."""
+    rows = B.table(spark, sf, "embeddings").withColumns({f"s{k}": _given(k) for k in range(3)})
+    scores = [(label, F.col(f"s{k}")) for k, label in enumerate(("one", "two", "three"))]
+    return rows.select(
+        "vec_id", K.passes(F.col("s0")).alias("flag"), X.join_list(K.passing_labels(scores)).alias("labels"),
+        X.join_list(K.best_if_passing(scores, 0.6)).alias("exclusive"), K.best_label(scores).alias("best"))
+
+
 def lr_binary(spark, sf):
     rows = vectors(spark, sf)
     out = K.predict(rows, K.fit(rows, binary=["large"]))
@@ -227,7 +253,8 @@ QUERIES = {
     "worst_groups": worst_groups, "error_records": error_records, "error_counts": error_counts,
     "error_hotspots": error_hotspots, "error_examples": error_examples, "expectations": expectations,
     "expectation_summary": expectation_summary, "lr_binary": lr_binary, "lr_multilabel": lr_multilabel,
-    "lr_multiclass": lr_multiclass, "lr_metrics": lr_metrics,
+    "lr_multiclass": lr_multiclass, "lr_metrics": lr_metrics, "vector_norms": vector_norms, "class_weights": class_weights,
+    "vector_decisions": vector_decisions,
 }
 
 # --- the same in SQL ---------------------------------------------------------------
@@ -381,9 +408,21 @@ x AS (SELECT doc_id, {', '.join(f"CASE WHEN true_lang <> 'es' THEN {c} = true_{c
  len(list_filter(true_topics, lambda t: NOT list_contains(topics, t))) = 0 AS ok_topics FROM p JOIN r USING (doc_id)),
 y AS (SELECT *, {' AND '.join(f'coalesce(ok_{c}, true)' for c in (*EXPECTED, 'topics'))} AS all_passed FROM x)"""
 
+_GIVEN = ", ".join(
+    f"1 / (1 + exp(-list_inner_product(v, [CAST((i * 7 + {3 * k}) % 11 - 5 AS DOUBLE) / 10 FOR i IN range(len(v))]))) AS s{k}" for k in range(3))
+_TOP = "CASE greatest(s0, s1, s2) WHEN s0 THEN 'one' WHEN s1 THEN 'two' ELSE 'three' END"
+
 ORACLE = {
+    "vector_norms": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first_part FROM e""",
+    "class_weights": """SELECT label, round((SELECT count(*) FROM embeddings) / ((SELECT count(DISTINCT label) FROM embeddings) * CAST(count(*) AS DOUBLE)), 9) AS weight
+FROM embeddings GROUP BY label""",
+    "vector_decisions": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, {_GIVEN} FROM e)
+SELECT vec_id, CAST(s0 > 0.5 AS INT) AS flag,
+ coalesce(nullif(concat_ws(', ', CASE WHEN s0 >= 0.5 THEN 'one' END, CASE WHEN s1 >= 0.5 THEN 'two' END, CASE WHEN s2 >= 0.5 THEN 'three' END), ''), 'none') AS labels,
+ CASE WHEN greatest(s0, s1, s2) >= 0.6 THEN {_TOP} ELSE 'none' END AS exclusive, {_TOP} AS best FROM p""",
     "doc_frequency": f"""WITH {S.features_cte('documents', 'doc_id', 'f')}
-SELECT feature, count(*) AS n FROM f GROUP BY feature ORDER BY n DESC, feature LIMIT 200""",
+SELECT feature, count(*) AS n FROM f GROUP BY feature""",
     "logodds_heads": f"WITH {_fit_ctes(_SPEC)} SELECT head, field, label, label_pos, bias, threshold FROM heads",
     "logodds_weights": f"WITH {_fit_ctes(_SMALL)} SELECT field, label, feature, weight FROM weights JOIN heads USING (head)",
     "logodds_scores": f"WITH {_fit_ctes(_SMALL)}, {_SCORES} SELECT doc_id, field, label, total FROM scores",

@@ -15,8 +15,9 @@ from labelmill.operators.corpus import corpus_schema, feedback_schema, flatten,
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
-    """JSON lines with a fixed schema; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """JSON lines with a fixed schema; blank lines are skipped, and a line that
+    is not JSON fails the job instead of becoming a row of nulls."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -29,17 +30,16 @@ def read_numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame
 
     Lines are numbered inside their file split, which a task reads in order, and
     the line counts of the earlier splits of the file are added.  So files of
-    any size stay splittable; the offsets have one row per split.
+    any size stay splittable, lines are not shuffled, and the offsets have one
+    row per split.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n")).select(
-        "path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("seq"))
-    numbered = lines.withColumn("pos", inside).join(offsets, ["path", "block"])
-    return numbered.select("file", (F.col("base") + F.col("pos")).alias("line_no"), "value")
+    offsets = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("least")).select(
+        "path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("base"))
+    return lines.join(offsets, ["path", "block"]).select("file", (F.col("base") + F.col("seq") + 1).alias("line_no"), "value")
 
 
 def split_name(file: Column) -> Column:
@@ -47,34 +47,37 @@ def split_name(file: Column) -> Column:
 
 
 def read_splits(spark: SparkSession, paths: Sequence[str], spec: LabelSpec, order: Sequence[str] = ("train", "val", "test")) -> DataFrame:
-    """Flat corpus of several split files, tagged with split and its position."""
-    raw = spark.read.schema(corpus_schema(spec)).json(list(paths))
-    tagged = raw.withColumn("split", split_name(F.col("_metadata.file_name")))
+    """Flat corpus of several split files, tagged with split, its position and line number.
+
+    Blank lines are skipped; a malformed line fails the job."""
+    lines = read_numbered_lines(spark, list(paths)).filter(X.strip(F.col("value")) != "")
+    row = F.from_json("value", corpus_schema(spec), {"mode": "FAILFAST"})
+    tagged = lines.select(split_name(F.col("file")).alias("split"), "line_no", row.alias("row")).select("split", "line_no", "row.*")
     placed = tagged.withColumn("split_pos", F.array_position(X.label_array(order), F.col("split")))
     return flatten(placed, spec)
 
 
 def read_split(spark: SparkSession, path: str, spec: LabelSpec) -> DataFrame:
     """One split as flat corpus rows: texts and targets are its columns."""
-    return flatten(spark.read.schema(corpus_schema(spec)).json(path), spec)
+    return flatten(read_jsonl(spark, path, corpus_schema(spec)), spec)
 
 
-def _or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _or_empty(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     try:
-        return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+        return spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "FAILFAST").json(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
 
 
-def read_log(spark: SparkSession, path: str, spec: LabelSpec) -> DataFrame:
-    """Log events; a log that does not exist yet is empty."""
+def read_log(spark: SparkSession, path: str | list[str], spec: LabelSpec) -> DataFrame:
+    """Log events of all paths; a log that does not exist yet is empty, and a malformed event fails the job."""
     return _or_empty(spark, path, log_schema(spec))
 
 
 def read_feedback(spark: SparkSession, path: str, spec: LabelSpec) -> DataFrame:
-    return spark.read.schema(feedback_schema(spec)).json(path)
+    return read_jsonl(spark, path, feedback_schema(spec))
 
 
 def append_log(events: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from labelmill.config import LabelSpec, RuleConfig
 from labelmill.operators.corpus import log_schema
 from labelmill.operators.feedback import fold_parts, interactions
-from labelmill.operators.logodds import Scorer
+from labelmill.operators.logodds import Scorer, TokenModel
 from labelmill.operators.route import route, split_blank, to_events
 
 
@@ -19,11 +19,17 @@ def read_log_stream(spark: SparkSession, path: str, spec: LabelSpec) -> DataFram
 
 def route_stream(queries: DataFrame, scorer: Scorer, cfg: RuleConfig, text: str = "input") -> DataFrame:
     """Routed stream.  Routing is a narrow projection, so it runs in append
-    mode without state; blank texts are left out."""
+    mode without state.  Blank texts cannot be routed; :func:`rejected_stream`
+    has them."""
     texts, _ = split_blank(queries, text)
     return route(texts, scorer, cfg, text)
 
 
+def rejected_stream(queries: DataFrame, text: str = "input") -> DataFrame:
+    """The rows of the stream that have no text."""
+    return split_blank(queries, text)[1]
+
+
 def append_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = True) -> StreamingQuery:
     """Exactly-once file sink."""
     writer = df.writeStream.format(fmt).outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
@@ -51,20 +57,23 @@ def read_fold(spark: SparkSession, path: str) -> DataFrame:
     return interactions(newest.select("interaction", "row.*"))
 
 
-def route_and_log(queries: DataFrame, scorer: Scorer, cfg: RuleConfig, path: str, checkpoint: str,
-                  text: str = "input", name: str = "routed", available_now: bool = True) -> StreamingQuery:
-    """Score each query and append its inference event to the log.
+def route_and_log(queries: DataFrame, model: TokenModel | Scorer, cfg: RuleConfig, path: str, checkpoint: str,
+                  text: str = "input", name: str = "routed", available_now: bool = True, rejected: str | None = None) -> StreamingQuery:
+    """Score each query and append its inference event to the log; rows without
+    text go to the folder ``rejected``, where one is given.
 
     The event id is derived from the query's ``id``, and each batch has its own
     folder below the log, so a replayed batch gives the same events once.  (A
     streaming file sink would hide files that batch jobs append to the log.)
     """
-    routed = route_stream(queries, scorer, cfg, text)
     at = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS+00:00") if "timestamp" in queries.columns else None
-    events = to_events(routed, cfg, text, event_id=F.md5(F.col("id").cast("string")), at=at)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}-{batch_id:09d}")
+        texts, blank = split_blank(batch, text)
+        events = to_events(route(texts, model, cfg, text), cfg, text, event_id=F.md5(F.col("id").cast("string")), at=at)
+        events.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}-{batch_id:09d}")
+        if rejected is not None:
+            blank.write.mode("overwrite").json(f"{rejected}/{name}-{batch_id:09d}")
 
-    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -99,3 +99,37 @@ def test_command_line_jobs(spark, paths, tmp_path):
     assert spark.read.json(str(tmp_path / "f" / "patterns")).first().pattern == "crops, is_ag_related"
     main(["feedback", "--data", str(tmp_path / "log.jsonl"), "--out", str(tmp_path / "g")])
     assert spark.read.json(str(tmp_path / "g" / "feedback")).first().id == "feedback_a"
+
+
+def test_repeats_inside_one_split_are_found(spark, tmp_path):
+    path = write(tmp_path / "train.jsonl", G.AGRONOMY_SPEC_5)
+    with open(path, encoding="utf-8") as f:
+        lines = f.read().splitlines()
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join([lines[0], "", lines[1], lines[0], lines[2].replace("synthetic", "bogus"), lines[1]]) + "\n")
+    found = {(r.line_no, r.rule, r.detail) for r in jobs.validate(spark, [path], G.AGRONOMY_SPEC_5)["violations"].collect()}
+    assert found == {(at, f"repeated_{what}", f"1:{first}") for at, first in ((4, 1), (6, 3)) for what in ("id", "input", "signature")} | {
+        (5, "unknown_source_type", "bogus")}
+
+
+def test_malformed_lines_fail_the_read(spark, tmp_path):
+    path = write(tmp_path / "train.jsonl", G.AGRONOMY_SPEC)
+    log = tmp_path / "log.jsonl"
+    log.write_text('{"id": "1", "entry_type": "inference"}\n{"id": \n', encoding="utf-8")
+    with open(path, "a", encoding="utf-8") as f:
+        f.write("{not json\n")
+    for df in (files.read_splits(spark, [path], G.AGRONOMY_SPEC), files.read_split(spark, path, G.AGRONOMY_SPEC), files.read_log(spark, str(log), G.AGRONOMY_SPEC)):
+        with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+            df.collect()
+
+
+def test_rows_without_text_are_told_and_counted(spark):
+    rows = [("a", "corn", True), ("b", "  ", True), ("c", None, False)]
+    corpus = spark.createDataFrame(rows, "id string, input string, flag boolean")
+    assert sorted(r.id for r in jobs.rejected(corpus).collect()) == ["b", "c"]
+    pred = corpus.filter("id = 'a'").select("id", "flag")
+    frame = jobs.L.prediction_frame(corpus, pred, ["flag"])
+    assert {(r.id, r.true_flag, r.pred_flag) for r in frame.collect()} == {("a", True, True), ("b", True, False), ("c", False, True)}
+    cases = spark.createDataFrame([("x", True), ("y", True)], "name string, exp_flag boolean")
+    checked = jobs.L.check_expectations(cases, spark.createDataFrame([("x", True)], "name string, flag boolean"), ["flag"], [])
+    assert jobs.L.expectation_summary(checked).first() == (1, 2)

@@ -170,11 +170,15 @@ def test_blank_texts_are_split_off(spark):
     assert sorted(r.id for r in blank.collect()) == [2, 3]
 
 
-def test_too_large_model_is_refused_inline(spark, monkeypatch):
-    model, _ = agronomy_model(spark)
+def test_models_of_any_size_are_routed(spark, monkeypatch):
+    model, scorer = agronomy_model(spark, soil=10000)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["corn yellow", "zebra movie", "zebra corn", "x"])], "id int, input string")
+    want = R.route(df, scorer, AGRONOMY).orderBy("id").collect()
     monkeypatch.setattr(H, "compile_model", lambda m: None)
-    with pytest.raises(ValueError, match="route_join"):
-        R.route(spark.createDataFrame([("x",)], "input string"), model, AGRONOMY)
+    for most in (H.BROADCAST_WEIGHTS, 0):
+        monkeypatch.setattr(H, "BROADCAST_WEIGHTS", most)
+        got = R.route(df, model, AGRONOMY)
+        assert got.select(*want[0].__fields__).orderBy("id").collect() == want
 
 
 def test_default_thresholds():

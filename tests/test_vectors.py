@@ -90,3 +90,20 @@ def test_encoder_hook_and_content_cache(spark):
     assert sorted((r.id, r.embedding) for r in out.collect()) == [(1, [9.0, 9.0]), (2, [1.0, 1.0]), (3, [9.0, 9.0])] and fresh.count() == 1
     encoded = K.embed(df, length, "input", normalize=False).orderBy("id").first()
     assert list(encoded.vector.toArray()) == [2.0, 1.0]
+
+
+def test_the_encoder_runs_once_per_text(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def encoder(text):
+        calls.add(1)
+        return [float(len(text))]
+
+    df = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "aa"), (4, None)], "id int, input string")
+    rows, fresh = K.cached_embeddings(df, None, encoder)
+    assert {r.id: r.embedding for r in rows.collect()} == {1: [2.0], 2: [1.0], 3: [2.0], 4: [0.0]}
+    rows.collect()
+    assert fresh.count() == 3 and calls.value == 3
+    again, new = K.cached_embeddings(df, fresh, encoder)
+    assert again.count() == 4 and new.count() == 0 and calls.value == 3
