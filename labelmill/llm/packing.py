@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import os
 import random
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +38,11 @@ EPOCHS = 2
 GENERATIONS = 12
 POPULATION = 5
 
-#: Words whose ids a task remembers.
-CACHE_WORDS = 500_000
+#: Words whose ids a Python worker remembers, at about 200 bytes each.
+CACHE_WORDS = 1_200_000
+
+#: Token of its own in any text, which tells the ids of words apart.
+BETWEEN = "<|endoftext|>"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ISLANDS = "group long, island int, items array<long>, sizes array<int>, population array<array<int>>, bins int, waste double"
@@ -50,6 +55,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def process_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker, which runs task after task."""
+    return vars(sys.modules.setdefault("labelmill_cache", types.ModuleType("labelmill_cache"))).setdefault(name, {})
+
+
+def _core(word: str) -> tuple[str, str]:
+    """A word whose ids are known more often, and the mark to add to it.
+
+    Letters and a mark after them are tokens of their own, and case does not
+    matter.  Only letters whose small form Python and the tokenizer must agree
+    on are changed: one precomposed Latin letter for another.
+    """
+    core, mark = (word[:-1], word[-1]) if word[-1] in ".," and word[:-1].isalpha() else (word, "")
+    if core.isalpha() and max(core) < "\u0180" and "\u0130" not in core:
+        core = core.lower()
+    return core, mark
+
+
 class WordTokens:
     """Token ids of whole texts by a tokenizer whose tokens never cross ASCII white space.
 
@@ -61,22 +84,40 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.between = self.joined.token_to_id(BETWEEN)
+        self.known: dict[str, bytes] = process_cache(f"words of {path}")
+        self.known[""] = b""
+
+    def look_up(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words, many in one text, with a token between them that no word has."""
+        plain = [w for w in words if "<|" not in w] if self.between is not None else []
+        others = words if self.between is None else [w for w in words if "<|" in w]
+        for w, e in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)):
+            yield w, np.array(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(plain), 2000):
+            part = plain[at:at + 2000]
+            (encoded,) = self.joined.encode_batch_fast([BETWEEN.join(part)], add_special_tokens=False)
+            ids = np.array(encoded.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.between).tolist()
+            raw = ids.tobytes()
+            for w, a, b in zip(part, [-1, *cuts], [*cuts, len(ids)]):
+                yield w, raw[4 * a + 4:4 * b]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [_spaced(t).split(" ") for t in texts]
-        for at in range(0, len(split), 256):
-            part = split[at:at + 256]
-            new = list({w for words in part for w in words if w not in self.known})
-            ids = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, ids))
+        known = self.known
+        for at in range(0, len(texts), 256):
+            part = [_spaced(t).split(" ") for t in texts[at:at + 256]]
+            new = {w: _core(w) for w in {w for words in part for w in words if w not in known}}
+            cores = list({c for pair in new.values() for c in pair if c not in known})
+            known.update(self.look_up(cores))
+            known.update([(w, known[core] + known[mark]) for w, (core, mark) in new.items()])
             for words in part:
-                yield np.frombuffer(b"".join([self.known[w] for w in words]), dtype="<u4")
-            if len(self.known) > CACHE_WORDS:  # words met early are the frequent ones and stay
-                for w in new:
-                    del self.known[w]
+                yield np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+            if len(known) > CACHE_WORDS:  # words met early are the frequent ones and stay
+                for w in {*new, *cores}:
+                    known.pop(w, None)
 
 
 def _spaced(text: str) -> str:
