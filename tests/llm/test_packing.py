@@ -38,7 +38,8 @@ def check_places(rows, capacity):
     return len(bins)
 
 
-ODD = ["a\x1cb", "Á ́x", "ΑΣ Σ ΣΑΣ", "x<|startoftext|y>", " a\xa0b", "don't I'LL 'S ' s", "İstanbul", "e ́\n\r\x0b\x0c\t", "12 3a4 !!?", "日本 語", "😀a😀"]
+ODD = ["a\x1cb", "Á ́x", "ΑΣ Σ ΣΑΣ", "x<|startoftext|y>", " a\xa0b", "don't I'LL 'S ' s", "İstanbul", "e ́\n\r\x0b\x0c\t", "12 3a4 !!?", "日本 語", "😀a😀",
+       "Été, ÉTÉ. été. STRASSE, straße ŒUVRE. ÿ, Ÿ. ŉ. ſ, a., b.. C,, don't, DON'T. É, x̌, X̌."]
 
 
 def test_ids_equal_those_of_the_tokenizer(tokenizer, nasty_texts):
