@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from labelmill import config as G
 from labelmill.operators import logodds
+from labelmill.operators.scale import clear_run
 from labelmill.plans import jobs
 from labelmill.sources import files
 
@@ -47,8 +48,11 @@ def main(argv: list[str] | None = None) -> None:
         tables = _corpus_tables(args, corpus, spec, combos)
     for name, table in tables.items():
         table.write.mode("overwrite").json(f"{args.out}/{name}")
-    if args.job == "validate":
-        jobs.gate(tables)
+    try:
+        if args.job == "validate":
+            jobs.gate(tables)
+    finally:
+        clear_run(spark)
 
 
 def _corpus_tables(args: argparse.Namespace, corpus, spec: G.LabelSpec, combos) -> jobs.Tables:

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 # so at most (rows / HOT_ROWS) keys are ever broadcast.
 HOT_ROWS = 1_000_000
 
+# Bits of a row id that hold the place within a partition.
+PLACE_BITS = 33
+
 # Up to this many first rows are merged in one task.
 MERGE_ROWS = 1_000
 
@@ -43,14 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables below the shared one."""
+    return f"{shared_dir(spark)}/labelmill/{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables, once no result needs them
+    any more; tells whether there were any.  Other applications' stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows read back from a table in the shared folder.
 
     Survives lost executors and freezes row placement.  Unlike a checkpoint the
-    table is columnar, and the optimizer knows its size.
+    table is columnar, and the optimizer knows its size.  Whole jobs end with
+    :func:`clear_run`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/labelmill/{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,25 +92,24 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank", partitions: int | None = None) -> DataFrame:
     """1-based rank over the whole table without a single-task window.
 
-    Rows are range-partitioned and frozen, counted per partition, and ranked
-    inside their partition; the offsets table has one row per partition.
-    Range partitioning samples its input first, so expensive rows are best
-    written before (see :func:`cut_lineage`).
+    Rows are range-partitioned and sorted, numbered in place as they are written,
+    and counted per partition; so they are shuffled once.  The offsets table
+    has one row per partition.  Range partitioning samples its input first, so
+    expensive rows are best written before (see :func:`cut_lineage`).
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    # A row id has the partition in its upper bits and the place in it in the lower ones.
+    placed = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__seq", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__seq", PLACE_BITS), F.col("__seq").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+        placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
         .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     )
-    inside = Window.partitionBy("__part").orderBy(*order)
-    ranked = placed.withColumn("__pos", F.row_number().over(inside))
     return (
-        ranked.join(F.broadcast(offsets), "__part")
-        .withColumn(out, F.col("__base") + F.col("__pos"))
-        .drop("__part", "__base", "__pos")
+        placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+        .withColumn(out, F.col("__base") + inside + 1).drop("__part", "__base", "__seq")
     )
 
 

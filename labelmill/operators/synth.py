@@ -94,11 +94,23 @@ def fill_quotas(categories: Sequence[tuple[DataFrame, str, int]], existing: Data
     A text accepted earlier blocks later categories; a text left over when a
     quota was full stays available to them.  So categories go in turn, each
     anti-joined with what was accepted so far, which is written as a table
-    after each.  All categories share one schema.  Adds ``category_pos``.
+    after each.  The keys of the existing corpus are made once, and only those
+    that some candidate has are kept.  All categories share one schema.  Adds
+    ``category_pos``.
     """
     accepted: DataFrame | None = None
+    known = None
+    if existing is not None and categories:
+        offered = None
+        for candidates, _, _ in categories:
+            keys = candidates.select(X.fingerprint(F.col(text)).alias("norm_key"))
+            offered = keys if offered is None else offered.unionByName(keys)
+        every = existing.select(X.fingerprint(F.col(existing_text)).alias("norm_key"))
+        known = cut_lineage(every.join(offered.distinct(), "norm_key", "left_semi").distinct())
     for place, (candidates, name, quota) in enumerate(categories):
-        fresh = unique_candidates(candidates, existing, order, text, existing_text)
+        fresh = unique_candidates(candidates, None, order, text)
+        if known is not None:
+            fresh = fresh.join(known, "norm_key", "left_anti")
         if accepted is not None:
             fresh = fresh.join(accepted.select("norm_key"), "norm_key", "left_anti")
         picked = first_n(fresh, [F.col(c) for c in order], quota)

@@ -10,7 +10,7 @@ from labelmill.functions import text as X
 from labelmill.operators import feedback as FB
 from labelmill.operators import logodds as H
 from labelmill.operators import synth as M
-from labelmill.operators.scale import cut_lineage, join_by_key, shared_dir
+from labelmill.operators.scale import cut_lineage, join_by_key, run_dir
 from labelmill.plans import bindings as B
 from labelmill.plans import sqltext as S
 from labelmill.streaming import live
@@ -243,7 +243,7 @@ def _stream(spark, sf, name):
 
 
 def _scratch(spark):
-    return f"{shared_dir(spark)}/labelmill-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def stream_route(spark, sf):
