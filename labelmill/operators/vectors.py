@@ -97,6 +97,8 @@ def fit(df: DataFrame, binary: Sequence[str] = (), sets: dict[str, Sequence[str]
                 label: _fit_flag(data, F.array_contains(name, label), features, rows) for label in space}
         for name, space in (classes or {}).items():
             place = F.array_position(X.label_array(space), F.col(name).cast("string")).cast("int") - 1
+            if not data.filter(place.isNull() | (place < 0)).isEmpty():
+                raise ValueError(f"{name} has rows without a label of its space")
             labelled = balanced_weights(data.select(features, place.alias("__place")), "__place")
             fitted = _regression(features, "__place", "multinomial", CLASS_ITERATIONS, 1.0 / rows).fit(labelled)
             model.classes[name] = (list(space), fitted)

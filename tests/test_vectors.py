@@ -107,3 +107,9 @@ def test_the_encoder_runs_once_per_text(spark, tmp_path):
     assert fresh.count() == 3 and calls.value == 3
     again, new = K.cached_embeddings(df, fresh, encoder)
     assert again.count() == 4 and new.count() == 0 and calls.value == 3
+
+
+def test_labels_outside_the_space_are_told(spark):
+    df = K.embed(spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "z"), (3, [1.0, 1.0], None)], "id int, embedding array<double>, kind string"))
+    with pytest.raises(ValueError, match="kind"):
+        K.fit(df, classes={"kind": ("a", "b")})
