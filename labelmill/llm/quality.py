@@ -13,6 +13,7 @@ one number per word, which a task keeps for the words it has met.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -77,7 +78,7 @@ def buckets_of(word: bytes, n_buckets: int = BUCKETS) -> list[int]:
 
 def _features(texts: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Table rows and weights of every document; the weights of a document add up to 1."""
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, array] = {}
     out = []
     for text in texts:
         words = words_of(text)
@@ -85,11 +86,11 @@ def _features(texts: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         for word, n in Counter(words).items():
             rows = known.get(word)
             if rows is None:
-                rows = known[word] = buckets_of(word)
+                rows = known[word] = array("I", buckets_of(word))
             share = n / len(words) / len(rows)
             for r in rows:
                 weights[r] = weights.get(r, 0.0) + share
-        out.append((np.fromiter(weights.keys(), np.int64, len(weights)), np.fromiter(weights.values(), np.float32, len(weights))))
+        out.append((np.fromiter(weights.keys(), np.int32, len(weights)), np.fromiter(weights.values(), np.float32, len(weights))))
     return out
 
 
@@ -127,7 +128,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality"))
     )
-    chosen = top_k(wanted, ["quality"], [F.xxhash64("__id"), F.col("__id")], per_class)
+    # The smallest hashes of a class are its sample.  How many rows it has tells below which
+    # hash they surely lie, so only a few times the sample is ranked.
+    mark = F.shiftrightunsigned(F.xxhash64("__id"), 1)
+    below = {r["quality"]: min(1.0, 4 * (per_class + 100) / r["n"]) for r in wanted.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ends = {c: int(share * 2**62) * 2 for c, share in below.items()}
+    able = wanted.filter(mark <= F.when(F.col("quality") == 0, F.lit(min(ends.get(0, 0), 2**63 - 1))).otherwise(F.lit(min(ends.get(1, 0), 2**63 - 1))))
+    chosen = top_k(able, ["quality"], [mark, F.col("__id")], per_class)
     texts = docs.select("doc_id", whole_text().alias("text"))
     return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "quality")
 
