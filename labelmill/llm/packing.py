@@ -84,21 +84,23 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.between = self.joined.token_to_id(BETWEEN)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(BETWEEN)
         self.known: dict[str, bytes] = process_cache(f"words of {path}")
         self.known[""] = b""
 
     def look_up(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words, many in one text, with a token between them that no word has."""
+        """Ids of words, many in one text, with a token between them that none of these has.
+
+        Words that may hold special tokens are looked up one by one, as the tokenizer reads them.
+        """
         plain = [w for w in words if "<|" not in w] if self.between is not None else []
         others = words if self.between is None else [w for w in words if "<|" in w]
         for w, e in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)):
             yield w, np.array(e.ids, dtype="<u4").tobytes()
         for at in range(0, len(plain), 2000):
             part = plain[at:at + 2000]
-            (encoded,) = self.joined.encode_batch_fast([BETWEEN.join(part)], add_special_tokens=False)
+            (encoded,) = self.tokenizer.encode_batch_fast([BETWEEN.join(part)], add_special_tokens=False)
             ids = np.array(encoded.ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.between).tolist()
             raw = ids.tobytes()

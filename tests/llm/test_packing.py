@@ -52,6 +52,20 @@ def test_ids_equal_those_of_the_tokenizer(tokenizer, nasty_texts):
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] * 2
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|startoftext|>", "x<|startoftext|>y <|startoftext|> z", "a<|endoftext|>b<|endoftext|><|startoftext|>C.",
+           "\t<|endoftext|>\n<|ENDOFTEXT|> <|endoftext| >", "<<|endoftext|>> é<|startoftext|>É, 'S<|endoftext|>'s"]
+
+
+def test_special_tokens_in_texts_are_those_of_the_tokenizer(spark, tokenizer):
+    words = packing.WordTokens(packing.default_tokenizer())
+    plain = [tokenizer.encode(t, add_special_tokens=False).ids for t in SPECIAL]
+    assert plain[0] == [320, 49407, 321]
+    assert [ids.tolist() for ids in words.encode(SPECIAL * 2)] == plain * 2
+    rows = list(enumerate(SPECIAL)) + [(99, "<|endoftext|> word " * 3000)]
+    got = packing.token_pieces(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(tokenizer, rows)
+
+
 def test_documents_are_packed_whole(nasty, nasty_texts, nothing, tokenizer):
     rows = packing.pack(packing.token_pieces(nasty)).collect()
     assert sorted([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows], key=str) == brute(tokenizer, nasty_texts)
