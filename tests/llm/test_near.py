@@ -1,0 +1,96 @@
+import random
+
+import corpus_pipeline as pipeline
+from labelmill.llm import near
+
+
+def sets(text, k=5):
+    words = text.encode().lower().split()
+    return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def kept_by_brute_force(rows):
+    own = [(i, sets(t)) for i, t in rows]
+    parent = list(range(len(own)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, (_, a) in enumerate(own):
+        for y, (_, b) in enumerate(own[:x]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                p, q = find(x), find(y)
+                parent[max(p, q)] = min(p, q)
+    least = {}
+    for x, (i, _) in enumerate(own):
+        least[find(x)] = min(i, least.get(find(x), i))
+    return sorted(least.values())
+
+
+def edited(rng, words, n):
+    """``n`` words changed, far enough apart to change five shingles each."""
+    words = list(words)
+    for at in rng.sample(range(0, len(words) // 6), n):
+        words[6 * at] = f"edit{rng.randrange(10**6)}"
+    return words
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    opening = [rng.choice(vocabulary) for _ in range(60)]
+    rows, base = [], [[rng.choice(vocabulary) for _ in range(400)] for _ in range(25)]
+    for words in base:
+        rows.append(words)
+        rows += [edited(rng, words, n) for n in (1, 4, 6, 8, 8, 9, 9, 12, 20)]
+    chain = base[0]
+    for _ in range(6):  # each is like the one before, the ends are not
+        chain = edited(rng, chain, 7)
+        rows.append(chain)
+    rows += [opening + [rng.choice(vocabulary) for _ in range(n)] for n in (3, 5, 12, 20, 40, 100) for _ in range(4)]
+    texts = [" ".join(r) for r in rows] + ["", " \n", "one two", "ONE  two", "one two three", texts_of_five := "a b c d e", texts_of_five + " f"]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_one_of_each_group_of_similarity_four_fifths(spark):
+    for seed in (1, 2):
+        rows = corpus(seed)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = sorted(r.doc_id for r in near.one_of_each(docs).collect())
+        assert got == kept_by_brute_force(rows)
+
+
+def test_the_stage_takes_near_copies_that_differ_in_many_bits(spark):
+    from labelmill.llm import simhash
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    copies = [edited(rng, words, 8) for _ in range(20)]
+    rows = [(0, " ".join(words))] + [(i + 1, " ".join(c)) for i, c in enumerate(copies)]
+    own = simhash.fingerprint(rows[0][1])
+    assert any((simhash.fingerprint(t) ^ own).bit_count() > 3 for _, t in rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in pipeline.keep_one_of_each(spark, docs, "").collect()] == [0]
+
+
+def test_pairs_at_the_bound_share_a_key():
+    rng = random.Random(4)
+    bands, met, pairs = near.Bands(), 0, 0
+    while pairs < 1500:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        a, b = near.shingles(" ".join(words)), near.shingles(" ".join(edited(rng, words, 8)))
+        both = len(set(a.tolist()) & set(b.tolist()))
+        if 0.8 <= both / (len(a) + len(b) - both) < 0.85:
+            pairs += 1
+            met += bool(set(bands.keys(a).tolist()) & set(bands.keys(b).tolist()))
+    assert met >= 0.997 * pairs
+
+
+def test_nasty_documents(nasty, nothing):
+    got = near.one_of_each(nasty)
+    assert got.columns == nasty.columns and near.one_of_each(nothing).count() == 0
+    ids = [r.doc_id for r in got.collect()]
+    assert ids.count(1) == 1 and 2 not in ids and 3 not in ids and 7 in ids and 8 not in ids and 9 not in ids and ids.count(None) == 1
