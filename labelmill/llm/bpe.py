@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import whole_text
+from labelmill.llm.common import slices, whole_text
 
 #: Rows and pre-tokens that are looked up together, and pre-tokens that a task remembers; only short ones are kept.
 ROWS = 512
@@ -195,19 +195,13 @@ def codec(vocabulary: str | None = None, pattern: str | None = None) -> tuple[by
     return serialized(read_ranks(vocabulary or default_vocabulary())), pattern or default_pattern()
 
 
-def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        for at in range(0, len(batch), ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def encode(text: Column, by: tuple[bytes, str]) -> Column:
     """Ids of a text as a binary of little-endian unsigned 32-bit integers; null for null."""
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Codec(*by)
-        for texts in _slices(batches):
+        for texts in slices(batches, ROWS):
             found = words.encode(t for t in texts.to_pylist() if t is not None)
             yield pa.array([next(found) if valid else None for valid in texts.is_valid().to_pylist()], pa.binary())
 
@@ -220,7 +214,7 @@ def decode(ids: Column, by: tuple[bytes, str]) -> Column:
     @F.arrow_udf("binary")
     def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Codec(*by)
-        for rows in _slices(batches):
+        for rows in slices(batches, ROWS):
             yield pa.array([None if r is None else words.decode(r) for r in rows.to_pylist()], pa.binary())
 
     return raw(ids)

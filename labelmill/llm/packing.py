@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import os
 import random
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import whole_text
+from labelmill.llm.common import picked, slices, split_words, whole_text
 from labelmill.operators.scale import cut_lineage
 
 CAPACITY = 4096
@@ -38,11 +36,18 @@ EPOCHS = 2
 GENERATIONS = 12
 POPULATION = 5
 
-#: Words whose ids a Python worker remembers, at about 200 bytes each.
-CACHE_WORDS = 1_200_000
+#: Words whose ids a task remembers, at about 200 bytes each; longer words are looked up each time.
+CACHE_WORDS = 150_000
+CACHE_CHARS = 32
 
-#: Token of its own in any text, which tells the ids of words apart.
-BETWEEN = "<|endoftext|>"
+#: Words that the tokenizer reads in one text.
+AT_ONCE = 500
+
+#: A word that tells the ids of other words apart: one token, which no word without this character has.
+BETWEEN = "\x1f"
+
+#: How the tokenizer marks tokens that end a run of letters.
+WORD_END = "</w>"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ISLANDS = "group long, island int, items array<long>, sizes array<int>, population array<array<int>>, bins int, waste double"
@@ -55,11 +60,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def process_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, which runs task after task."""
-    return vars(sys.modules.setdefault("labelmill_cache", types.ModuleType("labelmill_cache"))).setdefault(name, {})
-
-
 def _core(word: str) -> tuple[str, str]:
     """A word whose ids are known more often, and the mark to add to it.
 
@@ -73,11 +73,16 @@ def _core(word: str) -> tuple[str, str]:
     return core, mark
 
 
+def _one_token_run(word: str) -> bool:
+    return word.isalpha() and max(word) < "\u0180" and word == word.lower()
+
+
 class WordTokens:
     """Token ids of whole texts by a tokenizer whose tokens never cross ASCII white space.
 
-    Such a text is a row of words, so its ids are those of its words, and a word
-    met before needs no second look.
+    Such a text is a row of words, so its ids are those of its words.  The
+    different words of many texts are looked up together; frequent ones are
+    kept for the next texts of the task.
     """
 
     def __init__(self, path: str):
@@ -85,63 +90,88 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.between = self.tokenizer.token_to_id(BETWEEN)
-        self.known: dict[str, bytes] = process_cache(f"words of {path}")
-        self.known[""] = b""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith(WORD_END)]] = True
+        between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
+        self.known: dict[str, bytes] = {"": b""}
 
     def look_up(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words, many in one text, with a token between them that none of these has.
+        """Ids of words, many in one text.
 
-        Words that may hold special tokens are looked up one by one, as the tokenizer reads them.
+        Small Latin letters alone are one run, which ends with a token for the
+        end of a word.  Other words have a word between them that none of them
+        has.  Words that may hold special tokens are looked up one by one, as
+        the tokenizer reads them.
         """
-        plain = [w for w in words if "<|" not in w] if self.between is not None else []
-        others = words if self.between is None else [w for w in words if "<|" in w]
-        for w, e in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)):
+        letters = [w for w in words if _one_token_run(w)]
+        apart = set(letters)
+        alone = [w for w in words if w not in apart and (self.between is None or "<|" in w or BETWEEN in w)]
+        for w, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
             yield w, np.array(e.ids, dtype="<u4").tobytes()
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
-            (encoded,) = self.tokenizer.encode_batch_fast([BETWEEN.join(part)], add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u4")
+        apart.update(alone)
+        for part, ids in self._read(letters, " "):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                yield from self._cut(part, ids, [0, *cuts[:-1].tolist()], cuts.tolist())
+            else:  # this tokenizer has no token of its own for the end of a word
+                yield from ((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
+        for part, ids in self._read([w for w in words if w not in apart], f" {BETWEEN} "):
             cuts = np.flatnonzero(ids == self.between).tolist()
-            raw = ids.tobytes()
-            for w, a, b in zip(part, [-1, *cuts], [*cuts, len(ids)]):
-                yield w, raw[4 * a + 4:4 * b]
+            yield from self._cut(part, ids, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)])
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        known = self.known
-        for at in range(0, len(texts), 256):
-            part = [_spaced(t).split(" ") for t in texts[at:at + 256]]
-            new = {w: _core(w) for w in {w for words in part for w in words if w not in known}}
-            cores = list({c for pair in new.values() for c in pair if c not in known})
-            known.update(self.look_up(cores))
-            known.update([(w, known[core] + known[mark]) for w, (core, mark) in new.items()])
-            for words in part:
-                yield np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
-            if len(known) > CACHE_WORDS:  # words met early are the frequent ones and stay
-                for w in {*new, *cores}:
-                    known.pop(w, None)
+    def _read(self, words: list[str], between: str) -> Iterator[tuple[list[str], np.ndarray]]:
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at:at + AT_ONCE]
+            (encoded,) = self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)
+            yield part, np.array(encoded.ids, dtype="<u4")
 
+    @staticmethod
+    def _cut(words: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> Iterator[tuple[str, bytes]]:
+        raw = ids.tobytes()
+        return ((w, raw[4 * a:4 * b]) for w, a, b in zip(words, starts, ends))
 
-def _spaced(text: str) -> str:
-    for c in "\t\n\x0b\x0c\r":
-        text = text.replace(c, " ")
-    return text
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        known = self.known
+        full = len(known) > CACHE_WORDS
+        new = {w: _core(w) for w in words if w not in known}
+        cores = list({c for pair in new.values() for c in pair if c not in known})
+        known.update(self.look_up(cores))
+        known.update([(w, known[core] + known[mark]) for w, (core, mark) in new.items()])
+        out = [known[w] for w in words]
+        for w in {*new, *cores}:  # words met early are the frequent ones and stay
+            if full or len(w) > CACHE_CHARS:
+                known.pop(w, None)
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each start (one more for the end)."""
+        words, codes, starts = split_words(texts)
+        found = self.ids_of(words)
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        at, to = picked(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4, codes)
+        return ids[at], to[starts]
 
 
 def _tokenized(path: str, capacity: int, end_id: int):
+    end = np.array([end_id], dtype="<u4").tobytes()
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(path)
-        end = np.array([end_id], dtype="<u4")
-        for batch in batches:
+        for batch in slices(batches):
+            ids, starts = tokens.encode(batch.column(1))
             out = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist())):
-                ids = np.concatenate([ids, end])
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at:at + capacity]
-                    out.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
-            if out:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in _PIECES.split(", ")])
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
+                n = b - a + 1
+                for k, at in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - at)
+                    last = at + length == n
+                    crc = zlib.crc32(ids[a + at:a + at + length - last].tobytes())
+                    out.append((doc_id, k, at, length, zlib.crc32(end, crc) if last else crc))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in _PIECES.split(", ")])
 
     return pieces
 

@@ -7,26 +7,22 @@ each class is.  Vectors and layer are learned together by stochastic gradient
 descent in numpy, on a bounded sample of labelled documents.
 
 An average passes through a linear layer word by word.  Scoring therefore needs
-one number per word, which a task keeps for the words it has met.
+one number per word, found once for the different words of many texts.
 """
 
 from __future__ import annotations
 
-import zlib
-from array import array
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.common import whole_text
-from labelmill.operators.scale import top_k
+from labelmill.llm.common import picked, slices, split_words, whole_text
+from labelmill.operators.scale import cut_lineage, top_k
 
 #: Labelled documents per class that training reads at most, chosen by a hash of their ids.
 SAMPLE_PER_CLASS = 1500
@@ -41,10 +37,6 @@ DECAY = 0.01
 BIAS_SHARE = 0.1
 THRESHOLD = 0.7
 
-#: Words whose number a task remembers.
-CACHE_WORDS = 500_000
-
-
 @dataclass
 class Model:
     """``parts``: what each hashed vector adds to the log-odds; ``bias``: what they start from."""
@@ -57,40 +49,74 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: Stands for a word n-gram of one and the same word; no text has it, as it has white space.
-SAME = b" same"
+#: Multipliers of the hashes; odd, so that no two characters of a gram are taken for others by it.
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
 
+def _bucket(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Table rows of hashes; every kind of feature has a salt of its own."""
+    x = hashes + np.uint64(salt * int(_MIX) % 2**64)
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * _STEP
+    return (x >> np.uint64(40)).astype(np.int64) % BUCKETS
 
-def words_of(text: str) -> list[bytes]:
-    """The words of a text, and ``SAME`` for every word that repeats the one before it."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    return words + [SAME] * sum(map(eq, words, words[1:]))
 
+#: Table row of a word n-gram of one and the same word.
+SAME = int(_bucket(np.zeros(1, np.uint64), 99)[0])
 
-def buckets_of(word: bytes, n_buckets: int = BUCKETS) -> list[int]:
-    """Table rows of a word: its own and those of its character n-grams with end marks."""
-    if word == SAME:
-        return [zlib.crc32(word) % n_buckets]
-    marked = f"<{word.decode('utf-8', 'replace')}>"
-    grams = [marked[i:i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(word) % n_buckets] + [zlib.crc32(g.encode("utf-8", "replace"), 1) % n_buckets for g in grams]
 
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of words, and where each word's end: its own row and those of its character n-grams with end marks.
 
-def _features(texts: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    All n-grams of all words are hashed at once, as windows over one row of
+    code points.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    points = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = ends[word] - np.arange(len(points))
+    place = (sizes[word] - left).astype(np.uint64)
+    mixed = (points + np.uint64(1)) * _MIX
+    mixed ^= mixed >> np.uint64(31)
+    spread = (place + np.uint64(1)) * _STEP
+    whole = np.add.reduceat(mixed * (spread | np.uint64(1)), ends - sizes) if len(words) else np.empty(0, np.uint64)
+    rows, owners = [_bucket(whole, 1)], [np.arange(len(words))]
+    for n in NGRAMS:
+        at = np.flatnonzero(left >= n)
+        gram = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            gram = gram * _STEP + mixed[at + k]
+        rows.append(_bucket(gram, n))
+        owners.append(word[at])
+    owner = np.concatenate(owners)
+    return np.concatenate(rows)[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=len(words)))
+
+
+def _repeats(codes: np.ndarray, starts: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Words of each text that repeat the one before them."""
+    same = np.concatenate([[False], codes[1:] == codes[:-1]]) & real[codes] if len(codes) else np.empty(0, bool)
+    inside = starts[:-1][starts[:-1] < len(codes)]
+    same[inside] = False
+    before = np.concatenate([[0], np.cumsum(same)])
+    return before[starts[1:]] - before[starts[:-1]]
+
+
+def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Table rows and weights of every document; the weights of a document add up to 1."""
-    known: dict[bytes, array] = {}
+    words, codes, starts = split_words(pa.array(texts, pa.string()))
+    real = np.array([bool(w) for w in words], bool)
+    rows, ends = buckets_of(words)
+    count = np.diff(np.concatenate([[0], ends]))
     out = []
-    for text in texts:
-        words = words_of(text)
-        weights: dict[int, float] = {}
-        for word, n in Counter(words).items():
-            rows = known.get(word)
-            if rows is None:
-                rows = known[word] = array("I", buckets_of(word))
-            share = n / len(words) / len(rows)
-            for r in rows:
-                weights[r] = weights.get(r, 0.0) + share
-        out.append((np.fromiter(weights.keys(), np.int32, len(weights)), np.fromiter(weights.values(), np.float32, len(weights))))
+    for a, b, again in zip(starts[:-1], starts[1:], _repeats(codes, starts, real)):
+        of = codes[a:b][real[codes[a:b]]]
+        n = len(of) + int(again)
+        at, _ = picked(ends, of)
+        mine = np.concatenate([rows[at], np.full(min(1, again), SAME)])
+        share = np.concatenate([np.repeat(1 / count[of], count[of]), [again] * min(1, again)]) / max(1, n)
+        unique, where = np.unique(mine, return_inverse=True)
+        out.append((unique.astype(np.int32), np.bincount(where, weights=share, minlength=len(unique)).astype(np.float32)))
     return out
 
 
@@ -123,11 +149,18 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """``text, quality`` of labelled documents that are not held out, at most ``per_class`` for each class."""
+    """``doc_id, text, quality`` of labelled documents that are not held out, at most ``per_class`` for each class.
+
+    Only labels of ids that ``docs`` has are ranked, and an id gives one text,
+    that of the least hash, so that no repeated id makes the sample larger.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     wanted = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality"))
+        .select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("quality")).distinct()
+        .join(texts.select(F.col("doc_id").alias("__id")), "__id", "left_semi")
     )
+    wanted = cut_lineage(wanted)
     # The smallest hashes of a class are its sample.  How many rows it has tells below which
     # hash they surely lie, so only a few times the sample is ranked.
     mark = F.shiftrightunsigned(F.xxhash64("__id"), 1)
@@ -135,8 +168,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
     ends = {c: int(share * 2**62) * 2 for c, share in below.items()}
     able = wanted.filter(mark <= F.when(F.col("quality") == 0, F.lit(min(ends.get(0, 0), 2**63 - 1))).otherwise(F.lit(min(ends.get(1, 0), 2**63 - 1))))
     chosen = top_k(able, ["quality"], [mark, F.col("__id")], per_class)
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "quality")
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    return found.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -145,33 +178,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return train(rows["text"].tolist(), rows["quality"].tolist())
 
 
-class _Words(dict):
-    """What each word adds to the log-odds."""
-
-    def __init__(self, parts: np.ndarray):
-        self.parts = parts
-
-    def __missing__(self, word: bytes) -> float:
-        value = float(self.parts[buckets_of(word, len(self.parts))].mean())
-        if len(self) < CACHE_WORDS:
-            self[word] = value
-        return value
-
-
 def score(model: Model):
     """A column function: chance from 0 to 1 that a text is of class 1; null and empty texts have the bias alone."""
     parts, bias = model.parts, model.bias
 
-    @F.pandas_udf(T.DoubleType())
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _Words(parts)
-        for texts in batches:
-            out = []
-            for text in texts:
-                words = words_of(text)
-                odds = bias + (sum([known[w] for w in words]) / len(words) if words else 0.0)
-                out.append(1 / (1 + np.exp(-min(max(odds, -500.0), 500.0))))
-            yield pd.Series(out, dtype="float64")
+    @F.arrow_udf(T.DoubleType())
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in slices(batches):
+            words, codes, starts = split_words(texts)
+            real = np.array([bool(w) for w in words], bool)
+            rows, ends = buckets_of(words)
+            owner = np.repeat(np.arange(len(words)), np.diff(np.concatenate([[0], ends])))
+            size = np.maximum(1, np.bincount(owner, minlength=len(words)))
+            value = np.bincount(owner, weights=parts[rows], minlength=len(words)) / size * real
+            text = np.repeat(np.arange(len(texts)), np.diff(starts))
+            again = _repeats(codes, starts, real)
+            n = np.bincount(text, weights=real[codes], minlength=len(texts)) + again
+            total = np.bincount(text, weights=value[codes], minlength=len(texts)) + again * parts[SAME]
+            yield pa.array(1 / (1 + np.exp(-np.clip(bias + total / np.maximum(1, n), -500, 500))))
 
     return scores
 
@@ -180,8 +204,8 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
     """``docs`` with ``held_out, score, predicted``.
 
     Labels that are null or other than 0 and 1 are left out, and so are those
-    of null ids; repeated labels of a document count each.  Only texts are
-    scored.  Repeated rows are scored each; an empty table stays empty.
+    of null ids and of ids that ``docs`` has not; equal labels of a document
+    count once.  Only texts are scored.  Repeated rows are scored each; an empty table stays empty.
     """
     model = fit(docs, labels, per_class)
     out = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", score(model)(whole_text()))
@@ -189,6 +213,11 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents that the classifier does not reject, with the columns of ``docs``."""
+    """The documents that the classifier does not reject, with the columns of ``docs``.
+
+    Null texts are empty, and empty ones have the score of the bias.  Repeated
+    rows are judged each, a score equal to the threshold is accepted, and an
+    empty table stays empty.
+    """
     model = fit(docs, labels, **options)
     return docs.withColumn("__score", score(model)(whole_text())).filter(F.col("__score") >= threshold).select(*docs.columns)

@@ -2,6 +2,7 @@ import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,15 +39,41 @@ def test_learns_from_the_other_rows_only(spark):
 
 
 def test_score_is_softmax_of_the_average(spark):
-    import numpy as np
-
     model = quality.train([t for _, t, _ in texts(120)], [q for _, _, q in texts(120)])
-    text = "water Tree tree !! river\n"
-    words = quality.words_of(text)
-    odds = model.bias + np.mean([model.parts[quality.buckets_of(w)].mean() for w in words])
+    text = "water Tree tree tree !! river\n"
+    parts = [model.parts[rows_of(w)].mean() for w in text.split()]
+    odds = model.bias + np.mean([*parts, model.parts[quality.SAME]])
     got = spark.createDataFrame([(text,)], "text string").select(quality.score(model)("text")).first()[0]
     assert got == pytest.approx(1 / (1 + np.exp(-odds)))
-    assert quality.words_of("a b b b") == [b"a", b"b", b"b", b"b", quality.SAME, quality.SAME]
+
+
+def rows_of(word):
+    rows, ends = quality.buckets_of([word])
+    assert ends.tolist() == [len(rows)]
+    return rows
+
+
+def test_rows_of_a_word_do_not_depend_on_its_neighbours():
+    words = ["tree", "é", "日本語の", "", "tree's", "x" * 50, "trees", "😀a"]
+    rows, ends = quality.buckets_of(words)
+    assert [r.tolist() for r in np.split(rows, ends[:-1])] == [rows_of(w).tolist() for w in words]
+    assert [len(rows_of(w)) for w in words[:3]] == [1 + 4 + 3 + 2, 1 + 1, 1 + 4 + 3 + 2]
+    # "<tre" is a gram of three of the words, "<tree" as well; the words differ in their own row.
+    assert len(set(rows_of("tree").tolist()) & set(rows_of("trees").tolist())) == 6 and rows_of("tree")[0] != rows_of("trees")[0]
+    assert quality.buckets_of([])[0].tolist() == []
+
+
+def test_weights_of_documents():
+    (some, empty, spaces) = quality._features(["a b b\tb", "", " \n "])
+    assert some[1].sum() == pytest.approx(1) and dict(zip(*some))[quality.SAME] == pytest.approx(2 / 6)
+    assert len(empty[0]) == len(spaces[0]) == 0
+
+
+def test_a_repeated_id_gives_one_text(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-50, 5)] + [(1, 1)], "doc_id long, quality int")
+    got = quality.training_sample(docs, labels, per_class=20).collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(5) if zlib.crc32(str(i).encode()) % 4 != 2]
 
 
 def test_nasty_and_unlabelled(spark, nasty, nothing):
