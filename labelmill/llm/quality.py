@@ -65,12 +65,22 @@ def _bucket(hashes: np.ndarray, salt: int) -> np.ndarray:
 SAME = int(_bucket(np.zeros(1, np.uint64), 99)[0])
 
 
+#: Bytes of text that a task scores at once.
+SLICE_BYTES = 4_000_000
+
+#: Words whose n-grams are hashed at once, about 1 KB each.
+WORDS_AT_ONCE = 16_384
+
+
 def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of words, and where each word's end: its own row and those of its character n-grams with end marks.
+    """Table rows of words, and where each word's end: its own row and those of its character n-grams with end marks."""
+    parts = [_buckets_of(words[at:at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
+    sizes = np.concatenate([np.empty(0, np.int64), *(np.diff(ends, prepend=0) for _, ends in parts)])
+    return np.concatenate([np.empty(0, np.int32), *(rows for rows, _ in parts)]), np.cumsum(sizes)
 
-    All n-grams of all words are hashed at once, as windows over one row of
-    code points.
-    """
+
+def _buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a bounded number of words: their n-grams are windows over one row of code points."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(sizes)
     points = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -90,7 +100,7 @@ def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows.append(_bucket(gram, n))
         owners.append(word[at])
     owner = np.concatenate(owners)
-    return np.concatenate(rows)[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=len(words)))
+    return np.concatenate(rows)[np.argsort(owner, kind="stable")].astype(np.int32), np.cumsum(np.bincount(owner, minlength=len(words)))
 
 
 def _repeats(codes: np.ndarray, starts: np.ndarray, real: np.ndarray) -> np.ndarray:
@@ -178,19 +188,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return train(rows["text"].tolist(), rows["quality"].tolist())
 
 
+def _values(words: list[str], parts: np.ndarray) -> np.ndarray:
+    """What each word adds to the log-odds: the average over its rows."""
+    rows, ends = _buckets_of(words)
+    size = np.diff(ends, prepend=0)
+    return np.bincount(np.repeat(np.arange(len(words)), size), weights=parts[rows], minlength=len(words)) / size
+
+
 def score(model: Model):
     """A column function: chance from 0 to 1 that a text is of class 1; null and empty texts have the bias alone."""
     parts, bias = model.parts, model.bias
 
     @F.arrow_udf(T.DoubleType())
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in slices(batches):
+        for texts in slices(batches, size=SLICE_BYTES):
             words, codes, starts = split_words(texts)
             real = np.array([bool(w) for w in words], bool)
-            rows, ends = buckets_of(words)
-            owner = np.repeat(np.arange(len(words)), np.diff(np.concatenate([[0], ends])))
-            size = np.maximum(1, np.bincount(owner, minlength=len(words)))
-            value = np.bincount(owner, weights=parts[rows], minlength=len(words)) / size * real
+            value = np.concatenate([np.empty(0), *(_values(words[at:at + WORDS_AT_ONCE], parts) for at in range(0, len(words), WORDS_AT_ONCE))]) * real
             text = np.repeat(np.arange(len(texts)), np.diff(starts))
             again = _repeats(codes, starts, real)
             n = np.bincount(text, weights=real[codes], minlength=len(texts)) + again
