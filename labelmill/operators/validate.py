@@ -138,52 +138,74 @@ def line_rules(line: str = "value") -> list[Rule]:
     ]
 
 
-def _at(path: str) -> Column:
-    return F.try_variant_get("doc", path, _VARIANT)
-
-
 def _type_of(value: Column) -> Column:
     """Variant type name; null where the value is absent."""
     return F.schema_of_variant(value)
 
 
-def schema_rules(schema: dict, line: str = "value", path: str = "$") -> list[Rule]:
-    """Rules for the JSON-Schema keywords type, required, additionalProperties,
-    properties, uniqueItems, items, minLength, pattern and enum.
+_TYPES = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "BOOLEAN"}
+
+
+def _cells(cells: Sequence[tuple[str, Column, Column]], at: Column | None = None) -> Column:
+    """Array of (rule, detail) structs of the broken ones of (rule, broken, shown); details of items begin with their place."""
+    def detail(shown: Column) -> Column:
+        return shown.cast("string") if at is None else F.concat_ws(": ", at, shown.cast("string"))
+
+    return F.array_compact(F.array(*[
+        F.when(broken, F.struct(F.lit(rule).alias("rule"), detail(shown).alias("detail"))) for rule, broken, shown in cells]))
 
-    They test VARIANT types, because casting would turn ``5`` into ``'5'`` and
-    ``"true"`` into true.  Unsupported types raise here, before any job runs.
+
+def _child(value: Column, name: str) -> Column:
+    quote = "\"" if "'" in name else "'"
+    if quote in name:
+        raise ValueError(f"property {name!r}: a name with both kinds of quotes has no path")
+    return F.try_variant_get(value, f"$[{quote}{name}{quote}]", _VARIANT)
+
+
+def schema_cells(schema: dict, value: Column, path: str = "$", at: Column | None = None) -> Column:
+    """What breaks a schema, as an array of (rule, detail) structs.
+
+    Knows the JSON-Schema keywords type, required, additionalProperties,
+    properties, uniqueItems, items, minLength, pattern and enum.  Items of an
+    array are checked by the schema of items, whatever it holds, inside the row:
+    rules name the place with ``[]``, details with the position, so that each bad
+    item is a violation.  Tests are on VARIANT types, because casting would turn
+    ``5`` into ``'5'`` and ``"true"`` into true.  Objects are compared without
+    regard to the order of their keys.  Unsupported types raise here, before any
+    job runs.
     """
     kind = schema.get("type")
-    if kind not in ("object", "array", "string", "boolean"):
+    if kind not in _TYPES:
         raise ValueError(f"{path}: unsupported schema type {kind!r}")
-    value = F.col("doc") if path == "$" else _at(path)
-    present = value.isNotNull()
-    wanted = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "BOOLEAN"}[kind]
-    is_kind = _type_of(value).startswith(wanted)
-    rules = [Rule(f"{path}: not {kind}", present & ~is_kind, _type_of(value))]
+    def below(step: Column) -> Column:
+        return F.concat(F.lit(path) if at is None else at, step)
+
+    is_kind = F.coalesce(_type_of(value).startswith(_TYPES[kind]), F.lit(False))
+    cells = [(f"{path}: not {kind}", value.isNotNull() & ~is_kind, _type_of(value))]
+    parts = []
     if kind == "object":
-        text = F.col(line) if path == "$" else F.get_json_object(F.col(line), path)
-        keys = F.json_object_keys(text)
+        # The text of a variant has its keys once and in order.
+        keys = F.json_object_keys(F.when(is_kind, F.to_json(value)))
         known = schema.get("properties", {})
         missing = F.array_except(X.label_array(schema.get("required", [])), keys)
-        rules.append(Rule(f"{path}: missing keys", is_kind & (F.size(missing) > 0), X.join_list(missing)))
+        cells.append((f"{path}: missing keys", F.size(missing) > 0, X.join_list(missing)))
         if schema.get("additionalProperties") is False:
             extra = F.array_except(keys, X.label_array(list(known)))
-            rules.append(Rule(f"{path}: extra keys", is_kind & (F.size(extra) > 0), X.join_list(F.array_sort(extra))))
-        for name, child in known.items():
-            rules += schema_rules(child, line, f"{path}.{name}")
+            cells.append((f"{path}: extra keys", F.size(extra) > 0, X.join_list(F.array_sort(extra))))
+        parts = [schema_cells(child, _child(value, name), f"{path}.{name}", None if at is None else below(F.lit(f".{name}"))) for name, child in known.items()]
     elif kind == "array":
         items = F.try_variant_get(value, "$", "array<variant>")
         if schema.get("uniqueItems"):
             shown = F.transform(items, lambda item: F.to_json(F.struct(item.alias("v"))))
-            rules.append(Rule(f"{path}: repeated items", is_kind & (F.size(F.array_distinct(shown)) != F.size(shown))))
+            cells.append((f"{path}: repeated items", is_kind & (F.size(F.array_distinct(shown)) != F.size(shown)), F.lit(None)))
         if "items" in schema:
-            rules += _item_rules(schema["items"], items, is_kind, path)
+            found = F.transform(items, lambda item, i: schema_cells(schema["items"], item, f"{path}[]", below(F.concat(F.lit("["), i.cast("string"), F.lit("]")))))
+            parts = [F.flatten(found)]
     elif kind == "string":
-        rules += [Rule(f"{path}: {name}", is_kind & broken, value.cast("string"))
-                  for name, broken in _string_checks(schema, F.try_variant_get(value, "$", "string"))]
-    return rules
+        text = F.try_variant_get(F.when(is_kind, value), "$", "string")
+        cells += [(f"{path}: {name}", broken, text) for name, broken in _string_checks(schema, text)]
+    none = F.array().cast("array<struct<rule:string,detail:string>>")
+    return F.concat(_cells(cells, at), *[F.coalesce(part, none) for part in parts])
 
 
 def _string_checks(schema: dict, text: Column) -> list[tuple[str, Column]]:
@@ -198,27 +220,34 @@ def _string_checks(schema: dict, text: Column) -> list[tuple[str, Column]]:
     return checks
 
 
-def _any_text(schema: dict, name: str, texts: Column) -> Column:
-    return F.exists(texts, lambda text: dict(_string_checks(schema, text))[name])
+def _object(properties: dict) -> dict:
+    return {"type": "object", "additionalProperties": False, "required": list(properties), "properties": properties}
 
 
-def _item_rules(schema: dict, items: Column, is_array: Column, path: str) -> list[Rule]:
-    """Rules for the items of an array of strings or booleans."""
-    kind = schema.get("type")
-    if kind not in ("string", "boolean"):
-        raise ValueError(f"{path}[]: unsupported item type {kind!r}")
-    wanted = kind.upper()
-    rules = [Rule(f"{path}[]: not {kind}",
-                  is_array & F.exists(items, lambda v: F.coalesce(_type_of(v) != wanted, F.lit(True))))]
-    if kind == "string":
-        texts = F.transform(items, lambda v: F.when(_type_of(v) == wanted, F.try_variant_get(v, "$", "string")))
-        for name, _ in _string_checks(schema, F.lit("")):
-            broken = _any_text(schema, name, texts)
-            rules.append(Rule(f"{path}[]: {name}", is_array & broken, F.array_join(texts, ", ")))
-    return rules
+def spec_schema(spec: LabelSpec) -> dict:
+    """The exact keys and types of a corpus line, from its label spec alone.
+
+    Which values labels may have is left to :func:`corpus_rules`.
+    """
+    string, flag, strings = {"type": "string"}, {"type": "boolean"}, {"type": "array", "items": {"type": "string"}}
+    labels = {spec.domain: flag, "crops": strings, "topics": strings, **dict.fromkeys(spec.flags, flag), "intent": string, "urgency": string}
+    return _object({"id": string, "input": string, "labels": _object(labels), "meta": _object(dict.fromkeys(("source_type", "difficulty", "notes"), string))})
 
 
 def validate_lines(lines: DataFrame, schema: dict, keep: Sequence[str], line: str = "value") -> DataFrame:
     """Violations of raw JSON lines against a schema, one pass, no shuffle."""
     parsed = parse_lines(lines, line)
-    return violations(parsed, [*line_rules(line), *schema_rules(schema, line)], keep)
+    unreadable = _cells([(r.name, r.broken, F.lit(None)) for r in line_rules(line)])
+    return parsed.select(*keep, F.inline(F.concat(unreadable, schema_cells(schema, F.col("doc")))))
+
+
+def split_lines(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Lines that are one JSON object with distinct keys, and the others with a ``reason``; blank lines are in neither.
+
+    Nothing fails on a bad line, in a batch or in a stream, so both parts can be
+    written on.
+    """
+    rules = [r for r in line_rules(line) if r.name != "blank_line"]
+    reason = F.coalesce(*[F.when(r.broken, r.name) for r in rules])
+    marked = parse_lines(lines.filter(X.strip(F.col(line)) != ""), line).withColumn("reason", reason)
+    return marked.filter(F.col("reason").isNull()).drop("doc", "reason"), marked.filter(F.col("reason").isNotNull()).drop("doc")

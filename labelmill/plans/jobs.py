@@ -40,8 +40,13 @@ def validate(spark: SparkSession, paths: Sequence[str], spec: G.LabelSpec = G.AG
              expected: Sequence[tuple[str, int]] = G.EXPECTED_SPLITS, combos: Sequence[tuple] = G.EDGE_COMBOS) -> Tables:
     """Raw-line and row violations, split sizes, statistics, gate and coverage.
 
-    Rows and raw lines are named by split or file and line number."""
-    corpus = files.read_splits(spark, paths, spec)
+    Rows and raw lines are named by split or file and line number.  Lines that
+    are no JSON object are line violations; all others are validated.  Keys and
+    types come from ``spec``, and from ``schema`` as well where one is given.
+    """
+    lines = files.read_numbered_lines(spark, list(paths))
+    readable, _ = V.split_lines(lines)
+    corpus = files.parse_splits(readable, spec)
     marks = _marks(corpus, G.VAGUE_PHRASES)
     stats = P.corpus_stats(marks, spec.domain, spec.flags[0], G.VAGUE_PHRASES)
     out = {
@@ -51,8 +56,10 @@ def validate(spark: SparkSession, paths: Sequence[str], spec: G.LabelSpec = G.AG
         "checks": P.distribution_gate(stats, G.GATE_BANDS, P.combo_minimums(marks, spec.flags, combos)),
         "coverage": P.label_coverage(marks, "topics", spec.topics, stats),
     }
+    found = V.validate_lines(lines, V.spec_schema(spec), ["file", "line_no"])
     if schema is not None:
-        out["line_violations"] = V.validate_lines(files.read_numbered_lines(spark, list(paths)), schema, ["file", "line_no"])
+        found = found.unionByName(V.validate_lines(lines, schema, ["file", "line_no"])).distinct()
+    out["line_violations"] = found
     return out
 
 

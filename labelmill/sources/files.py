@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from labelmill.config import LabelSpec
 from labelmill.functions import text as X
 from labelmill.operators.corpus import corpus_schema, feedback_schema, flatten, log_schema
+from labelmill.operators.validate import split_lines
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
@@ -51,7 +52,16 @@ def read_splits(spark: SparkSession, paths: Sequence[str], spec: LabelSpec, orde
 
     Blank lines are skipped; a malformed line fails the job."""
     lines = read_numbered_lines(spark, list(paths)).filter(X.strip(F.col("value")) != "")
-    row = F.from_json("value", corpus_schema(spec), {"mode": "FAILFAST"})
+    return parse_splits(lines, spec, order, "FAILFAST")
+
+
+def parse_splits(lines: DataFrame, spec: LabelSpec, order: Sequence[str] = ("train", "val", "test"), mode: str = "PERMISSIVE") -> DataFrame:
+    """Flat corpus rows of numbered lines (file, line_no, value), a row each.
+
+    In ``PERMISSIVE`` mode a value of another type than its field's is null, and
+    so is each field of a line that is no JSON object; ``validate_lines`` and
+    ``split_lines`` name these."""
+    row = F.from_json("value", corpus_schema(spec), {"mode": mode})
     tagged = lines.select(split_name(F.col("file")).alias("split"), "line_no", row.alias("row")).select("split", "line_no", "row.*")
     placed = tagged.withColumn("split_pos", F.array_position(X.label_array(order), F.col("split")))
     return flatten(placed, spec)
@@ -76,6 +86,25 @@ def read_log(spark: SparkSession, path: str | list[str], spec: LabelSpec) -> Dat
     return _or_empty(spark, path, log_schema(spec))
 
 
+def read_log_lines(spark: SparkSession, path: str | list[str], spec: LabelSpec) -> tuple[DataFrame, DataFrame]:
+    """Log events of all paths, and the lines that are none: (file, line_no, value, reason).
+
+    For logs that other programs write: a line cut off in the middle, or one
+    that is no event, takes nothing else with it.  An event is an object with an
+    ``interaction_id`` or an ``entry_type``.
+    """
+    readable, unreadable = split_lines(read_numbered_lines(spark, path))
+    events, strange = parse_events(readable, spec)
+    return events, unreadable.unionByName(strange)
+
+
+def parse_events(lines: DataFrame, spec: LabelSpec) -> tuple[DataFrame, DataFrame]:
+    """Events of readable lines, and the lines without what an event needs, with a ``reason``."""
+    parsed = lines.withColumn("__event", F.from_json("value", log_schema(spec)))
+    needed = F.col("__event.interaction_id").isNotNull() | F.col("__event.entry_type").isNotNull()
+    return parsed.filter(needed).select("__event.*"), parsed.filter(~needed).drop("__event").withColumn("reason", F.lit("not_an_event"))
+
+
 def read_feedback(spark: SparkSession, path: str, spec: LabelSpec) -> DataFrame:
     return read_jsonl(spark, path, feedback_schema(spec))
 

@@ -11,10 +11,33 @@ from labelmill.operators.corpus import log_schema
 from labelmill.operators.feedback import fold_parts, interactions
 from labelmill.operators.logodds import Scorer, TokenModel
 from labelmill.operators.route import route, split_blank, to_events
+from labelmill.operators.validate import split_lines
+from labelmill.sources.files import parse_events
 
 
 def read_log_stream(spark: SparkSession, path: str, spec: LabelSpec) -> DataFrame:
-    return spark.readStream.schema(log_schema(spec)).option("recursiveFileLookup", True).json(path)
+    """Events of a log; a malformed one fails the query (see :func:`quarantine_log` for logs that may have some)."""
+    return spark.readStream.schema(log_schema(spec)).option("recursiveFileLookup", True).option("mode", "FAILFAST").json(path)
+
+
+def quarantine_log(spark: SparkSession, path: str, spec: LabelSpec, events: str, rejected: str, checkpoint: str,
+                   available_now: bool = True) -> StreamingQuery:
+    """Split a log that may have bad lines into tables of events and of rejected lines (file, value, reason).
+
+    Both are written per batch under ``batch=<id>``; a replayed batch overwrites
+    its own folders, so each line is in one of them exactly once, also after a
+    failure between the two writes.
+    """
+    lines = spark.readStream.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        readable, unreadable = split_lines(batch)
+        good, strange = parse_events(readable, spec)
+        good.write.mode("overwrite").parquet(f"{events}/batch={batch_id}")
+        unreadable.unionByName(strange).write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def route_stream(queries: DataFrame, scorer: Scorer, cfg: RuleConfig, text: str = "input") -> DataFrame:

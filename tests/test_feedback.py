@@ -121,6 +121,25 @@ def test_stream_fold_equals_batch_fold_over_several_batches(spark, tmp_path):
     assert stream == batch and len(batch) == 7
 
 
+def test_bad_log_lines_take_nothing_with_them(spark, tmp_path):
+    folder = tmp_path / "log"
+    write_log(folder, EVENTS, "good.jsonl")
+    bad = ['{"id": "cut off', "[1]", '{"id": "x", "id": "y"}', '{"id": "nothing of an event", "prediction": {}}', "5"]
+    (folder / "bad.jsonl").write_text("\n".join([bad[0], *map(json.dumps, EVENTS[:1]), "", *bad[1:]]), encoding="utf-8")
+    want = ["bad_json", "not_an_event", "not_an_object", "not_an_object", "repeated_key"]
+    events, rejected = files.read_log_lines(spark, str(folder), SPEC)
+    assert events.count() == len(EVENTS) + 1 and events.schema == files.read_log(spark, str(tmp_path / "absent"), SPEC).schema
+    assert sorted(r.reason for r in rejected.collect()) == want
+    assert [(r.file, r.line_no) for r in rejected.filter("reason = 'bad_json'").collect()] == [("bad.jsonl", 1)]
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        files.read_log(spark, str(folder), SPEC).collect()
+    good, other = str(tmp_path / "events"), str(tmp_path / "rejected")
+    for _ in range(2):
+        live.quarantine_log(spark, str(folder), SPEC, good, other, str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(good).count() == len(EVENTS) + 1
+    assert sorted((r.reason, r.value) for r in spark.read.parquet(other).collect()) == sorted((r.reason, r.value) for r in rejected.collect())
+
+
 FIELDS = ("is_ag_related", *SPEC.flags, "crops", "topics", "intent", "urgency")
 
 

@@ -35,6 +35,28 @@ def paths(tmp_path):
     return [write(tmp_path / "train.jsonl", G.AGRONOMY_SPEC, 0, 4), write(tmp_path / "val.jsonl", G.AGRONOMY_SPEC, 100)]
 
 
+def test_validation_goes_on_after_bad_lines(spark, tmp_path):
+    spec = G.AGRONOMY_SPEC_5
+    path = tmp_path / "train.jsonl"
+    write(path, spec, 0, 2)
+    lines = path.read_text(encoding="utf-8").splitlines()
+    wrong = json.loads(lines[5])
+    del wrong["labels"]["needs_rag"]
+    odd = json.loads(lines[6])
+    odd["labels"]["needs_epa_label"], odd["labels"]["intent"] = "true", "dance"
+    lines[5:7] = [json.dumps(wrong), json.dumps(odd)]
+    lines.insert(2, '{"id": broken')
+    lines.insert(4, "")
+    path.write_text("\n".join(lines), encoding="utf-8")
+    tables = jobs.validate(spark, [str(path)], spec, None, [("train", 12)])
+    assert sorted((r.file, r.line_no, r.rule) for r in tables["line_violations"].collect()) == [
+        ("train.jsonl", 3, "bad_json"), ("train.jsonl", 5, "blank_line"), ("train.jsonl", 8, "$.labels: missing keys"), ("train.jsonl", 9, "$.labels.needs_epa_label: not boolean")]
+    assert [(r.line_no, r.rule) for r in tables["violations"].collect()] == [(9, "unknown_intent")]
+    assert tables["stats"].first().total == 12
+    with pytest.raises(ValueError, match="bad_json=1"):
+        jobs.gate(tables)
+
+
 def test_validate_job_and_gate(spark, tmp_path):
     spec = G.AGRONOMY_SPEC_5
     data = [write(tmp_path / "train.jsonl", spec, 0, 2), write(tmp_path / "val.jsonl", spec, 100)]

@@ -129,9 +129,101 @@ def test_extra_keys_are_listed(spark):
 
 def test_unsupported_types_raise_before_any_job(spark):
     with pytest.raises(ValueError, match="unsupported schema type 'number'"):
-        V.schema_rules({"type": "object", "properties": {"n": {"type": "number"}}})
-    with pytest.raises(ValueError, match="unsupported item type"):
-        V.schema_rules({"type": "array", "items": {"type": "object"}})
+        V.schema_cells({"type": "object", "properties": {"n": {"type": "number"}}}, F.lit(None))
+    with pytest.raises(ValueError, match=r"\$\[\]\[\]: unsupported schema type 'number'"):
+        df = spark.range(1).select(F.parse_json(F.lit("[]")).alias("doc"))
+        df.select(V.schema_cells({"type": "array", "items": {"type": "array", "items": {"type": "number"}}}, F.col("doc")))
+
+
+NESTED = {
+    "type": "object", "required": ["rows"],
+    "properties": {
+        "rows": {
+            "type": "array", "uniqueItems": True,
+            "items": {"type": "object", "additionalProperties": False, "required": ["on"], "properties": {"on": {"type": "boolean"}, "odd 'name": {"type": "string", "enum": ["a"]},
+                      "tags": {"type": "array", "uniqueItems": True, "items": {"type": "array", "items": {"type": "string", "minLength": 2}}}}},
+        },
+    },
+}
+
+
+def broken(value, schema, path="$", at="$"):
+    """Rules and places of what breaks a schema, by walking the parsed value."""
+    kinds = {"object": dict, "array": list, "string": str, "boolean": bool}
+    if not isinstance(value, kinds[schema["type"]]):
+        yield f"{path}: not {schema['type']}", at
+    elif schema["type"] == "object":
+        if set(schema.get("required", [])) - set(value):
+            yield f"{path}: missing keys", at
+        if schema.get("additionalProperties") is False and set(value) - set(schema["properties"]):
+            yield f"{path}: extra keys", at
+        for name, child in schema["properties"].items():
+            if name in value:
+                yield from broken(value[name], child, f"{path}.{name}", f"{at}.{name}")
+    elif schema["type"] == "array":
+        if schema.get("uniqueItems") and len({json.dumps(x, sort_keys=True) for x in value}) < len(value):
+            yield f"{path}: repeated items", at
+        for i, item in enumerate(value):
+            yield from broken(item, schema["items"], f"{path}[]", f"{at}[{i}]")
+    elif schema["type"] == "string":
+        if len(value) < schema.get("minLength", 0):
+            yield f"{path}: too short", at
+        if value not in schema.get("enum", [value]):
+            yield f"{path}: not in enum", at
+
+
+def test_items_of_any_depth_against_a_walk(spark):
+    import random
+
+    rng = random.Random(4)
+
+    def tags():
+        return rng.choice([[], [["ab", "c"]], [["ab"], ["ab"]], [["x"], "y", [1, None]], "none", None, [[]]])
+
+    def item():
+        made = {k: v for k, v in (("on", rng.choice([True, False, "true", None])), ("odd 'name", rng.choice(["a", "b", 1])), ("tags", tags()), ("more", 1)) if rng.random() < 0.7}
+        return rng.choice([made, made, made, dict(reversed(made.items())), [made], 5])
+
+    values = [{"rows": [item() for _ in range(rng.randrange(5))]} for _ in range(150)]
+    values += [{"rows": [{"on": True, "tags": []}, {"tags": [], "on": True}]}, {"rows": {}}, {}, {"rows": None}]
+    lines = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "line_no int, value string").repartition(3)
+    got = {}
+    for r in V.validate_lines(lines, NESTED, ["line_no"]).collect():
+        place = r.detail.split(": ")[0] if "[]" in r.rule else r.rule.split(": ")[0]
+        got.setdefault(r.line_no, []).append((r.rule, place))
+    for i, value in enumerate(values):
+        assert sorted(got.get(i, [])) == sorted(broken(value, NESTED)), value
+
+
+def test_keys_and_types_from_the_spec_alone(spark):
+    def line(**changes):
+        out = row(1, "text")
+        for key, value in changes.items():
+            place = out["labels"] if key in out["labels"] or key == "needs_more" else out["meta"] if key in out["meta"] else out
+            if value is ...:
+                del place[key]
+            else:
+                place[key] = value
+        return json.dumps(out)
+
+    cases = {
+        line(): [], line(needs_rag=...): ["$.labels: missing keys"], line(needs_more=True): ["$.labels: extra keys"], line(needs_rag="true"): ["$.labels.needs_rag: not boolean"],
+        line(needs_rag=None): ["$.labels.needs_rag: not boolean"], line(crops=["corn", 5]): ["$.labels.crops[]: not string"], line(meta=...): ["$: missing keys"],
+        line(notes=7): ["$.meta.notes: not string"], line(input=None): ["$.input: not string"], line(labels=[]): ["$.labels: not object"], line(other=1): ["$: extra keys"],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "line_no int, value string")
+    got = {}
+    for r in V.validate_lines(df, V.spec_schema(SPEC), ["line_no"]).collect():
+        got.setdefault(r.line_no, []).append(r.rule)
+    assert [got.get(i, []) for i in range(len(cases))] == list(cases.values())
+
+
+def test_lines_are_split_not_lost(spark):
+    lines = ['{"a": 1}', "{bad", "", " ", '{"a": 1, "a": 2}', "[1]", "null", '{"a": ']
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+    readable, rejected = V.split_lines(df)
+    assert [r.n for r in readable.collect()] == [0]
+    assert sorted((r.n, r.reason) for r in rejected.collect()) == [(1, "bad_json"), (4, "repeated_key"), (5, "not_an_object"), (6, "not_an_object"), (7, "bad_json")]
 
 
 def test_numbered_lines_keep_line_numbers(spark, tmp_path):
