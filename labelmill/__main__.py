@@ -17,7 +17,7 @@ from labelmill.operators.scale import clear_run
 from labelmill.plans import jobs
 from labelmill.sources import files
 
-CORPUS_JOBS = ("report", "train", "predict", "evaluate", "routing", "errors", "compare")
+CORPUS_JOBS = ("report", "train", "train-vectors", "predict", "evaluate", "routing", "errors", "compare")
 LOG_JOBS = ("feedback", "failures")
 
 
@@ -27,6 +27,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--data", nargs="+", required=True, help="split files, or the log folder")
     parser.add_argument("--out", required=True, help="folder for the result tables (train: the model)")
     parser.add_argument("--model", help="stored token model")
+    parser.add_argument("--embeddings", help="Parquet table (id, embedding) for train-vectors; the model goes to the folder model of --out")
     parser.add_argument("--schema", help="JSON schema file for validate")
     parser.add_argument("--flags", type=int, choices=(4, 5), default=4, help="label vintage of the corpus")
     args = parser.parse_args(argv)
@@ -34,27 +35,34 @@ def main(argv: list[str] | None = None) -> None:
     spec = G.AGRONOMY_SPEC if args.flags == 4 else G.AGRONOMY_SPEC_5
     combos = G.EDGE_COMBOS if args.flags == 5 else G.AUDIT_COMBOS
 
-    if args.job == "validate":
-        schema = json.loads(Path(args.schema).read_text(encoding="utf-8")) if args.schema else None
-        tables = jobs.validate(spark, args.data, spec, schema, combos=combos)
-    elif args.job in LOG_JOBS:
-        events = files.read_log(spark, args.data, spec)
-        tables = jobs.fold_log(events) if args.job == "feedback" else jobs.mine_failures(events, spec)
-    else:
-        corpus = files.read_splits(spark, args.data, spec)
-        if args.job == "train":
-            jobs.train(corpus, args.out, spec)
-            return
-        tables = _corpus_tables(args, corpus, spec, combos)
-    for name, table in tables.items():
-        table.write.mode("overwrite").json(f"{args.out}/{name}")
     try:
+        tables = _tables(spark, args, spec, combos)
+        for name, table in tables.items():
+            table.write.mode("overwrite").json(f"{args.out}/{name}")
         if args.job == "validate":
             jobs.gate(tables)
-    finally:
+    finally:  # also where a job or a write failed
         clear_run(spark)
 
 
+def _tables(spark: SparkSession, args: argparse.Namespace, spec: G.LabelSpec, combos) -> jobs.Tables:
+    if args.job == "validate":
+        schema = json.loads(Path(args.schema).read_text(encoding="utf-8")) if args.schema else None
+        return jobs.validate(spark, args.data, spec, schema, combos=combos)
+    if args.job in LOG_JOBS:
+        events = files.read_log(spark, args.data, spec)
+        return jobs.fold_log(events) if args.job == "feedback" else jobs.mine_failures(events, spec)
+    corpus = files.read_splits(spark, args.data, spec)
+    if args.job == "train":
+        jobs.train(corpus, args.out, spec)
+        return {}
+    if args.job == "train-vectors":
+        if not args.embeddings:
+            raise SystemExit("train-vectors needs --embeddings")
+        return jobs.train_vectors(corpus, spark.read.parquet(args.embeddings), f"{args.out}/model", spec)
+    return _corpus_tables(args, corpus, spec, combos)
+
+
 def _corpus_tables(args: argparse.Namespace, corpus, spec: G.LabelSpec, combos) -> jobs.Tables:
     if args.job == "report":
         return jobs.report(corpus, spec, combos)

@@ -15,10 +15,12 @@ from labelmill import config as G
 from labelmill.functions import text as X
 from labelmill.operators import evaluate as L
 from labelmill.operators import feedback as FB
+from labelmill.operators import heads as HD
 from labelmill.operators import logodds as H
 from labelmill.operators import profile as P
 from labelmill.operators import route as R
 from labelmill.operators import validate as V
+from labelmill.operators import vectors as K
 from labelmill.operators.corpus import order_columns
 from labelmill.operators.lexicon import rule_predict
 from labelmill.operators.scale import cut_lineage
@@ -163,6 +165,26 @@ def analyse_errors(frame: DataFrame, spec: G.LabelSpec = G.AGRONOMY_SPEC) -> Tab
             "examples": L.error_examples(errors, [F.col("id"), F.col("label_pos")], limits)}
 
 
+def train_vectors(corpus: DataFrame, embeddings: DataFrame, path: str, spec: G.LabelSpec = G.AGRONOMY_SPEC, exclusive: Sequence[str] = ("crops",)) -> Tables:
+    """Fit all heads on the train split, store them, and evaluate what is read back on the other splits.
+
+    ``embeddings`` are (id, embedding).  Rows without a vector are listed and
+    count as wrong in the metrics of their split, null fields of the train
+    split as no label.
+    """
+    spark = corpus.sparkSession
+    vectors = K.embed(embeddings.select("id", "embedding").dropDuplicates(["id"]))
+    rows = cut_lineage(corpus.join(vectors.drop("embedding"), "id", "left"))
+    with_vector = rows.filter(F.col("vector").isNotNull())
+    HD.save(HD.fit(with_vector.filter("split = 'train'"), spec.binary, spec.sets, spec.classes), spark, path)
+    pred = cut_lineage(HD.predict(with_vector, HD.load(spark, path), exclusive).select("id", *[f"pred_{f}" for f in (*spec.binary, *spec.sets, *spec.classes)]))
+    named = pred.withColumnsRenamed({c: c.removeprefix("pred_") for c in pred.columns})
+    out = {"predictions": pred, "without_vector": rows.filter(F.col("vector").isNull()).select("split", "id", "input")}
+    for split in ("val", "test"):
+        out[f"metrics_{split}"] = L.evaluate(frame_of(corpus.filter(F.col("split") == split), named, spec, split), fields_of(spec))
+    return out
+
+
 def fold_log(events: DataFrame) -> Tables:
     """Interactions, feedback rows and the review queue of a log."""
     folded = FB.fold(events)

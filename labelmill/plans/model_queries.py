@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions import text as X
 from labelmill.operators import evaluate as L
+from labelmill.operators import heads as HD
 from labelmill.operators import logodds as H
 from labelmill.operators import route as R
 from labelmill.operators import vectors as K
@@ -189,9 +190,8 @@ def vectors(spark, sf):
 
 
 def vector_norms(spark, sf):
-    """First part of every vector after normalisation."""
-    parts = vector_to_array(F.col("vector"))
-    return vectors(spark, sf).select("vec_id", F.round(F.get(parts, F.lit(0)), 6).alias("first_part"))
+    """Every part of every vector after normalisation."""
+    return vectors(spark, sf).select("vec_id", F.posexplode(vector_to_array(F.col("vector"))).alias("place", "part")).withColumn("part", F.round("part", 6))
 
 
 def class_weights(spark, sf):
@@ -233,6 +233,14 @@ def lr_multiclass(spark, sf):
     return out.select("vec_id", F.col("digit").alias("true_digit"), "pred_digit")
 
 
+def lr_heads(spark, sf):
+    """All heads of the three kinds fitted together, and their predictions from one pass over the vectors."""
+    rows = vectors(spark, sf)
+    space = {"groups": ("even", "small", "top")}
+    out = HD.predict(rows, HD.fit(rows, ["large"], space, {"digit": [str(i) for i in range(10)]}), exclusive=())
+    return out.select("vec_id", "pred_large", X.join_list(F.col("pred_groups")).alias("pred_groups"), "pred_digit")
+
+
 def lr_metrics(spark, sf):
     """Fit all three kinds on four fifths of the vectors and evaluate them on the rest in one metrics table."""
     rows = vectors(spark, sf)
@@ -254,7 +262,7 @@ QUERIES = {
     "worst_groups": worst_groups, "error_records": error_records, "error_counts": error_counts,
     "error_hotspots": error_hotspots, "error_examples": error_examples, "expectations": expectations,
     "expectation_summary": expectation_summary, "lr_binary": lr_binary, "lr_multilabel": lr_multilabel,
-    "lr_multiclass": lr_multiclass, "lr_metrics": lr_metrics, "vector_norms": vector_norms, "class_weights": class_weights,
+    "lr_multiclass": lr_multiclass, "lr_metrics": lr_metrics, "lr_heads": lr_heads, "vector_norms": vector_norms, "class_weights": class_weights,
     "vector_decisions": vector_decisions,
 }
 
@@ -415,7 +423,7 @@ _TOP = "CASE greatest(s0, s1, s2) WHEN s0 THEN 'one' WHEN s1 THEN 'two' ELSE 'th
 
 ORACLE = {
     "vector_norms": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
-SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first_part FROM e""",
+SELECT vec_id, CAST(unnest(range(0, len(v))) AS INTEGER) AS place, round(unnest(v) / sqrt(list_inner_product(v, v)), 6) AS part FROM e""",
     "class_weights": """SELECT label, round((SELECT count(*) FROM embeddings) / ((SELECT count(DISTINCT label) FROM embeddings) * CAST(count(*) AS DOUBLE)), 9) AS weight
 FROM embeddings GROUP BY label""",
     "vector_decisions": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, {_GIVEN} FROM e)

@@ -155,3 +155,21 @@ def test_rows_without_text_are_told_and_counted(spark):
     cases = spark.createDataFrame([("x", True), ("y", True)], "name string, exp_flag boolean")
     checked = jobs.L.check_expectations(cases, spark.createDataFrame([("x", True)], "name string, flag boolean"), ["flag"], [])
     assert jobs.L.expectation_summary(checked).first() == (1, 2)
+
+
+def test_vector_models_from_the_command_line(spark, tmp_path, monkeypatch):
+    import labelmill.__main__ as command
+    from labelmill.operators import heads as HD
+
+    spec = G.AGRONOMY_SPEC
+    data = [write(tmp_path / "train.jsonl", spec, 0, 8), write(tmp_path / "val.jsonl", spec, 100, 2), write(tmp_path / "test.jsonl", spec, 200, 2)]
+    known = [(f"route_{start + i:06d}", [float(i % 6 == k) + 0.01 * (i % 5) for k in range(6)]) for start, n in ((0, 48), (100, 12), (200, 11)) for i in range(n)]
+    spark.createDataFrame(known, "id string, embedding array<double>").write.parquet(str(tmp_path / "vectors"))
+    monkeypatch.setattr(command, "clear_run", lambda _: True)
+    main(["train-vectors", "--data", *data, "--embeddings", str(tmp_path / "vectors"), "--out", str(tmp_path / "out")])
+    metrics = {s: spark.read.json(str(tmp_path / "out" / f"metrics_{s}")) for s in ("val", "test")}
+    exact = {s: {(r.field, r.metric): r.value for r in m.collect()} for s, m in metrics.items()}
+    assert min(v for (_, metric), v in exact["val"].items() if metric == "accuracy") == 1.0
+    assert max(v for (_, metric), v in exact["test"].items() if metric == "accuracy") < 1.0, "the row without a vector counts as wrong"
+    assert [r.id for r in spark.read.json(str(tmp_path / "out" / "without_vector")).collect()] == ["route_000211"]
+    assert len(HD.load(spark, str(tmp_path / "out" / "model")).heads) == len(spec.binary) + len(spec.crops) + len(spec.topics) + 2
