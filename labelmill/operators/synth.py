@@ -7,13 +7,16 @@ join between tables.  Ranks over whole tables use range partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as X
-from labelmill.operators.scale import cut_lineage, dim, first_n, global_rank
+from labelmill.operators.scale import cut_lineage, dim, first_n, global_rank, top_k
 
 
 def template_grid(base: DataFrame, category: str, templates: Sequence[str], slots: dict[str, Column],
@@ -68,23 +71,37 @@ def recycled(candidates: DataFrame, suffix: str = ", please.", text: str = "cand
     })
 
 
-def unique_candidates(candidates: DataFrame, existing: DataFrame | None, order: Sequence[str] = ("order_key",),
-                      text: str = "candidate", existing_text: str = "input") -> DataFrame:
-    """First candidate of each normalised text, without blank texts and texts
-    of the existing corpus.  One aggregate; hot texts combine before it."""
+def _first_of_keys(candidates: DataFrame, groups: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
+    """First candidate of each normalised text in each group, without blank texts."""
     named = candidates.withColumn("norm_key", X.fingerprint(F.col(text)))
-    payload = [c for c in candidates.columns if c not in order]
+    payload = [c for c in candidates.columns if c not in (*order, *groups)]
     # Blank texts are dropped after the aggregate, through an aggregated mark:
     # a filter on the key itself would normalise every text twice.
     blank = F.col("norm_key").isin("", X.BLANK_KEY)
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    first = named.groupBy("norm_key").agg(
+    first = named.groupBy("norm_key", *groups).agg(
         F.min_by(F.struct(*order, *payload), place).alias("row"), F.max(blank.cast("int")).alias("blank"))
-    fresh = first.filter(F.col("blank") == 0).drop("blank")
-    if existing is not None:
-        known = existing.select(X.fingerprint(F.col(existing_text)).alias("norm_key")).distinct()
-        fresh = fresh.join(known, "norm_key", "left_anti")
-    return fresh.select("norm_key", "row.*")
+    return first.filter(F.col("blank") == 0).select("norm_key", *groups, "row.*")
+
+
+def _new_to(fresh: DataFrame, existing: DataFrame, existing_text: str) -> DataFrame:
+    """Rows whose key no text of the corpus has.
+
+    Candidates are written first, so that their size is known: where they are
+    few, the corpus is filtered by their keys before anything of it is shuffled.
+    """
+    fresh = cut_lineage(fresh)
+    corpus = existing.select(X.fingerprint(F.col(existing_text)).alias("norm_key"))
+    known = corpus.join(fresh.select("norm_key"), "norm_key", "left_semi").distinct()
+    return fresh.join(known, "norm_key", "left_anti")
+
+
+def unique_candidates(candidates: DataFrame, existing: DataFrame | None, order: Sequence[str] = ("order_key",),
+                      text: str = "candidate", existing_text: str = "input") -> DataFrame:
+    """First candidate of each normalised text, without blank texts and texts
+    of the existing corpus.  One aggregate; hot texts combine before it."""
+    fresh = _first_of_keys(candidates, [], order, text)
+    return fresh if existing is None else _new_to(fresh, existing, existing_text)
 
 
 def fill_quotas(categories: Sequence[tuple[DataFrame, str, int]], existing: DataFrame | None,
@@ -92,32 +109,39 @@ def fill_quotas(categories: Sequence[tuple[DataFrame, str, int]], existing: Data
     """Accept candidates category by category up to each quota.
 
     A text accepted earlier blocks later categories; a text left over when a
-    quota was full stays available to them.  So categories go in turn, each
-    anti-joined with what was accepted so far, which is written as a table
-    after each.  The keys of the existing corpus are made once, and only those
-    that some candidate has are kept.  All categories share one schema.  Adds
+    quota was full stays available to them.  Earlier categories can block no
+    more texts than their quotas, so a category needs only its first ``quota``
+    plus the sum of the earlier quotas.  All categories are made unique and cut
+    to that in one go, whatever their number; what is left is bounded by the
+    quotas and accepted in turn by one task, which sees keys alone.  All
+    categories share one schema.  Adds ``norm_key``, ``category`` and
     ``category_pos``.
     """
-    accepted: DataFrame | None = None
-    known = None
-    if existing is not None and categories:
-        offered = None
-        for candidates, _, _ in categories:
-            keys = candidates.select(X.fingerprint(F.col(text)).alias("norm_key"))
-            offered = keys if offered is None else offered.unionByName(keys)
-        every = existing.select(X.fingerprint(F.col(existing_text)).alias("norm_key"))
-        known = cut_lineage(every.join(offered.distinct(), "norm_key", "left_semi").distinct())
-    for place, (candidates, name, quota) in enumerate(categories):
-        fresh = unique_candidates(candidates, None, order, text)
-        if known is not None:
-            fresh = fresh.join(known, "norm_key", "left_anti")
-        if accepted is not None:
-            fresh = fresh.join(accepted.select("norm_key"), "norm_key", "left_anti")
-        picked = first_n(fresh, [F.col(c) for c in order], quota)
-        picked = picked.withColumns({"category": F.lit(name), "category_pos": F.lit(place)})
-        step = cut_lineage(picked) if place + 1 < len(categories) else picked
-        accepted = step if accepted is None else accepted.unionByName(step)
-    return accepted
+    named = [c.withColumns({"category": F.lit(name), "category_pos": F.lit(place)}) for place, (c, name, _) in enumerate(categories)]
+    offered = reduce(DataFrame.unionByName, named)
+    fresh = _first_of_keys(offered, ["category_pos"], order, text)
+    if existing is not None:
+        fresh = _new_to(fresh, existing, existing_text)
+    quotas = [quota for _, _, quota in categories]
+    limits = list(accumulate(quotas))
+    enough = F.element_at(F.array(*map(F.lit, limits)), F.col("category_pos") + 1)
+    ranked = top_k(fresh, ["category_pos"], [F.col(c) for c in order], limits[-1], "__rank")
+    able = cut_lineage(ranked.filter(F.col("__rank") <= enough))
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, left = set(), list(quotas)
+        for batch in batches:
+            keep = []
+            for place, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keep.append(left[place] > 0 and key not in taken)
+                if keep[-1]:
+                    taken.add(key)
+                    left[place] -= 1
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    keys = able.select("category_pos", "norm_key", "__rank").repartition(1).sortWithinPartitions("category_pos", "__rank").select("category_pos", "norm_key")
+    chosen = keys.mapInArrow(accept, keys.schema)
+    return able.drop("__rank").join(chosen, ["category_pos", "norm_key"], "left_semi")
 
 
 def quota_shortfall(accepted: DataFrame, quotas: Sequence[tuple[str, int]]) -> DataFrame:

@@ -78,6 +78,25 @@ def test_text_beyond_a_full_quota_stays_available(spark):
         M.ensure_quotas(got, [("a", 1), ("b", 2)])
 
 
+def test_jobs_of_quotas_do_not_grow_with_categories(spark):
+    jobs = {}
+    for n in (2, 12):
+        spark.sparkContext.setJobGroup(f"quotas {n}", "count jobs")
+        texts = [spark.range(3).select(F.concat(F.lit("t"), F.col("id") + k).alias("candidate"), F.col("id").alias("order_key")) for k in range(n)]
+        got = M.fill_quotas([(candidates, f"c{k}", 2) for k, candidates in enumerate(texts)], None).collect()
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"quotas {n}"))
+        # t0 t1 | t2 t3 | t4 | t5 | ... : every later category finds one new text, and the last ones left
+        assert [sum(r.category_pos == k for r in got) for k in range(n)][:2] == [2, 2] and len({r.norm_key for r in got}) == len(got)
+    assert jobs[12] <= jobs[2] + 2
+
+
+def test_the_corpus_is_not_shuffled_for_few_candidates(spark):
+    corpus = spark.range(1000).select(F.concat(F.lit("text "), F.col("id")).alias("input"))
+    plan = M.unique_candidates(listed(spark, ["text 5", "new"]), corpus)._jdf.queryExecution().executedPlan().toString()
+    assert [r.candidate for r in M.unique_candidates(listed(spark, ["text 5", "new"]), corpus).collect()] == ["new"]
+    assert "LeftSemi" in plan and "SortMergeJoin" not in plan
+
+
 def test_ids_and_splits_follow_acceptance_order(spark):
     accepted = M.fill_quotas([(listed(spark, ["c", "b"]), "k", 2), (listed(spark, ["a", "d"]), "l", 2)], None)
     existing = spark.createDataFrame([("route_000007", "x"), ("route_000041", "y")], "id string, input string")
