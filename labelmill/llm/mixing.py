@@ -215,8 +215,9 @@ def _spans(placed: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
         .withColumn("__hi", F.least(end, (F.col("block") + 1) * size))
         .select("row", "source_no", "block", "start", "__lo", "__hi")
     )
+    # Both sides grow with the corpus, and a block has few rows on either: neither is ever broadcast.
     return (
-        drawn.join(parts, ["source_no", "block"])
+        drawn.hint("merge").join(parts.hint("merge"), ["source_no", "block"])
         .withColumn("n_words", F.least("__hi", F.col("block") * size + F.col("cut")) - F.col("__lo"))
         .filter("n_words > 0")
         .select("shard", "slot", "pass", "row", (F.col("__lo") - F.col("start")).alias("first_word"), "n_words")
@@ -234,7 +235,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document has a row for every pass that takes words of it.  The text of a
     whole pass is the whole text; of a part, the words taken with the white
-    space before them, in text order.  ``n_chars``, where there is one, is set anew.
+    space before them, in text order.  ``n_chars``, where there is one, is set
+    anew.  Null texts are empty, documents without words are in no pass, repeated
+    rows are documents of their own, and an empty table stays empty.
     """
     mixed = mix(docs, keep=docs.columns, **options)
     spans = mixed.spans.groupBy("row", "pass").agg(

@@ -88,3 +88,8 @@ def test_nasty_and_empty(nasty, nothing):
     check(got, nasty.collect())
     assert mixing.taken_words(mixing.mix(nothing), "doc.doc_id", "taken").count() == 0
     assert mixing.mixed_documents(nothing).count() == 0
+
+
+def test_blocks_are_merged_not_broadcast(spark, nasty):
+    plan = mixing.mix(nasty).spans._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [source_no" in plan
