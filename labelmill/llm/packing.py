@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import os
 import random
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +38,7 @@ EPOCHS = 2
 GENERATIONS = 12
 POPULATION = 5
 
-#: Words whose ids a task remembers, at about 200 bytes each; longer words are looked up each time.
+#: Words whose ids a Python worker remembers for its next tasks, 30 MB at most; longer words are looked up each time.
 CACHE_WORDS = 150_000
 CACHE_CHARS = 32
 
@@ -60,19 +62,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks that, behind letters, are a run of their own; an apostrophe may start a token with the letters after it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def _core(word: str) -> tuple[str, str]:
-    """A word whose ids are known more often, and the mark to add to it.
+    """A word whose ids are known more often, and the marks to add to it.
 
-    Letters and a mark after them are tokens of their own, and case does not
+    Letters and the marks after them are tokens of their own, and case does not
     matter.  Only letters whose small form Python and the tokenizer must agree
     on are changed: one precomposed Latin letter for another.
     """
-    core, mark = (word[:-1], word[-1]) if word[-1] in ".," and word[:-1].isalpha() else (word, "")
-    if core.isalpha() and max(core) < "\u0180" and "\u0130" not in core:
+    core = word.rstrip(MARKS)
+    if not core.isalpha():
+        return word, ""
+    mark = word[len(core):]
+    if max(core) < "\u0180" and "\u0130" not in core:
         core = core.lower()
     return core, mark
 
 
+def process_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker, which runs task after task."""
+    return vars(sys.modules.setdefault("labelmill_cache", types.ModuleType("labelmill_cache"))).setdefault(name, {})
+
+
 def _one_token_run(word: str) -> bool:
     return word.isalpha() and max(word) < "\u0180" and word == word.lower()
 
@@ -81,8 +95,8 @@ class WordTokens:
     """Token ids of whole texts by a tokenizer whose tokens never cross ASCII white space.
 
     Such a text is a row of words, so its ids are those of its words.  The
-    different words of many texts are looked up together; frequent ones are
-    kept for the next texts of the task.
+    different words of many texts are looked up together; a bounded number is
+    kept for the next texts.
     """
 
     def __init__(self, path: str):
@@ -95,7 +109,8 @@ class WordTokens:
         self.ends[[k for token, k in vocabulary.items() if token.endswith(WORD_END)]] = True
         between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = process_cache(f"words of {path}")
+        self.known[""] = b""
 
     def look_up(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words, many in one text.
@@ -135,15 +150,15 @@ class WordTokens:
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of different words."""
         known = self.known
-        full = len(known) > CACHE_WORDS
-        new = {w: _core(w) for w in words if w not in known}
-        cores = list({c for pair in new.values() for c in pair if c not in known})
-        known.update(self.look_up(cores))
-        known.update([(w, known[core] + known[mark]) for w, (core, mark) in new.items()])
-        out = [known[w] for w in words]
-        for w in {*new, *cores}:  # words met early are the frequent ones and stay
-            if full or len(w) > CACHE_CHARS:
-                known.pop(w, None)
+        pairs = [_core(w) for w in words]
+        found = dict(self.look_up(list({c for pair in pairs for c in pair if c not in known})))
+        before = len(known)
+        known.update(found)
+        out = [known[core] + known[mark] for core, mark in pairs]
+        # Words met early are the frequent ones and stay.
+        for k, w in enumerate(found, before):
+            if k >= CACHE_WORDS or len(w) > CACHE_CHARS:
+                del known[w]
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -44,7 +44,7 @@ def encoded(words, texts):
     return [part.tolist() for part in np.split(ids, starts[1:-1])]
 
 
-ODD = ["a\x1fb \x1f c", "\x1f", "\x1f\x1f", " ", "",
+ODD = ["bad$$$ LOUD!! Une.*** x<| a<|b c'... d.'s e-- (f) g_ h^~ [i] ij\"'' k's. l's!", "a\x1fb \x1f c", "\x1f", "\x1f\x1f", " ", "",
        "a\x1cb", "Á ́x", "ΑΣ Σ ΣΑΣ", "x<|startoftext|y>", " a\xa0b", "don't I'LL 'S ' s", "İstanbul", "e ́\n\r\x0b\x0c\t", "12 3a4 !!?", "日本 語", "😀a😀",
        "Été, ÉTÉ. été. STRASSE, straße ŒUVRE. ÿ, Ÿ. ŉ. ſ, a., b.. C,, don't, DON'T. É, x̌, X̌."]
 
