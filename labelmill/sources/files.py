@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,6 +15,10 @@ from labelmill.config import LabelSpec
 from labelmill.functions import text as X
 from labelmill.operators.corpus import corpus_schema, feedback_schema, flatten, log_schema
 from labelmill.operators.validate import split_lines
+from labelmill.sources.pointer import current, folder_names, publish, remove_parts
+
+#: Folder of the writes of a stored corpus.
+PARTS = "_parts"
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
@@ -122,6 +128,45 @@ def write_corpus(df: DataFrame, path: str) -> None:
     df.write.mode("error").partitionBy("split").json(path)
 
 
+def rewrite_splits(df: DataFrame, path: str, splits: Sequence[str]) -> int:
+    """Replace the given splits of a stored corpus by the rows of ``df``, all at once; gives the new version.
+
+    Rows are written once, in a folder per split, and files of other splits are
+    not touched.  A split without rows becomes empty; a row of another split, or
+    of none, is an error and changes nothing.  Readers see the corpus before or
+    after, never between.
+    """
+    spark = df.sparkSession
+    version, state = current(spark, path)
+    run = uuid.uuid4().hex
+    df.write.partitionBy("split").parquet(f"{path}/{PARTS}/{run}")
+    written = {name.removeprefix("split=") for name in folder_names(spark, f"{path}/{PARTS}/{run}") if name.startswith("split=")}
+    if written - set(splits):
+        remove_parts(spark, path, PARTS, set(folder_names(spark, f"{path}/{PARTS}")) - {run})
+        raise ValueError(f"rows of {sorted(written - set(splits))}, but only {list(splits)} are rewritten")
+    runs = state.get("splits", {}) | {split: run if split in written else None for split in splits}
+    return publish(spark, path, version, {"splits": runs, "schema": df.drop("split").schema.json()})
+
+
+def read_stored_splits(spark: SparkSession, path: str, splits: Sequence[str] | None = None) -> DataFrame:
+    """Current rows of a corpus written by :func:`rewrite_splits`, with the columns of its last version."""
+    runs = current(spark, path)[1]
+    if not runs or set(splits or ()) - set(runs["splits"]):
+        raise ValueError(f"{path} has only the splits {sorted(runs.get('splits', {}))}")
+    schema = T.StructType.fromJson(json.loads(runs["schema"]))
+    out = spark.createDataFrame([], schema).withColumn("split", F.lit(""))
+    for split in runs["splits"] if splits is None else splits:
+        if runs["splits"][split] is not None:
+            part = spark.read.schema(schema).parquet(f"{path}/{PARTS}/{runs['splits'][split]}/split={split}")
+            out = out.unionByName(part.withColumn("split", F.lit(split)))
+    return out
+
+
+def clean_splits(spark: SparkSession, path: str) -> list[str]:
+    """Delete writes of which no split is current, at a time when nobody reads or writes the corpus."""
+    return remove_parts(spark, path, PARTS, set(current(spark, path)[1].get("splits", {}).values()))
+
+
 def write_predictions(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Prediction rows as JSON or CSV; CSV has no lists, so they become JSON."""
     if fmt == "csv":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +15,10 @@ from labelmill.operators.logodds import Scorer, TokenModel
 from labelmill.operators.route import route, split_blank, to_events
 from labelmill.operators.validate import split_lines
 from labelmill.sources.files import parse_events
+from labelmill.sources.pointer import FOLDER, current, publish, remove_parts
+
+#: Compacted interactions, beside the folders of batches.
+BASES = "_bases"
 
 
 def read_log_stream(spark: SparkSession, path: str, spec: LabelSpec) -> DataFrame:
@@ -72,12 +78,60 @@ def fold_stream(events: DataFrame, path: str, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _newest(versions: DataFrame) -> DataFrame:
+    """The last version of each interaction, with its batch."""
+    rest = [c for c in versions.columns if c != "interaction"]
+    return versions.groupBy("interaction").agg(F.max_by(F.struct(*rest), "batch").alias("row")).select("interaction", "row.*")
+
+
+def _versions(spark: SparkSession, path: str, state: dict, through: int | None = None) -> DataFrame:
+    """Newest version of each interaction up to a batch: the base, and what batches after it replace or add."""
+    batches = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("long"))
+    if through is not None:
+        batches = batches.filter(F.col("batch") <= through)
+    if not state:
+        return _newest(batches)
+    later = _newest(batches.filter(F.col("batch") > state["through"]))
+    base = spark.read.parquet(f"{path}/{BASES}/{state['base']}")
+    # Later batches are few beside the base, which is then neither sorted nor shuffled.
+    return base.join(later.select("interaction"), "interaction", "left_anti").unionByName(later.select(*base.columns))
+
+
 def read_fold(spark: SparkSession, path: str) -> DataFrame:
-    """Current interactions: the newest version of each, folded as in batch."""
-    versions = spark.read.parquet(path)
-    parts = [c for c in versions.columns if c not in ("interaction", "batch")]
-    newest = versions.groupBy("interaction").agg(F.max_by(F.struct(*parts), "batch").alias("row"))
-    return interactions(newest.select("interaction", "row.*"))
+    """Current interactions: the newest version of each, folded as in batch.
+
+    After :func:`compact_fold` only the base and the batches after it are read.
+    """
+    return interactions(_versions(spark, path, current(spark, path)[1]).drop("batch"))
+
+
+def compact_fold(spark: SparkSession, path: str) -> int | None:
+    """Merge the base and all finished batches into a new base; gives the last batch in it, None if there is nothing new.
+
+    The newest batch stays out, as a stream may write it again after a failure;
+    all before it are final, so the stream may go on meanwhile.  The new base
+    counts once its pointer is published; a job that dies before that leaves the
+    rows as they were, and so does one that another compaction outruns.
+    """
+    version, state = current(spark, path)
+    newest = spark.read.parquet(path).agg(F.max(F.col("batch").cast("long")).alias("batch")).first().batch
+    done = None if newest is None else newest - 1
+    if done is None or done < 0 or (state and done <= state["through"]):
+        return None
+    name = uuid.uuid4().hex
+    _versions(spark, path, state, done).write.parquet(f"{path}/{BASES}/{name}")
+    publish(spark, path, version, {"base": name, "through": done})
+    return done
+
+
+def clean_fold(spark: SparkSession, path: str) -> list[str]:
+    """Delete bases and batches that the current base replaces, at a time when nobody reads or compacts the fold."""
+    _, state = current(spark, path)
+    if not state:
+        return []
+    batches = [r.batch for r in spark.read.parquet(path).select(F.col("batch").cast("long")).distinct().collect()]
+    keep = {f"batch={b}" for b in batches if b > state["through"]} | {BASES, FOLDER}
+    return remove_parts(spark, path, BASES, {state["base"]}) + remove_parts(spark, path, "", keep)
 
 
 def route_and_log(queries: DataFrame, model: TokenModel | Scorer, cfg: RuleConfig, path: str, checkpoint: str,
