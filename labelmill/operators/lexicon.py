@@ -2,7 +2,8 @@
 
 The text is lowered once and each lexicon label is matched once; all decisions
 are then plain boolean expressions over those match columns, in one narrow
-stage without joins or Python.
+stage without joins or Python.  Lexicons of thousands of keywords are tables
+instead, found through an index of their grams.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from labelmill.config import Lexicon, RuleConfig
 from labelmill.functions import text as X
+from labelmill.operators.scale import cut_lineage, explode_rows
 
 
 def _or(columns: list[Column]) -> Column:
@@ -100,3 +102,47 @@ def lexicon_from_rows(rows: list[tuple[str, str, int, str]]) -> Lexicon:
     for _, label, _, word in sorted(rows, key=lambda row: row[2]):
         out.setdefault(label, []).append(word)
     return {label: tuple(words) for label, words in out.items()}
+
+
+# --- lexicons of any size --------------------------------------------------------
+
+#: Characters of the grams that lead from a text to keywords; shorter keywords are grams themselves.
+GRAM = 6
+
+
+def grams(text: Column, size: int) -> Column:
+    """Different substrings of ``size`` code points, in time linear in the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def keyword_index(keywords: DataFrame, keyword: str = "keyword", size: int = GRAM) -> DataFrame:
+    """``gram, keyword``: every different keyword under that of its grams which the fewest keywords have.
+
+    Null and empty keywords are left out.
+    """
+    words = keywords.select(F.col(keyword).alias("keyword")).filter("keyword <> ''").distinct()
+    own = F.when(F.char_length("keyword") < size, F.array("keyword")).otherwise(grams(F.col("keyword"), size))
+    pairs = cut_lineage(words.select("keyword", F.explode(own).alias("gram")))
+    spread = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(spread, "gram").groupBy("keyword").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")).select("gram", "keyword")
+
+
+def keyword_hits(texts: DataFrame, keywords: DataFrame, key: str, text: str = "input", keyword: str = "keyword", size: int = GRAM) -> DataFrame:
+    """``key`` and the columns of ``keywords``: one row per text and keyword row whose keyword is a literal substring of the lower-case text.
+
+    For lexicons too large for :func:`match_columns`, with the same matches.
+    ``key`` has to be unique and not null.  Texts meet keywords only through a
+    gram of both, so no text is compared with all keywords; what meets is
+    checked on the whole text.  Null texts are empty; null and empty keywords
+    match nothing, and repeated keyword rows give a row each.  A task holds the
+    different grams of one text at a time.
+    """
+    index = cut_lineage(keyword_index(keywords, keyword, size))
+    # At most ``size`` lengths.
+    lengths = [r.n for r in index.select(F.char_length("gram").alias("n")).distinct().orderBy("n").collect()] or [size]
+    low = texts.select(F.col(key).alias("__key"), X.lowered(F.col(text)).alias("__low"))
+    met = [explode_rows(low, ["__key"], grams(F.col("__low"), n), "gram").join(index, "gram").select("__key", F.col("keyword").alias("__word")) for n in lengths]
+    # A keyword has one gram, and a text each gram once, so no pair comes twice.
+    pairs = reduce(DataFrame.unionByName, met)
+    found = pairs.join(low, "__key").filter(F.contains("__low", "__word")).select(F.col("__key").alias(key), "__word")
+    return found.join(keywords, F.col("__word") == F.col(keyword)).drop("__word")

@@ -10,7 +10,7 @@ from labelmill.config import AUDIT_COMBO_SPARSE, Band
 from labelmill.functions import text as X
 from labelmill.operators import profile as P
 from labelmill.operators import validate as V
-from labelmill.operators.lexicon import rule_predict
+from labelmill.operators.lexicon import keyword_hits, rule_predict
 from labelmill.operators.scale import cut_lineage, dim
 from labelmill.plans import bindings as B
 from labelmill.plans import sqltext as S
@@ -199,6 +199,13 @@ def multi_hot(spark, sf):
                         X.join_list(X.decode_hot(F.col("v"), B.SPEC.topics)).alias("topics"))
 
 
+def opening_hits(spark, sf):
+    """In how many documents the first twelve characters of a document occur, for all of them and per source."""
+    docs = B.documents(spark, sf)
+    openings = docs.select(F.col("source").alias("label"), F.left(X.lowered(F.col("text")), F.lit(12)).alias("keyword")).distinct()
+    return keyword_hits(docs, openings, "doc_id", "text").groupBy("label", "keyword").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 QUERIES = {
     "normalize_text": normalize_text, "text_shape": text_shape, "token_features": token_features,
     "violations": violations, "duplicate_groups": duplicate_groups, "corpus_stats": corpus_stats,
@@ -208,7 +215,7 @@ QUERIES = {
     "dataset_overview": dataset_overview, "split_expectation": split_expectation, "class_samples": class_samples,
     "module_activation": module_activation, "lexicon_flags": lexicon_flags, "domain_flag": domain_flag,
     "crop_resolution": crop_resolution, "topic_rules": topic_rules, "intent_rules": intent_rules,
-    "urgency_rules": urgency_rules, "rule_predict": rule_predict_all, "multi_hot": multi_hot,
+    "urgency_rules": urgency_rules, "rule_predict": rule_predict_all, "multi_hot": multi_hot, "opening_hits": opening_hits,
 }
 
 # --- the same in SQL ---------------------------------------------------------------
@@ -252,6 +259,9 @@ _TOPIC_VALUES = ", ".join(f"('{t}')" for t in (*B.SPEC.topics, "never_seen"))
 _JOIN = lambda c: f"CASE WHEN len({c}) = 0 THEN 'none' ELSE array_to_string({c}, ', ') END"
 
 ORACLE = {
+    "opening_hits": """WITH openings AS (SELECT DISTINCT source AS label, left(lower(text), 12) AS keyword FROM documents)
+ SELECT label, keyword, count(*) AS n_docs FROM openings JOIN (SELECT lower(text) AS low FROM documents) ON contains(low, keyword)
+ WHERE keyword <> '' GROUP BY label, keyword""",
     "normalize_text": f"SELECT doc_id, {S.norm('text')} AS norm FROM documents",
     "text_shape": f"""SELECT doc_id, words, words <= 5 AS is_short, is_vague FROM (
  SELECT doc_id, {S.words('text')} AS words, {S.phrase('lower(text)', B.VAGUE)} AS is_vague FROM documents)""",
