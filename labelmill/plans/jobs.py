@@ -21,7 +21,8 @@ from labelmill.operators import profile as P
 from labelmill.operators import route as R
 from labelmill.operators import validate as V
 from labelmill.operators import vectors as K
-from labelmill.operators.corpus import order_columns
+from labelmill.operators import synth as M
+from labelmill.operators.corpus import label_names, labels_schema, order_columns
 from labelmill.operators.lexicon import rule_predict
 from labelmill.operators.scale import cut_lineage
 from labelmill.sources import files
@@ -215,3 +216,89 @@ def rejected(corpus: DataFrame) -> DataFrame:
     """Rows that cannot be routed because they have no text."""
     names = [c for c in ("split", "line_no", "id", "input") if c in corpus.columns]
     return R.split_blank(corpus.select(*names))[1]
+
+
+def expect(cases: DataFrame, model: H.TokenModel, spec: G.LabelSpec = G.AGRONOMY_SPEC, rules: G.RuleConfig = G.AGRONOMY) -> Tables:
+    """Named cases routed and held against what they expect.
+
+    ``cases`` are (name, input, expected); null fields of ``expected`` are not
+    checked, lists pass where they are contained.  Names have to be unique.  A
+    case without text has no prediction and fails all that it checks.
+    """
+    wanted = cases.select("name", *[F.col(f"expected.{n}").alias(f"exp_{n}") for n in label_names(spec)])
+    pred = predict(cases.select(F.col("name").alias("id"), "input"), model, rules).withColumnRenamed("id", "name")
+    checked = cut_lineage(L.check_expectations(wanted, pred.select("name", *label_names(spec)), [*spec.binary, *spec.classes], list(spec.sets)))
+    return {"checked": checked, "failed": checked.filter(~F.col("all_passed")), "summary": L.expectation_summary(checked)}
+
+
+def gate_expectations(tables: Tables) -> None:
+    """Raise where a case of :func:`expect` failed."""
+    passed, total = tables["summary"].first()
+    if passed != total:
+        names = [r["name"] for r in tables["failed"].select("name").orderBy("name").limit(10).collect()]
+        raise ValueError(f"{total - passed} of {total} cases failed: {', '.join(names)}")
+
+
+def review(events: DataFrame, entries: DataFrame, spec: G.LabelSpec = G.AGRONOMY_SPEC) -> Tables:
+    """Reviewer entries as events for the log, those that cannot become one with a reason, and the reviews so far.
+
+    ``entries`` are (interaction_id, verdict, notes, raw_<field>).  Verdicts are
+    ``correct`` or ``incorrect``.  The interaction has to have an inference.
+    """
+    folded = cut_lineage(FB.fold(events))
+    judged = entries.join(folded.select("interaction_id", "prediction", F.lit(True).alias("__known")), "interaction_id", "left").withColumn(
+        "reason", F.when(F.col("__known").isNull(), "unknown_interaction").when(~F.coalesce(F.col("verdict").isin("correct", "incorrect"), F.lit(False)), "unknown_verdict"))
+    return {
+        "events": FB.review_events(judged.filter(F.col("reason").isNull()), spec),
+        "rejected": judged.filter(F.col("reason").isNotNull()).drop("prediction", "__known"),
+        "reviews": FB.reviews_of(events, folded),
+    }
+
+
+def improve(corpus: DataFrame, phrases: DataFrame, candidates: DataFrame, rewrites: int, quotas: Sequence[tuple[str, int]],
+            splits: Sequence[tuple[str, int]], spec: G.LabelSpec = G.AGRONOMY_SPEC) -> Tables:
+    """Reword vague rows, add new rows by quota, and compare the corpus before and after.
+
+    The first ``rewrites`` vague rows get the first ``phrases`` (order_key,
+    phrase) that are new to the corpus; with fewer phrases, the rest stay.
+    ``candidates`` are (category, order_key, candidate, labels, difficulty,
+    notes), taken in order up to ``quotas`` and dealt to ``splits`` in turn; what
+    is lacking is in ``shortfall``.  Ids have to be unique (see
+    :func:`validate`) and go on after the largest.
+    """
+    if sum(n for _, n in splits) < sum(n for _, n in quotas):
+        raise ValueError("splits take fewer rows than the quotas give")
+    first = _first(corpus)
+    marked = P.text_shape(corpus.select(*first, "input"), G.VAGUE_PHRASES_AUDIT)
+    picks = M.pick_rows(marked, F.coalesce("is_vague", F.lit(False)), "id", first, rewrites)
+    pool = M.phrase_pool(phrases, corpus, ["order_key", "phrase"], rewrites)
+    reworded = cut_lineage(M.ranked_rewrite(corpus, picks, pool, "id", "input"))
+    order = ["order_key", "candidate"]
+    named = [(candidates.filter(F.col("category") == name).drop("category"), name, n) for name, n in quotas]
+    accepted = cut_lineage(M.fill_quotas(named, reworded, order))
+    placed = M.allocate_splits(M.assign_ids(accepted, corpus, [F.col(c) for c in ("category_pos", *order)]), splits)
+    split_pos = F.array_position(F.array(*[F.lit(name) for name, _ in splits]), F.col("split")) - 1
+    last = corpus.select(F.coalesce(F.max("line_no"), F.lit(0)).alias("n")).scalar()
+    added = placed.select(
+        "split", split_pos.cast(corpus.schema["split_pos"].dataType).alias("split_pos"), (last + F.col("add_pos")).alias("line_no"), "id",
+        F.col("candidate").alias("input"), *[F.col(f"labels.{n}").alias(n) for n in label_names(spec)],
+        F.lit("synthetic").alias("source_type"), "difficulty", "notes")
+    improved = cut_lineage(reworded.drop("rewritten").unionByName(added.select(*corpus.columns)))
+    changes = reworded.filter("rewritten").select("split", "id", "input", F.lit("reworded").alias("change")).unionByName(
+        added.select("split", "id", "input", F.lit("added").alias("change")))
+    return {"corpus": improved, "changes": changes, "shortfall": M.quota_shortfall(accepted, quotas),
+            "violations": V.validate_corpus(improved, spec), **audit(corpus, improved, spec)}
+
+
+def read_cases(spark: SparkSession, path: str, spec: G.LabelSpec = G.AGRONOMY_SPEC) -> DataFrame:
+    return files.read_jsonl(spark, path, f"name string, input string, expected {labels_schema(spec).simpleString()}")
+
+
+def read_entries(spark: SparkSession, path: str, spec: G.LabelSpec = G.AGRONOMY_SPEC) -> DataFrame:
+    raw = ", ".join(f"raw_{name} string" for name in label_names(spec))
+    return files.read_jsonl(spark, path, f"interaction_id string, verdict string, notes string, {raw}")
+
+
+def read_candidates(spark: SparkSession, path: str, spec: G.LabelSpec = G.AGRONOMY_SPEC) -> DataFrame:
+    labels = labels_schema(spec).simpleString()
+    return files.read_jsonl(spark, path, f"category string, order_key bigint, candidate string, labels {labels}, difficulty string, notes string")
