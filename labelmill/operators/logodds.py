@@ -7,14 +7,16 @@ so results do not depend on task order.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.config import LabelSpec, Thresholds
 from labelmill.functions import text as X
-from labelmill.operators.scale import explode_rows, top_k
+from labelmill.operators.scale import cut_lineage, explode_rows, top_k
 
 # Weights below the minimum are dropped, at most this many are
 # kept per head, and weights have four decimals.
@@ -33,6 +35,13 @@ INDEX_BUCKETS = 4096
 # Weights that are broadcast at most.
 BROADCAST_WEIGHTS = 100_000
 
+# Bits per feature of the filter that drops features a large model lacks, bits
+# set per feature, and the most bits a filter has (512 kB).  Beyond about a
+# quarter of a million features it lets more through; the join stays exact.
+FILTER_BITS = 16
+FILTER_HASHES = 3
+MAX_FILTER_BITS = 1 << 22
+
 HEADS_SCHEMA = "head int, field string, label string, label_pos int, bias bigint, threshold double"
 WEIGHTS_SCHEMA = "head int, feature string, weight bigint"
 
@@ -198,7 +207,8 @@ def score_inline(df: DataFrame, scorer: Scorer, text: str = "input", out: str =
     """Add the integer score of every head as one array, in head order.
 
     A narrow projection: no explode, no join, no shuffle and no row key.
-    Features outside the model are dropped by a hash-set test first.
+    Features outside the model are dropped by a hash-set test first.  A null text
+    scores as an empty one.
     """
     biases = F.array(*[F.lit(h["bias"]).cast("bigint") for h in scorer.heads])
     if not scorer.vocabulary:
@@ -209,22 +219,61 @@ def score_inline(df: DataFrame, scorer: Scorer, text: str = "input", out: str =
     sums = F.aggregate("__found", biases, lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
     return (
         X.add_features(df, text, "__features").withColumn("__hits", hits).withColumn("__found", found)
-        .withColumn(out, sums).drop("__features", "__hits", "__found")
+        .withColumn(out, F.coalesce(sums, biases)).drop("__features", "__hits", "__found")
     )
 
 
-def score_arrays(df: DataFrame, model: TokenModel, key: str, text: str = "input") -> tuple[DataFrame, list[dict]]:
+def _places(feature: Column, bits: int) -> list[Column]:
+    """Bits of a feature in a filter of ``bits`` bits."""
+    return [F.pmod(F.xxhash64(feature, F.lit(i)), F.lit(bits)) for i in range(FILTER_HASHES)]
+
+
+def feature_filter(weights: DataFrame, max_bits: int = MAX_FILTER_BITS) -> Callable[[Column], Column]:
+    """Test that holds for every feature of ``weights`` and for few others.
+
+    A Bloom filter: Spark sets the bits, and at most ``max_bits`` of them come
+    to the driver, as the words of one folded literal.
+    """
+    features = weights.select("feature").distinct()
+    bits = 1024
+    wanted = features.count() * FILTER_BITS
+    while bits < min(wanted, max_bits):
+        bits *= 2
+    place = F.explode(F.array(*_places(F.col("feature"), bits))).alias("place")
+    bit = F.expr("shiftleft(1L, CAST(place % 64 AS INT))")
+    found = features.select(place).groupBy(F.expr("CAST(place DIV 64 AS INT)").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    words = [0] * (bits // 64)
+    for r in found:
+        words[r["word"]] = r["bits"]
+    literal = F.from_json(F.lit(json.dumps(words)), F.lit("array<bigint>"))
+
+    def may_have(feature: Column) -> Column:
+        tests = [F.getbit(F.get(literal, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _places(feature, bits)]
+        return reduce(lambda a, b: a & b, tests)
+
+    return may_have
+
+
+def score_arrays(df: DataFrame, model: TokenModel, key: str, text: str = "input",
+                 broadcast_weights: int = BROADCAST_WEIGHTS) -> tuple[DataFrame, list[dict]]:
     """(key, score_sums) for models of any size, and the heads in order.
 
-    Only features that the model has are shuffled by key.  The weights are
-    broadcast if they are few, by count; else both sides are shuffled and sorted,
-    so that a feature of very many texts can be split.  Biases are added to the
+    The weights are written first, as a fit would else run for every use of them.
+    They are broadcast if they are few, by count.  Otherwise both sides are
+    shuffled and sorted by feature, so that a feature of very many texts can be
+    split; features that the model lacks are dropped before that by
+    :func:`feature_filter`, inside the rows of text.  Biases are added to the
     gathered sums, whose number the label spaces bound.
     """
     heads = sorted((r.asDict() for r in model.heads.collect()), key=lambda h: h["head"])
-    few = model.weights.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS
-    weights = F.broadcast(model.weights) if few else model.weights.hint("merge")
-    exploded = explode_rows(X.add_features(df.select(key, text), text), [key], "features", "feature")
+    stored = cut_lineage(model.weights)
+    features = X.add_features(df.select(key, text), text)
+    if stored.limit(broadcast_weights + 1).count() <= broadcast_weights:
+        weights = F.broadcast(stored)
+    else:
+        weights = stored.hint("merge")
+        features = features.withColumn("features", F.filter("features", feature_filter(stored)))
+    exploded = explode_rows(features, [key], "features", "feature")
     sums = exploded.join(weights, "feature").groupBy(key, "head").agg(F.sum("weight").alias("total"))
     hits = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("head", "total"))).alias("__hits"))
     total = [F.lit(h["bias"]).cast("bigint") + F.coalesce(F.try_element_at("__hits", F.lit(h["head"])), F.lit(0).cast("bigint")) for h in heads]

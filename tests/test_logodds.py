@@ -83,6 +83,30 @@ def test_inline_and_join_scores_match_brute_force(spark):
         assert inline[i] == sums and [joined[i][h] for h in range(5)] == sums
 
 
+def test_large_models_drop_foreign_features_before_the_shuffle(spark):
+    """200 labels: the weights are not broadcast, and all ways to score give the same rows."""
+    rng = random.Random(4)
+    heads = [(i, "label", f"l{i}", i, i - 100, 0.5) for i in range(200)]
+    weights = [(i, f"w{rng.randrange(400)}", rng.randint(-900, 900)) for i in range(200) for _ in range(20)]
+    weights = sorted({(h, f): w for h, f, w in weights}.items())
+    model = H.TokenModel(spark.createDataFrame(heads, H.HEADS_SCHEMA), spark.createDataFrame([(h, f, w) for (h, f), w in weights], H.WEIGHTS_SCHEMA))
+    rows = [(i, " ".join(f"{rng.choice('wx')}{rng.randrange(900)}" for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    texts = spark.createDataFrame([*rows, (60, None), (61, "w1 " * 50)], "id int, input string").repartition(4)
+    inline = {r["id"]: r["score_sums"] for r in H.score_inline(texts, H.compile_model(model)).collect()}
+    for limit in (10, 100_000):
+        sums, _ = H.score_arrays(texts, model, "id", broadcast_weights=limit)
+        assert {r["id"]: r["score_sums"] for r in sums.collect()} == {i: s for i, s in inline.items()}
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+        assert ("getbit" in plan) == (limit == 10) and ("SortMergeJoin [feature" in plan) == (limit == 10)
+    test = H.feature_filter(model.weights)
+    probes = spark.createDataFrame([(f"w{i}",) for i in range(400)] + [(f"y{i}",) for i in range(4000)], "feature string").withColumn("may", test(F.col("feature")))
+    may = {r.feature for r in probes.filter("may").collect()}
+    assert {f for (_, f), _ in weights} <= may and sum(f[0] == "y" for f in may) < 120
+    tight = H.feature_filter(model.weights, max_bits=1024)
+    assert probes.filter(tight(F.col("feature"))).filter(F.col("feature").isin([f for (_, f), _ in weights])).count() == len({f for (_, f), _ in weights})
+    assert probes.filter(H.feature_filter(model.weights.limit(0))(F.col("feature"))).count() == 0
+
+
 def test_large_models_are_not_inlined(spark):
     df = spark.createDataFrame(corpus(30), "input string, kind string, flag boolean")
     model = H.fit(df, make_heads())
