@@ -22,8 +22,12 @@ to their left is a maximal repeat; all of its occurrences but those of the
 smallest document lose its bytes.  Any pair of equal windows lies in a maximal
 repeat, so the union of these bytes is exactly what the rule removes.
 
-Anchors with more than ``HOT_CONTEXTS`` contexts are not gathered: their
-windows are grouped by hash with partial sums instead.
+Anchors meet by the code of their gram, in cells whose number grows with the
+input.  A cell of more than ``CELL_ANCHORS`` anchors hands out its commonest
+grams, whose contexts Spark groups with partial minima instead (``_crowded``),
+so that no task holds a gram of any number of occurrences.  Anchors with more
+than ``HOT_CONTEXTS`` contexts to compare are not gathered either: their windows
+are grouped by hash.
 """
 
 from __future__ import annotations
@@ -53,6 +57,10 @@ REACH = BEFORE // 2
 PART_BYTES = 1 << 20
 OVERLAP = 2 * CONTEXT
 
+#: Bytes of text whose anchors meet in one cell, and the most anchors that one holds.
+CELL_BYTES = 1 << 25
+CELL_ANCHORS = 4_000_000
+
 #: Contexts in one suffix array.
 ARRAY_CONTEXTS = 20_000
 HOT_CONTEXTS = 200_000
@@ -60,8 +68,8 @@ HOT_CONTEXTS = 200_000
 _LARGEST = 2**63 - 1
 _U = np.uint64
 
-_SENT = "part int, id long, key long, spans binary, codes binary, doc binary, pos binary, ids binary, keys binary"
-_FOUND = "kind int, id long, key long, spans binary, h long, pos long"
+_SENT = "part int, cell int, id long, key long, spans binary, codes binary, doc binary, pos binary, ids binary, keys binary"
+_FOUND = "kind int, id long, key long, spans binary, h long, pos long, left long, right long, upper long, lower long"
 _CONTEXTS = "h long, id long, key long, pos long, before int, bytes binary"
 _SPANS = "id long, key long, spans binary"
 
@@ -86,14 +94,15 @@ class Anchors:
         return best(x[: len(x) - (width - step)], x[width - step:]) if width > step else x
 
     def find(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all anchors, and four codes of each: of its gram, of the
-        halves to the left and right (0 if the string ends in it), and of the
-        whole context.  Together they are 128 bits that stand for the context.
+        """Places of all anchors, and five codes of each: of its gram, of the
+        halves to the left and right (0 if the string ends in it), and two of the
+        whole context.  Together they are 160 bits that stand for the context, of
+        which 64 depend on all of it.
 
         ``starts`` are the bounds of the strings in ``data``; windows and
         contexts never cross them.
         """
-        none = np.empty(0, np.int64), np.empty((4, 0), np.uint32)
+        none = np.empty(0, np.int64), np.empty((5, 0), np.uint32)
         if len(data) < LENGTH:
             return none
         m = self.m
@@ -138,7 +147,8 @@ class Anchors:
         right = half(x, x + GRAM + REACH <= hi)
         codes = np.stack([h[x], left, right, context])
         codes = (codes ^ (codes >> _U(31))) * m[1]
-        codes = ((codes ^ (codes >> _U(29))) >> _U(32)).astype(np.uint32)
+        codes ^= codes >> _U(29)
+        codes = np.concatenate([codes >> _U(32), codes[3:]]).astype(np.uint32)
         codes[1:3] = np.where(np.stack([left, right]) == 0, 0, np.maximum(codes[1:3], 1))
         return x, codes
 
@@ -176,7 +186,7 @@ def _covered(docs: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarra
         yield int(ids[docs[a]]), int(keys[docs[a]]), merged(np.stack([p - BEFORE, p + LENGTH], axis=1)).astype("<i8").tobytes()
 
 
-def _sent(parts: int):
+def _sent(parts: int, cells: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
         for batch in batches:
@@ -213,20 +223,21 @@ def _sent(parts: int):
             starts = np.flatnonzero(_runs(*codes))
             first = np.repeat(ids[doc[starts]], np.diff(np.append(starts, len(doc)))) if len(doc) else ids[:0]
             later = ids[doc] > first
-            rows = [(int(a % parts), a, k, s, None, None, None, None, None) for a, k, s in _covered(doc[later], pos[later], ids, keys)]
+            rows = [(int(a % parts), -1, a, k, s, None, None, None, None, None) for a, k, s in _covered(doc[later], pos[later], ids, keys)]
             codes, doc, pos = codes[:, ~later], doc[~later], pos[~later]
-            to = (codes[0] % np.uint32(parts)).astype(np.int64)
+            gram = codes[0].astype(np.int64)
+            to = gram % parts * cells + gram // parts % cells
             order = np.lexsort((pos, doc, to))
             codes, doc, pos, to = codes[:, order], doc[order], pos[order], to[order]
             bounds = np.flatnonzero(_runs(to)) if len(to) else []
             for a, b in zip(bounds, np.append(bounds[1:], len(to)) if len(bounds) else []):
                 used, at = np.unique(doc[a:b], return_inverse=True)
                 rows.append((
-                    int(to[a]), None, None, None, codes[:, a:b].tobytes(), at.astype(np.uint32).tobytes(), pos[a:b].astype(np.uint64).tobytes(),
+                    int(to[a] // cells), int(to[a] % cells), None, None, None, codes[:, a:b].tobytes(), at.astype(np.uint32).tobytes(), pos[a:b].astype(np.uint64).tobytes(),
                     ids[used].tobytes(), keys[used].tobytes(),
                 ))
             if rows:
-                kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 6
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _SENT.split(", ")])
 
     return send
@@ -239,58 +250,139 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(col, kinds[c.split()[1]]) for col, c in zip(columns, schema.split(", "))], names=names)
 
 
-def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All anchors of a part: contexts covered by a smaller document, and requests for contexts to compare.
+def _anchor_rows(kind: int, codes: np.ndarray, own: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Anchors as rows of ``_FOUND``."""
+    for at in range(0, len(pos), 50_000):
+        part = slice(at, at + 50_000)
+        columns = [np.full(len(pos[part]), kind, np.int32), own[part], keys[part], None, codes[0, part], pos[part], *codes[1:, part]]
+        arrays = [pa.nulls(len(pos[part]), pa.binary()) if c is None else pa.array(c if c.dtype == np.int32 else c.astype(np.int64)) for c in columns]
+        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _FOUND.split(", ")])
+
+
+def _span_rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 10_000):
+        yield _table([(0, *row, *[None] * 6) for row in rows[at:at + 10_000]], _FOUND)
+
+
+class Cell:
+    """The anchors of some grams, at most ``limit`` of them and those of one more batch.
+
+    Above that the commonest grams are handed out, those held and all that
+    follow, until half of the limit is left.
+    """
+
+    def __init__(self, number: int, limit: int):
+        self.number, self.limit, self.crowded = number, limit, np.empty(0, np.uint32)
+        self.codes, self.doc, self.pos, self.ids, self.keys = [], [], [], [], []
+        self.size = self.docs = 0
+
+    def add(self, r: dict) -> Iterator[pa.RecordBatch]:
+        ids, keys = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["keys"], np.int64)
+        codes, doc = np.frombuffer(r["codes"], np.uint32).reshape(5, -1), np.frombuffer(r["doc"], np.uint32)
+        pos = np.frombuffer(r["pos"], np.uint64).astype(np.int64)
+        if len(self.crowded):
+            out = np.isin(codes[0], self.crowded)
+            yield from _anchor_rows(2, codes[:, out], ids[doc[out]], keys[doc[out]], pos[out])
+            used, doc = np.unique(doc[~out], return_inverse=True)
+            codes, pos, ids, keys = codes[:, ~out], pos[~out], ids[used], keys[used]
+        self.hold(codes, doc.astype(np.int64) + self.docs, pos, ids, keys)
+        if self.size > self.limit:
+            yield from self.hand_out()
+
+    def hold(self, codes, doc, pos, ids, keys) -> None:
+        for held, new in zip((self.codes, self.doc, self.pos, self.ids, self.keys), (codes, doc, pos, ids, keys)):
+            held.append(new)
+        self.size += len(pos)
+        self.docs += len(ids)
+
+    def taken(self) -> list[np.ndarray]:
+        out = [np.concatenate(x, axis=-1) for x in (self.codes, self.doc, self.pos, self.ids, self.keys)]
+        self.codes, self.doc, self.pos, self.ids, self.keys = [], [], [], [], []
+        self.size = self.docs = 0
+        return out
+
+    def hand_out(self) -> Iterator[pa.RecordBatch]:
+        codes, doc, pos, ids, keys = self.taken()
+        grams, counts = np.unique(codes[0], return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        left = len(pos) - np.cumsum(counts[order])
+        common = grams[order[: int(np.searchsorted(-left, -(self.limit // 2))) + 1]]
+        self.crowded = np.union1d(self.crowded, common)
+        out = np.isin(codes[0], common)
+        yield from _anchor_rows(2, codes[:, out], ids[doc[out]], keys[doc[out]], pos[out])
+        used, doc = np.unique(doc[~out], return_inverse=True)
+        self.hold(codes[:, ~out], doc, pos[~out], ids[used], keys[used])
+
+    def decided(self) -> Iterator[pa.RecordBatch]:
+        """Contexts covered by a smaller document, and anchors whose contexts are to be compared."""
+        if not self.size:
+            return
+        codes, doc, pos, ids, keys = self.taken()
+        order = np.lexsort((ids[doc], *codes[::-1]))
+        codes, doc, pos = codes[:, order], doc[order], pos[order]
+        del order
+        own = ids[doc]
+        contexts = np.flatnonzero(_runs(*codes))
+        sizes = np.diff(np.append(contexts, len(doc)))
+        least = own[contexts]
+        later = own > np.repeat(least, sizes)
+        gram = codes[0, contexts].astype(np.uint64) << _U(32)
+        mixed = np.zeros(len(contexts), bool)
+        for side in (1, 2):
+            half = codes[side, contexts]
+            group = np.unique(gram | half, return_inverse=True)[1]
+            lowest, highest = np.full(group.max() + 1, _LARGEST), np.full(group.max() + 1, -_LARGEST - 1)
+            np.minimum.at(lowest, group, least)
+            np.maximum.at(highest, group, least)
+            mixed |= (half != 0) & (lowest[group] < highest[group])
+        yield from _span_rows(list(_covered(doc[later], pos[later], ids, keys)))
+        asked = np.repeat(mixed, sizes) & ~later
+        yield from _anchor_rows(1, codes[:, asked], own[asked], keys[doc[asked]], pos[asked])
+
+
+def _decided(limit: int):
+    """What the cells of a part tell, which come one after another.
 
     Kind 0: spans of a document.  Kind 1: an anchor whose context is wanted.
+    Kind 2: an anchor of a gram that is too common for its cell.
     """
-    gathered, base = [], 0
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            if r["spans"] is not None:
-                out.append((0, r["id"], r["key"], r["spans"], None, None))
-                continue
-            ids = np.frombuffer(r["ids"], np.int64)
-            gathered.append((
-                np.frombuffer(r["codes"], np.uint32).reshape(4, -1), np.frombuffer(r["doc"], np.uint32).astype(np.int64) + base,
-                np.frombuffer(r["pos"], np.uint64).astype(np.int64), ids, np.frombuffer(r["keys"], np.int64)))
-            base += len(ids)
-        if out:
-            yield _table(out, _FOUND)
-    if not gathered:
-        return
-    codes, doc, pos, ids, keys = (np.concatenate(x, axis=-1) for x in zip(*gathered))
-    del gathered
-    order = np.lexsort((ids[doc], *codes[::-1]))
-    codes, doc, pos = codes[:, order], doc[order], pos[order]
-    del order
-    own = ids[doc]
-    contexts = np.flatnonzero(_runs(*codes))
-    sizes = np.diff(np.append(contexts, len(doc)))
-    least = own[contexts]
-    later = own > np.repeat(least, sizes)
-    gram = codes[0, contexts].astype(np.uint64) << _U(32)
-    mixed = np.zeros(len(contexts), bool)
-    for side in (1, 2):
-        half = codes[side, contexts]
-        group = np.unique(gram | half, return_inverse=True)[1]
-        lowest, highest = np.full(group.max() + 1, _LARGEST), np.full(group.max() + 1, -_LARGEST - 1)
-        np.minimum.at(lowest, group, least)
-        np.maximum.at(highest, group, least)
-        mixed |= (half != 0) & (lowest[group] < highest[group])
-    h = codes[0]
-    asked = np.repeat(mixed, sizes) & ~later
-    rows = [(0, a, k, s, None, None) for a, k, s in _covered(doc[later], pos[later], ids, keys)]
-    for at in range(0, len(rows), 10_000):
-        yield _table(rows[at:at + 10_000], _FOUND)
-    where = np.flatnonzero(asked)
-    for at in range(0, len(where), 50_000):
-        w = where[at:at + 50_000]
-        n = len(w)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.ones(n, np.int32)), pa.array(own[w]), pa.array(keys[doc[w]]), pa.nulls(n, pa.binary()), pa.array(h[w].astype(np.int64)), pa.array(pos[w]),
-        ], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = Cell(-1, limit)
+        for batch in batches:
+            spans = []
+            for r in batch.to_pylist():
+                if r["spans"] is not None:
+                    spans.append((r["id"], r["key"], r["spans"]))
+                    continue
+                if r["cell"] != cell.number:
+                    yield from cell.decided()
+                    cell = Cell(r["cell"], limit)
+                yield from cell.add(r)
+            yield from _span_rows(spans)
+        yield from cell.decided()
+
+    return decide
+
+
+def _crowded(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same decisions for anchors of very common grams, by aggregates: spans, and anchors to compare.
+
+    Contexts and halves are grouped with partial minima, so a group is one row
+    of each task before it is shuffled.
+    """
+    codes = ["h", "left", "right", "upper", "lower"]
+    contexts = cut_lineage(anchors.groupBy(*codes).agg(F.min("id").alias("least")))
+
+    def mixed(side: str) -> DataFrame:
+        halves = contexts.filter(F.col(side) != 0).groupBy("h", side).agg(F.min("least").alias("lowest"), F.max("least").alias("highest"))
+        return contexts.join(halves.filter("lowest < highest"), ["h", side], "left_semi").select(*codes)
+
+    wanted = mixed("left").unionByName(mixed("right")).distinct()
+    judged = anchors.join(contexts, codes)
+    covered = judged.filter("id > least").select("id", "key", (F.col("pos") - BEFORE).alias("from"))
+    asked = judged.filter("id = least").join(wanted, codes, "left_semi").select("id", "key", "h", "pos")
+    return covered.mapInArrow(_even_spans(CONTEXT), _SPANS), asked
 
 
 @F.pandas_udf(T.BinaryType())
@@ -437,14 +529,17 @@ def _windows(contexts: DataFrame) -> DataFrame:
     windows = contexts.filter(F.octet_length("bytes") >= LENGTH).select("*", place).select(
         "id", "key", (F.col("pos") - F.col("before") + F.col("start")).alias("from"), F.sha2(F.substring("bytes", F.col("start") + 1, F.lit(LENGTH)), 256).alias("window"))
     least = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
-    return windows.join(least, "window").filter("id > least").select("id", "key", "from").mapInArrow(_one_window, _SPANS)
+    return windows.join(least, "window").filter("id > least").select("id", "key", "from").mapInArrow(_even_spans(LENGTH), _SPANS)
 
 
-def _one_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.column(2).to_numpy()
-        spans = np.stack([at, at + LENGTH], axis=1).astype("<i8")
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in spans], pa.binary())], names=["id", "key", "spans"])
+def _even_spans(width: int):
+    def spans_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            spans = np.stack([at, at + width], axis=1).astype("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in spans], pa.binary())], names=["id", "key", "spans"])
+
+    return spans_from
 
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,7 +569,7 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _APPLIED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def deduplicated(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def deduplicated(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, cell_anchors: int = CELL_ANCHORS, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row of ``doc_id, text``.
 
     Null texts are empty.  A null id is larger than any other.  Rows of equal
@@ -486,9 +581,16 @@ def deduplicated(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame
     none = F.col("doc_id").isNull()
     read = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LARGEST)).alias("id"), F.xxhash64(whole_text(), none).alias("key"), none.alias("none"), whole_text().alias("text"))
-    sent = read.select("id", "key", "text").mapInArrow(_sent(parts), _SENT)
-    found = cut_lineage(sent.repartitionById(parts, F.col("part")).mapInArrow(_decided, _FOUND))
+    size = docs.agg(F.sum(F.octet_length(whole_text())).alias("n")).first()["n"] or 0
+    cells = size // (cell_bytes * parts) + 1
+    sent = read.select("id", "key", "text").mapInArrow(_sent(parts, cells), _SENT)
+    found = cut_lineage(sent.repartitionById(parts, F.col("part")).sortWithinPartitions("cell").mapInArrow(_decided(cell_anchors), _FOUND))
     asked = found.filter("kind = 1").select("id", "key", "h", "pos")
+    covered = found.filter("kind = 0").select("id", "key", "spans")
+    crowded = found.filter("kind = 2").drop("kind", "spans")
+    if not crowded.isEmpty():
+        more, wanted = _crowded(crowded)
+        asked, covered = cut_lineage(asked.unionByName(wanted)), covered.unionByName(more)
     hot = cut_lineage(asked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_contexts).select("h", F.lit(True).alias("hot")))
     asks = asked.groupBy("id", "key").agg(F.collect_set(F.struct("h", "pos")).alias("asks"))
     # Both joins below use this, so that Spark shuffles the texts once.
@@ -500,5 +602,5 @@ def deduplicated(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame
     repeats = gathered.repartition("h").sortWithinPartitions("h").mapInArrow(_repeats, _SPANS)
     if any_hot:
         repeats = repeats.unionByName(_windows(contexts.join(hot, "h", "left_semi")))
-    spans = found.filter("kind = 0").select("id", "key", "spans").unionByName(repeats).groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
+    spans = covered.unionByName(repeats).groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
     return texts.join(spans, ["id", "key"], "left").select("id", "none", "packed", "spans").mapInArrow(_applied, _APPLIED)

@@ -61,6 +61,33 @@ def test_hot_anchors_give_the_same(spark):
     assert result(suffix.deduplicated(df, hot_contexts=1)) == brute([(i, t.encode()) for i, t in rows])
 
 
+def test_crowded_grams_give_the_same(spark):
+    rows = repetitive(6, 120, "abcd")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute([(i, t.encode()) for i, t in rows])
+    for limit in (0, 5, 60):
+        assert result(suffix.deduplicated(df, cell_anchors=limit, cell_bytes=300)) == want
+    assert result(suffix.deduplicated(df, cell_bytes=300)) == want
+
+
+def test_a_cell_holds_a_bounded_number_of_anchors():
+    rng = np.random.default_rng(8)
+    cell, given, out = suffix.Cell(0, 1000), 0, 0
+    for _ in range(40):
+        n = 300
+        codes = np.concatenate([np.where(rng.random((1, n)) < 0.4, 7, rng.integers(0, 5000, (1, n))), rng.integers(0, 9, (4, n))]).astype(np.uint32)
+        doc = rng.integers(0, 10, n).astype(np.uint32)
+        row = {"codes": codes.tobytes(), "doc": doc.tobytes(), "pos": np.arange(n).astype(np.uint64).tobytes(),
+               "ids": np.arange(10).astype(np.int64).tobytes(), "keys": np.arange(10).astype(np.int64).tobytes()}
+        for batch in cell.add(row):
+            out += batch.num_rows
+            assert set(batch.column("kind").to_pylist()) == {2} and set(batch.column("h").to_pylist()) <= set(cell.crowded.tolist())
+        given += n
+        assert cell.size <= 1000 and given == out + cell.size and sum(map(len, cell.ids)) <= cell.size
+        assert not len(cell.crowded) or not np.isin(np.concatenate(cell.codes, axis=-1)[0], cell.crowded).any()
+    assert 7 in cell.crowded
+
+
 def test_texts_in_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PART_BYTES", 400)
     rng = random.Random(4)
