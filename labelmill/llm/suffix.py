@@ -54,7 +54,7 @@ CONTEXT = BEFORE + LENGTH
 REACH = BEFORE // 2
 
 #: Bytes that are hashed at once, and by how much parts of a longer text overlap.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 OVERLAP = 2 * CONTEXT
 
 #: Bytes of text whose anchors meet in one cell, and the most anchors that one holds.
@@ -173,6 +173,24 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _in_order(codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Order in which equal grams, in them equal contexts, and in these the documents' ids come together.
+
+    One number of gram and context tells almost all apart; only ties are sorted in full.
+    """
+    number = codes[0].astype(np.uint64) << _U(32) | codes[4]
+    order = np.argsort(number)
+    number = number[order]
+    same = number[1:] == number[:-1]
+    tied = np.zeros(len(order), bool)
+    tied[1:] = same
+    tied[:-1] |= same
+    at = np.flatnonzero(tied)
+    rows = order[at]
+    order[at] = rows[np.lexsort((own[rows], codes[3, rows], codes[2, rows], codes[1, rows], number[at]))]
+    return order
+
+
 def _covered(docs: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray, kind=None):
     """Rows of spans per document for contexts that are covered as a whole.
 
@@ -206,8 +224,8 @@ def _sent(parts: int, cells: int):
                     found.append((doc[own], pos[own], codes[:, own]))
                 part, size = [], 0
 
-            for d, text in enumerate(batch.column(2).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
+            for d, text in enumerate(batch.column(2).cast(pa.binary())):
+                data = text.as_py()
                 for at in range(0, max(len(data), 1), PART_BYTES):
                     lo, hi = max(0, at - OVERLAP), min(len(data), at + PART_BYTES + OVERLAP)
                     part.append((d, lo, data[lo:hi], at, at + PART_BYTES))
@@ -218,16 +236,19 @@ def _sent(parts: int, cells: int):
             if not found:
                 continue
             doc, pos, codes = (np.concatenate(x, axis=-1) for x in zip(*found))
-            order = np.lexsort((ids[doc], *codes[::-1]))
-            codes, doc, pos = codes[:, order], doc[order], pos[order]
-            starts = np.flatnonzero(_runs(*codes))
-            first = np.repeat(ids[doc[starts]], np.diff(np.append(starts, len(doc)))) if len(doc) else ids[:0]
-            later = ids[doc] > first
+            del found[:]
+            order = _in_order(codes, ids[doc])
+            starts = np.flatnonzero(_runs(*codes[:, order]))
+            own = ids[doc[order]]
+            later = np.zeros(len(doc), bool)
+            later[order] = own > np.repeat(own[starts], np.diff(np.append(starts, len(doc))))
+            del order, own
             rows = [(int(a % parts), -1, a, k, s, None, None, None, None, None) for a, k, s in _covered(doc[later], pos[later], ids, keys)]
             codes, doc, pos = codes[:, ~later], doc[~later], pos[~later]
             gram = codes[0].astype(np.int64)
             to = gram % parts * cells + gram // parts % cells
-            order = np.lexsort((pos, doc, to))
+            # Small numbers are sorted by their digits.
+            order = np.argsort(to.astype(np.uint16) if parts * cells <= 1 << 16 else to, kind="stable")
             codes, doc, pos, to = codes[:, order], doc[order], pos[order], to[order]
             bounds = np.flatnonzero(_runs(to)) if len(to) else []
             for a, b in zip(bounds, np.append(bounds[1:], len(to)) if len(bounds) else []):
@@ -318,7 +339,7 @@ class Cell:
         if not self.size:
             return
         codes, doc, pos, ids, keys = self.taken()
-        order = np.lexsort((ids[doc], *codes[::-1]))
+        order = _in_order(codes, ids[doc])
         codes, doc, pos = codes[:, order], doc[order], pos[order]
         del order
         own = ids[doc]
@@ -326,15 +347,18 @@ class Cell:
         sizes = np.diff(np.append(contexts, len(doc)))
         least = own[contexts]
         later = own > np.repeat(least, sizes)
-        gram = codes[0, contexts].astype(np.uint64) << _U(32)
+        grams = np.flatnonzero(_runs(codes[0, contexts]))
+        # Only contexts of a gram that has several can share a half.
+        some = np.flatnonzero(np.repeat(np.diff(np.append(grams, len(contexts))) > 1, np.diff(np.append(grams, len(contexts)))))
+        gram, first = codes[0, contexts[some]].astype(np.uint64) << _U(32), least[some]
         mixed = np.zeros(len(contexts), bool)
-        for side in (1, 2):
-            half = codes[side, contexts]
+        for side in (1, 2) if len(some) else ():
+            half = codes[side, contexts[some]]
             group = np.unique(gram | half, return_inverse=True)[1]
             lowest, highest = np.full(group.max() + 1, _LARGEST), np.full(group.max() + 1, -_LARGEST - 1)
-            np.minimum.at(lowest, group, least)
-            np.maximum.at(highest, group, least)
-            mixed |= (half != 0) & (lowest[group] < highest[group])
+            np.minimum.at(lowest, group, first)
+            np.maximum.at(highest, group, first)
+            mixed[some] |= (half != 0) & (lowest[group] < highest[group])
         yield from _span_rows(list(_covered(doc[later], pos[later], ids, keys)))
         asked = np.repeat(mixed, sizes) & ~later
         yield from _anchor_rows(1, codes[:, asked], own[asked], keys[doc[asked]], pos[asked])
