@@ -52,3 +52,30 @@ def test_no_text_meets_all_keywords(spark):
     frame = spark.range(10).select("id", F.lit("some text").alias("input"))
     plan = L.keyword_hits(frame, dim(spark, [("a", "some t")], "label string, keyword string"), "id")._jdf.queryExecution().sparkPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_few_texts_meet_a_keyword_in_vain(spark):
+    """All short grams are common here, which made every text meet every keyword."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    texts = [(i, word(500)) for i in range(40)] + [(40, "é" * 30 + word(30))]
+    keywords = [("x", k) for k in sorted({word(n) for n in (12, 24, 30) for _ in range(200)} | {"é" * 7 + "é"})]
+    frame, words = dim(spark, texts, "id long, input string"), dim(spark, keywords, "label string, keyword string")
+    assert found(spark, texts, keywords) == expected(texts, keywords)
+    short = [(label, k) for label, k in keywords if len(k) in (12, 24)]
+    met = L.keyword_pairs(frame, dim(spark, short, "label string, keyword string"), "id").count()
+    assert met == len(expected(texts, short)) < len(texts) * len(short) / 4
+    assert L.keyword_pairs(frame, words, "id").count() < len(texts) * len(keywords) / 3
+
+
+def test_grams_that_cross_windows(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["abcdefghijkl" * 5, "", "xabcdefghijklx", "abcdefghijk"]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7, 8]), pa.array(texts)], names=["id", "text"])
+    rows = {}
+    for window in (1, 7, 13, 1 << 20):
+        monkeypatch.setattr(L, "WINDOW", window)
+        rows[window] = sorted(tuple(r.values()) for b in L._gram_rows([3, 6, 12])([batch]) for r in b.to_pylist())
+    assert rows[1] == rows[7] == rows[13] == rows[1 << 20]
+    assert len(rows[1]) == len({(i, t[k:k + n]) for i, t in zip((5, 6, 7, 8), texts) for n in (3, 6, 12) for k in range(len(t) - n + 1)})
