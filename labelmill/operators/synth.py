@@ -25,9 +25,12 @@ def template_grid(base: DataFrame, category: str, templates: Sequence[str], slot
 
     Adds ``category``, ``template_pos``, ``candidate`` and the array
     ``order_key`` (base order, list positions, template position), which sorts
-    candidates in nested-loop order.
+    candidates in nested-loop order.  Base rows are dealt out first, while they
+    are few and narrow: one small file may hold them all, and the task that
+    reads it would go on with all candidates.
     """
-    grid = base
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = base.repartition(tasks, *order, *slots.values())
     positions = [F.col(c) for c in order]
     filled = dict(slots)
     for name, values in (lists or {}).items():

@@ -16,6 +16,13 @@ def test_grid_is_in_nested_loop_order(spark):
     assert "Join" not in grid._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_grid_is_dealt_out_where_one_task_reads_its_base(spark):
+    base = spark.range(0, 4000, 1, 1).select(F.when(F.col("id") % 4 > 0, F.col("id")).alias("id"), F.concat(F.lit("crop "), F.col("id")).alias("crop"))
+    grid = M.template_grid(base, "c", ("{crop} {when}?", "dry {when}?"), {"crop": F.col("crop")}, {"when": ("now", "later")}, ["id"])
+    sizes = [r.n for r in grid.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 16_000 and max(sizes) < 4_000
+
+
 def test_cyclic_labels(spark):
     df = spark.range(6).withColumns(M.cyclic_labels(F.col("id"), ("q", "p"), ("low", "mid", "high")))
     assert [(r.intent, r.urgency, r.difficulty) for r in df.orderBy("id").collect()] == [
