@@ -169,6 +169,8 @@ class Scorer:
     heads: list[dict]
     index: Column
     vocabulary: str
+    firsts: str = ""
+    seconds: str = ""
 
     def fields(self) -> dict[str, list[int]]:
         """Places of each field's heads, which stand together in head order."""
@@ -200,26 +202,35 @@ def compile_model(model: TokenModel, limit: int = INLINE_CELLS) -> Scorer | None
         buckets[place].append({"f": feature, "w": weights})
     index = F.from_json(F.lit(json.dumps(buckets)), F.lit("array<array<struct<f:string,w:array<bigint>>>>"))
     names = sorted(feature for _, feature in by_feature)
-    return Scorer(heads, index, ", ".join("'" + name.replace("'", "\\'") + "'" for name in names))
+    listed = lambda words: ", ".join("'" + word.replace("'", "\\'") + "'" for word in words)
+    # No token has an underscore, so a feature with one is a pair.
+    pairs = [name.split("_") for name in names if name.count("_") == 1]
+    return Scorer(heads, index, listed(names), *[listed(sorted(set(side))) for side in zip(*pairs)])
 
 
 def score_inline(df: DataFrame, scorer: Scorer, text: str = "input", out: str = "score_sums") -> DataFrame:
     """Add the integer score of every head as one array, in head order.
 
     A narrow projection: no explode, no join, no shuffle and no row key.
-    Features outside the model are dropped by a hash-set test first.  A null text
-    scores as an empty one.
+    Features outside the model are dropped by hash-set tests first: a pair is put
+    together only if the model has pairs with either token, and what is left is
+    made distinct.  A null text scores as an empty one.
     """
     biases = F.array(*[F.lit(h["bias"]).cast("bigint") for h in scorer.heads])
     if not scorer.vocabulary:
         return df.withColumn(out, biases)
-    hits = F.expr(f"filter(__features, f -> f IN ({scorer.vocabulary}))")
+    known = lambda feature, words: F.expr(f"filter({feature}, f -> f IN ({words}))")
+    hits = known("__tokens", scorer.vocabulary)
+    if scorer.firsts:
+        pairs = (f"transform(slice(__tokens, 2, greatest(size(__tokens) - 1, 0)), (b, i) -> "
+                 f"CASE WHEN __tokens[i] IN ({scorer.firsts}) AND b IN ({scorer.seconds}) THEN concat(__tokens[i], '_', b) END)")
+        hits = F.concat(hits, known(pairs, scorer.vocabulary))
     bucket = lambda f: F.get(scorer.index, F.pmod(F.hash(f), F.lit(INDEX_BUCKETS)))
     found = F.transform("__hits", lambda f: F.get(F.filter(bucket(f), lambda e: e["f"] == f), F.lit(0))["w"])
     sums = F.aggregate("__found", biases, lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
     return (
-        X.add_features(df, text, "__features").withColumn("__hits", hits).withColumn("__found", found)
-        .withColumn(out, F.coalesce(sums, biases)).drop("__features", "__hits", "__found")
+        df.withColumn("__tokens", X.tokens(F.col(text))).withColumn("__hits", F.array_distinct(hits)).withColumn("__found", found)
+        .withColumn(out, F.coalesce(sums, biases)).drop("__tokens", "__hits", "__found")
     )
 
 

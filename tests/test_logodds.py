@@ -208,3 +208,16 @@ def test_models_of_any_size_are_routed(spark, monkeypatch):
 def test_default_thresholds():
     assert ROUTER_THRESHOLDS.of("needs_rag") == 0.52 and ROUTER_THRESHOLDS.of("topics") == 0.42
     assert Thresholds().of("anything") == 0.5
+
+
+@pytest.mark.parametrize("names", [["a", "a_b", "b_b", "it's_c", "x_y_z", "_b"], ["a", "c"], ["a_b"]])
+def test_features_are_dropped_before_they_are_put_together_and_made_distinct(spark, names):
+    heads = spark.createDataFrame([(i, f, "true", 0, 10 * i, 0.5) for i, f in enumerate("pq")], H.HEADS_SCHEMA)
+    weights = spark.createDataFrame([(i % 2, f, 3 ** i) for i, f in enumerate(names)], H.WEIGHTS_SCHEMA)
+    model = H.TokenModel(heads, weights)
+    texts = spark.createDataFrame(enumerate(["a b A_b a b b b", "it's c it's c", "a", "b a", "", None, "x y z _b x_y_z", "B!b"]), "id long, input string")
+    scored = H.score_inline(texts, H.compile_model(model))
+    joined = H.score_arrays(texts, model, "id")[0]
+    assert {r.id: r.score_sums for r in scored.collect()} == {r.id: r.score_sums for r in joined.collect()}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(filter(" in plan or "array_distinct(concat(filter(" in plan
