@@ -20,6 +20,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 12
 POPULATION = 5
+ROWS_PER_TASK = 4
 
 #: Words whose ids a Python worker remembers for its next tasks, 30 MB at most; longer words are looked up each time.
 CACHE_WORDS = 150_000
@@ -243,7 +245,7 @@ class Packer:
         return bins
 
     def fill(self, b: list[int]) -> int:
-        return sum(self.sizes[i] for i in b)
+        return sum(map(self.sizes.__getitem__, b))
 
     def cost(self, bins: list[list[int]]) -> tuple[int, float]:
         """Number of bins, then unevenness: a solution that leaves its room in few bins comes first."""
@@ -268,15 +270,15 @@ class Packer:
     def evolve(self, population: list[list[list[int]]], generations: int, most: int) -> list[list[list[int]]]:
         while len(population) < most:
             population.append(self.fresh(0.0 if not population else 0.3))
-        population.sort(key=self.cost)
+        # Costs are kept beside the solutions, so that each is worked out once.
+        scored = sorted(((self.cost(bins), bins) for bins in population), key=itemgetter(0))
         for _ in range(generations):
-            if len(population[0]) <= self.least:
+            if len(scored[0][1]) <= self.least:
                 break
-            base, donor = self.random.sample(population, 2) if len(population) > 1 else (population[0], population[0])
-            population.append(self.crossover(base, donor))
-            population.sort(key=self.cost)
-            population = population[:most]
-        return population
+            (_, base), (_, donor) = self.random.sample(scored, 2) if len(scored) > 1 else (scored[0], scored[0])
+            child = self.crossover(base, donor)
+            scored = sorted([*scored, (self.cost(child), child)], key=itemgetter(0))[:most]
+        return [bins for _, bins in scored]
 
 
 def _bins(assigned: list[int]) -> list[list[int]]:
@@ -299,9 +301,9 @@ def _evolved(capacity: int, generations: int, most: int, epoch: int):
         for frame in frames:
             rows = []
             for r in frame.itertuples():
-                sizes = [int(s) for s in r.sizes]
+                sizes = np.asarray(r.sizes).tolist()
                 packer = Packer(sizes, capacity, seed=hash((int(r.group), int(r.island), epoch)))
-                population = packer.evolve([_bins([int(b) for b in p]) for p in (r.population if r.population is not None else [])], generations, most)
+                population = packer.evolve([_bins(np.asarray(p).tolist()) for p in (r.population if r.population is not None else [])], generations, most)
                 cost = packer.cost(population[0])
                 rows.append((r.group, r.island, r.items, r.sizes, [_assigned(p, len(sizes)) for p in population], cost[0], cost[1]))
             yield pd.DataFrame(rows, columns=["group", "island", "items", "sizes", "population", "bins", "waste"])
@@ -343,8 +345,10 @@ def pack(
         "group", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("all.item").alias("items"), F.col("all.size").alias("sizes"),
         F.lit(None).cast("array<array<int>>").alias("population"),
     )
-    # The rows are small and their work is not, so their number of tasks is set here.
-    tasks = min(n_groups * islands, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The rows are small and their work is not, so their number of tasks is set here: as many as shuffles have,
+    # and more where each gets several rows, as starting a task costs about as much as a row.
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(n_groups * islands, 8 * shuffles, max(shuffles, n_groups * islands // ROWS_PER_TASK))
     ring = Window.partitionBy("group").orderBy("island")
     last = Window.partitionBy("group").orderBy("island").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for epoch in range(epochs):

@@ -110,3 +110,11 @@ def test_elites_move_to_the_next_island(spark):
     one = packing.pack(df, capacity=100, islands=1, epochs=1, generations=0, population=1)
     many = packing.pack(df, capacity=100, islands=3, epochs=3, generations=40, population=4)
     assert check_places(many.collect(), 100) <= check_places(one.collect(), 100)
+
+
+def test_each_solution_is_costed_once(monkeypatch):
+    costed = []
+    monkeypatch.setattr(packing.Packer, "cost", lambda self, bins, cost=packing.Packer.cost: costed.append(1) or cost(self, bins))
+    packer = packing.Packer([2000 + 7 * i for i in range(150)], 4096, 1)
+    packer.least = 0
+    assert len(packer.evolve([], 6, 4)) == 4 and len(costed) == 4 + 6
