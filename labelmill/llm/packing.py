@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from operator import itemgetter
@@ -25,10 +27,11 @@ from operator import itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import picked, slices, split_words, whole_text
+from labelmill.llm.common import coded_words, picked, slices, whole_text
 from labelmill.operators.scale import cut_lineage
 
 CAPACITY = 4096
@@ -40,7 +43,7 @@ GENERATIONS = 12
 POPULATION = 5
 ROWS_PER_TASK = 4
 
-#: Words whose ids a Python worker remembers for its next tasks, 30 MB at most; longer words are looked up each time.
+#: Words whose ids a Python worker remembers for its next tasks; longer words are looked up each time.
 CACHE_WORDS = 150_000
 CACHE_CHARS = 32
 
@@ -68,20 +71,22 @@ def default_tokenizer() -> str:
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _core(word: str) -> tuple[str, str]:
-    """A word whose ids are known more often, and the marks to add to it.
+#: Letters whose small form Arrow and the tokenizer must agree on: one precomposed Latin letter for another.
+LATIN = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c != "\u0130")
+_LATIN_WORD = f"^[{LATIN}]+[{re.escape(MARKS)}]*$"
+_SMALL_RUN = f"^[{''.join(c for c in LATIN if c == c.lower())}]+$"
 
-    Letters and the marks after them are tokens of their own, and case does not
-    matter.  Only letters whose small form Python and the tokenizer must agree
-    on are changed: one precomposed Latin letter for another.
-    """
-    core = word.rstrip(MARKS)
-    if not core.isalpha():
-        return word, ""
-    mark = word[len(core):]
-    if max(core) < "\u0180" and "\u0130" not in core:
-        core = core.lower()
-    return core, mark
+
+def _letters() -> str:
+    """Letters that the tokenizer's normal form leaves letters, without a combining mark that would join the marks behind."""
+    return "".join(c for c in map(chr, range(0x10000)) if c.isalpha() and unicodedata.normalize("NFC", c).lower().isalpha())
+
+
+def _letter_word(letters: str) -> str:
+    """A pattern for words of these letters, given as ranges, and marks behind them."""
+    codes = np.array([ord(c) for c in letters])
+    ranges = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1)
+    return "^[" + "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in ranges) + f"]+[{re.escape(MARKS)}]*$"
 
 
 def process_cache(name: str) -> dict:
@@ -89,86 +94,104 @@ def process_cache(name: str) -> dict:
     return vars(sys.modules.setdefault("labelmill_cache", types.ModuleType("labelmill_cache"))).setdefault(name, {})
 
 
-def _one_token_run(word: str) -> bool:
-    return word.isalpha() and max(word) < "\u0180" and word == word.lower()
-
-
 class WordTokens:
     """Token ids of whole texts by a tokenizer whose tokens never cross ASCII white space.
 
     Such a text is a row of words, so its ids are those of its words.  The
     different words of many texts are looked up together; a bounded number is
-    kept for the next texts.
+    kept for the next texts.  Words and ids are arrays, with no step in Python
+    for each word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
-        self.ends[[k for token, k in vocabulary.items() if token.endswith(WORD_END)]] = True
+        # Read once by a Python worker, not by each of its tasks.
+        self.kept = process_cache(f"words of {path}")
+        if not self.kept:
+            tokenizer = Tokenizer.from_file(path)
+            vocabulary = tokenizer.get_vocab()
+            ends = np.zeros(1 + max(vocabulary.values()), bool)
+            ends[[k for token, k in vocabulary.items() if token.endswith(WORD_END)]] = True
+            letters = _letters()
+            self.kept.update(tokenizer=tokenizer, ends=ends, letters=letters, letter_word=_letter_word(letters))
+            self.kept.update(words=pa.array([""], pa.string()), ids=np.zeros(0, "<u4"), sizes=np.zeros(1, np.int64))
+        self.tokenizer, self.ends = self.kept["tokenizer"], self.kept["ends"]
         between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
-        self.known: dict[str, bytes] = process_cache(f"words of {path}")
-        self.known[""] = b""
 
-    def look_up(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words, many in one text.
+    def look_up(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words in another order, their ids in a row, and the number of ids of each; many words are read in one text.
 
         Small Latin letters alone are one run, which ends with a token for the
         end of a word.  Other words have a word between them that none of them
         has.  Words that may hold special tokens are looked up one by one, as
         the tokenizer reads them.
         """
-        letters = [w for w in words if _one_token_run(w)]
-        apart = set(letters)
-        alone = [w for w in words if w not in apart and (self.between is None or "<|" in w or BETWEEN in w)]
-        for w, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
-            yield w, np.array(e.ids, dtype="<u4").tobytes()
-        apart.update(alone)
+        runs = pc.match_substring_regex(words, _SMALL_RUN)
+        letters, rest = words.filter(runs), words.filter(pc.invert(runs))
+        odd = pc.or_(pc.match_substring(rest, "<|"), pc.match_substring(rest, BETWEEN))
+        alone, others = (rest, rest.slice(0, 0)) if self.between is None else (rest.filter(odd), rest.filter(pc.invert(odd)))
+        found = [self._one_by_one(alone)]
         for part, ids in self._read(letters, " "):
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                yield from self._cut(part, ids, [0, *cuts[:-1].tolist()], cuts.tolist())
-            else:  # this tokenizer has no token of its own for the end of a word
-                yield from ((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
-        for part, ids in self._read([w for w in words if w not in apart], f" {BETWEEN} "):
-            cuts = np.flatnonzero(ids == self.between).tolist()
-            yield from self._cut(part, ids, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)])
-
-    def _read(self, words: list[str], between: str) -> Iterator[tuple[list[str], np.ndarray]]:
-        for at in range(0, len(words), AT_ONCE):
-            part = words[at:at + AT_ONCE]
-            (encoded,) = self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)
-            yield part, np.array(encoded.ids, dtype="<u4")
-
-    @staticmethod
-    def _cut(words: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> Iterator[tuple[str, bytes]]:
-        raw = ids.tobytes()
-        return ((w, raw[4 * a:4 * b]) for w, a, b in zip(words, starts, ends))
-
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of different words."""
-        known = self.known
-        pairs = [_core(w) for w in words]
-        found = dict(self.look_up(list({c for pair in pairs for c in pair if c not in known})))
-        before = len(known)
-        known.update(found)
-        out = [known[core] + known[mark] for core, mark in pairs]
+            # Otherwise this tokenizer has no token of its own for the end of a word.
+            whole = len(cuts) == len(part) and cuts[-1] == len(ids)
+            found.append((ids, np.diff(cuts, prepend=0)) if whole else self._one_by_one(part))
+        for part, ids in self._read(others, f" {BETWEEN} "):
+            cuts = np.flatnonzero(ids == self.between)
+            whole = len(cuts) == len(part) - 1
+            found.append((np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1) if whole else self._one_by_one(part))
+        ids, sizes = map(np.concatenate, zip(*found))
+        return pa.concat_arrays([alone, letters, others]), ids, sizes
+
+    def _read(self, words: pa.Array, between: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        starts = [*range(0, len(words), AT_ONCE), len(words)]
+        for at, text in zip(starts, pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words), between).to_pylist()):
+            (encoded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            yield words.slice(at, AT_ONCE), np.array(encoded.ids, dtype="<u4")
+
+    def _one_by_one(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch(words.to_pylist(), add_special_tokens=False)]
+        return np.array([i for part in ids for i in part], dtype="<u4"), np.array([len(part) for part in ids], dtype=np.int64)
+
+    def _cores(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words whose ids are known more often, and the marks to add to them.
+
+        Letters and the marks after them are tokens of their own, and case does
+        not matter.  Only Latin letters are made small.
+        """
+        lettered = pc.match_substring_regex(words, self.kept["letter_word"])
+        cores = pc.if_else(lettered, pc.utf8_rtrim(words, characters=MARKS), words)
+        marks = pc.if_else(lettered, pc.utf8_ltrim(words, characters=self.kept["letters"]), "")
+        return pc.if_else(pc.match_substring_regex(words, _LATIN_WORD), pc.utf8_lower(cores), cores), marks
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words in a row, and where those of each end."""
+        kept = self.kept
+        cores, marks = self._cores(words.cast(pa.string()))
+        coded = pa.concat_arrays([cores, marks]).dictionary_encode()
+        new = coded.dictionary.filter(pc.invert(pc.is_in(coded.dictionary, value_set=kept["words"])))
+        looked_up, ids, sizes = self.look_up(new)
+        table = pa.concat_arrays([kept["words"], looked_up])
+        ids, ends = np.concatenate([kept["ids"], ids]), np.cumsum(np.concatenate([kept["sizes"], sizes]))
         # Words met early are the frequent ones and stay.
-        for k, w in enumerate(found, before):
-            if k >= CACHE_WORDS or len(w) > CACHE_CHARS:
-                del known[w]
-        return out
+        stay = new.filter(pc.less_equal(pc.utf8_length(new), CACHE_CHARS)).slice(0, max(0, CACHE_WORDS - len(kept["words"])))
+        if len(stay):
+            at, to = picked(ends, pc.index_in(stay, value_set=table).to_numpy())
+            kept.update(
+                words=pa.concat_arrays([kept["words"], stay]), ids=np.concatenate([kept["ids"], ids[at]]), sizes=np.concatenate([kept["sizes"], np.diff(to)]))
+        # A word's ids are those of its core, then those of its marks.
+        which = pc.index_in(coded.dictionary, value_set=table).to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+        at, to = picked(ends, which.reshape(2, -1).T.ravel())
+        return ids[at], to[2::2]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where those of each start (one more for the end)."""
-        words, codes, starts = split_words(texts)
-        found = self.ids_of(words)
-        ids = np.frombuffer(b"".join(found), dtype="<u4")
-        at, to = picked(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4, codes)
+        words, codes, starts = coded_words(texts)
+        ids, ends = self.ids_of(words)
+        at, to = picked(ends, codes)
         return ids[at], to[starts]
 
 

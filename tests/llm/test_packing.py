@@ -118,3 +118,48 @@ def test_each_solution_is_costed_once(monkeypatch):
     packer = packing.Packer([2000 + 7 * i for i in range(150)], 4096, 1)
     packer.least = 0
     assert len(packer.evolve([], 6, 4)) == 4 and len(costed) == 4 + 6
+
+
+def test_latin_words_are_taken_apart_as_the_tokenizer_does(tokenizer):
+    texts = [" ".join(f"{a}{c}{b}{mark}" for c in packing.LATIN) for a, b, mark in (("", "", ""), ("a", "", ","), ("É", "z", "!?'"), ("", "Ĳ", "\\]^-["))]
+    texts += [c for c in packing.LATIN] + [f"İ{c} x{c}́. {c}ǅ, {c}'s {c}1!" for c in packing.LATIN]
+    assert encoded(packing.WordTokens(packing.default_tokenizer()), texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_marks_stay_with_letters_that_lower_or_composed_end_in_a_combining_mark(tokenizer):
+    texts = ["Σ\u0130<]^ \u0130, x\u0130.. a\u0130!b", "\u0958, \u0959. \u095c!! \u0915\u093c, \ufb2a, \ufb40.", "слово, СЛОВО. Ǆ, 가, ᄀ. 日本!"]
+    assert encoded(packing.WordTokens(packing.default_tokenizer()), texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("first", ["a", "а"])
+def test_words_take_no_step_of_their_own(first):
+    import sys
+
+    words = packing.WordTokens(packing.default_tokenizer())
+    text = " ".join("".join(chr(ord(first) + k // 26 ** p % 26) for p in range(3)) + "," for k in range(5000))
+    steps = []
+    sys.setprofile(lambda frame, event, arg: steps.append(event) if event in ("call", "c_call") else None)
+    try:
+        words.encode(pa.array([text]))
+    finally:
+        sys.setprofile(None)
+    assert len(steps) < 2500
+
+
+def test_the_tokenizer_file_is_read_once_by_a_worker(monkeypatch, tmp_path):
+    import shutil
+
+    import tokenizers
+
+    path = shutil.copy(packing.default_tokenizer(), tmp_path / "words.json")
+    read, from_file = [], tokenizers.Tokenizer.from_file
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            read.append(path)
+            return from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    first, again = (encoded(packing.WordTokens(str(path)), ["Some words, and more!"]) for _ in range(2))
+    assert first == again and len(read) == 1
